@@ -1,0 +1,8 @@
+"""Queries of the reference operators over the given tables."""
+
+QUERIES: dict = {}
+SQL: dict = {}
+
+
+def profiles(spark, sf_dir):
+    raise NotImplementedError
