@@ -60,3 +60,22 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = 1 / 256) -> DataFram
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("__total"))
     return counts.join(F.broadcast(total), F.col("n") > F.greatest(F.col("__total") * share, F.lit(1000))).drop("__total")
+
+
+def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], row_id: str, values: list[str], salts: int = 1024) -> DataFrame:
+    """Left join to a table with one row per key, safe where a key (or null) holds a large share of `rows`.
+
+    Lookup rows of hot keys (see hot_keys: 256 at most) are broadcast; their rows, and rows with a null key, are
+    spread over salts, so that no task gets them all. Every row keeps its place exactly once.
+    """
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    hot = hot_keys(rows.where(known), keys).select(*keys)
+    spread = F.broadcast(lookup.join(F.broadcast(hot), keys, "left_semi").select(*keys, *[F.col(v).alias(f"__hot_{v}") for v in values], F.lit(True).alias("__is_hot")))
+    r = rows.join(spread, keys, "left")
+    apart = F.col("__is_hot").isNotNull() | ~known
+    r = r.withColumn("__salt", F.when(apart, 1 + F.pmod(F.xxhash64(row_id), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
+    cold = lookup.select(*keys, *values).withColumn("__salt", F.lit(0))
+    j = r.join(cold, [*keys, "__salt"], "left")
+    return j.select(*rows.columns, *[F.when(F.col("__is_hot"), F.col(f"__hot_{v}")).otherwise(F.col(v)).alias(v) for v in values])
