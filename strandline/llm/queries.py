@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from strandline.llm import pairs
+from strandline.llm import dialogue, pairs
 from strandline.session import table
 
 
+def p4_found(spark, sf_dir):
+    return dialogue.found(table(spark, sf_dir, "message"), table(spark, sf_dir, "source_index"))
+
+
+def p4_conversations(spark, sf_dir):
+    """The turns of the kept conversations in order."""
+    return dialogue.conversations(table(spark, sf_dir, "message"), table(spark, sf_dir, "source_index"))
+
+
+def p4_threads(spark, sf_dir):
+    """Reply chains with their roots, orphans and cycles."""
+    return dialogue.threads(table(spark, sf_dir, "message"))
+
+
 def p5_found(spark, sf_dir):
     return pairs.found(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"p5_found": p5_found}
+QUERIES = {"p4_found": p4_found, "p4_conversations": p4_conversations, "p4_threads": p4_threads, "p5_found": p5_found}
 
 SQL: dict[str, str] = {}
