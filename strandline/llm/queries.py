@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from strandline.llm import dialogue, pairs
+from strandline.llm import copies, dialogue, pairs
 from strandline.session import table
 
 
+def p1_found(spark, sf_dir):
+    return copies.found(table(spark, sf_dir, "message"))
+
+
+def p1_records(spark, sf_dir):
+    """Each record once, with its number of copies."""
+    return copies.records(table(spark, sf_dir, "message"))
+
+
 def p4_found(spark, sf_dir):
     return dialogue.found(table(spark, sf_dir, "message"), table(spark, sf_dir, "source_index"))
 
@@ -24,6 +33,6 @@ def p5_found(spark, sf_dir):
     return pairs.found(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_conversations": p4_conversations, "p4_threads": p4_threads, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p4_found": p4_found, "p4_conversations": p4_conversations, "p4_threads": p4_threads, "p5_found": p5_found}
 
 SQL: dict[str, str] = {}
