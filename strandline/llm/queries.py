@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import copies, dialogue, pairs
+from strandline.llm import copies, dialogue, leaks, pairs
 from strandline.session import table
 
 
@@ -33,6 +33,15 @@ def p5_found(spark, sf_dir):
     return pairs.found(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p4_found": p4_found, "p4_conversations": p4_conversations, "p4_threads": p4_threads, "p5_found": p5_found}
+def p8_found(spark, sf_dir):
+    return leaks.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def p8_leaked_items(spark, sf_dir):
+    """How many documents hold each item."""
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p4_found": p4_found, "p4_conversations": p4_conversations, "p4_threads": p4_threads, "p5_found": p5_found, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items}
 
 SQL: dict[str, str] = {}
