@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import copies, dialogue, leaks, pairs
+from strandline.llm import copies, dialogue, leaks, pairs, quality
 from strandline.session import table
 
 
@@ -42,6 +42,15 @@ def p8_leaked_items(spark, sf_dir):
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p4_found": p4_found, "p4_conversations": p4_conversations, "p4_threads": p4_threads, "p5_found": p5_found, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items}
+def p10_found(spark, sf_dir):
+    return quality.found(table(spark, sf_dir, "documents"))
+
+
+def p10_statistics(spark, sf_dir):
+    """All shape figures of each text."""
+    return quality.statistics(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p4_found": p4_found, "p4_conversations": p4_conversations, "p4_threads": p4_threads, "p5_found": p5_found, "p10_found": p10_found, "p10_statistics": p10_statistics, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items}
 
 SQL: dict[str, str] = {}
