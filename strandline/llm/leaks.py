@@ -34,7 +34,7 @@ _WORDS = re.compile(r"[^\W_]+")
 
 def words(text: str) -> list[str]:
     """Words without case, accents, punctuation and markup."""
-    text = text.replace("­", "").replace("​", "")
+    text = text.replace("\u00ad", "").replace("\u200b", "")
     if "<" in text:
         text = _TAGS.sub(" ", text)
     if "](" in text:

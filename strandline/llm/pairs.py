@@ -165,7 +165,7 @@ def judge(question: str | None, answer: str | None, said: bool, end_seen: int, w
     if refuses(answer, automaton):
         return "refusal"
     text = answer.rstrip()
-    core = text.rstrip(" \n\t​‎﻿")
+    core = text.rstrip(" \n\t\u200b\u200e\ufeff")
     if _LIST_STUB.search(core):
         return "truncated"
     open_end = broken_end(core)

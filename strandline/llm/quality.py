@@ -30,7 +30,7 @@ LONG_LINE = 4 * CHUNK
 
 COMMON = frozenset().union(*SETS.values())
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-_LINE_END = re.compile(r"\r\n|[\n\r\v\f\x1c-\x1e\x85  ]")
+_LINE_END = re.compile(r"\r\n|[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]")
 _MARK = re.compile(r"^\s*(?:[-*•‣◦▪–—☐☑☒✓✔]\s+|\[[ xX]?\]\s+|\(?\d{1,4}[.)]\s+|\(?[a-zA-Z][.)]\s+)")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>|&#?\w{1,8};")
 _HEX = re.compile(r"\b[0-9a-fA-F]{2}\b|\b[0-9a-fA-F]{6,}\b")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import copies, dialogue, leaks, mixing, pairs, quality
+from strandline.llm import copies, dialogue, leaks, mixing, pairs, pii, quality
 from strandline.session import table
 
 
@@ -60,6 +60,15 @@ def p9_shares(spark, sf_dir):
     return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p4_found": p4_found, "p4_conversations": p4_conversations, "p4_threads": p4_threads, "p5_found": p5_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items}
+def p7_found(spark, sf_dir):
+    return pii.found(table(spark, sf_dir, "message"), table(spark, sf_dir, "context_record"))
+
+
+def p7_redacted(spark, sf_dir):
+    """Every record's content with placeholders."""
+    return pii.redacted_tables(table(spark, sf_dir, "message"), table(spark, sf_dir, "context_record"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p4_found": p4_found, "p4_conversations": p4_conversations, "p4_threads": p4_threads, "p5_found": p5_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items}
 
 SQL: dict[str, str] = {}
