@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import copies, dialogue, leaks, mixing, pairs, pii, quality
+from strandline.llm import copies, dialogue, leaks, mixing, names, pairs, pii, quality
 from strandline.session import table
 
 
@@ -15,6 +15,15 @@ def p1_records(spark, sf_dir):
     return copies.records(table(spark, sf_dir, "message"))
 
 
+def p2_found(spark, sf_dir):
+    return names.found(table(spark, sf_dir, "message"), table(spark, sf_dir, "participant_preview"))
+
+
+def p2_identities(spark, sf_dir):
+    """Every spelling with its identity."""
+    return names.identities(table(spark, sf_dir, "message"), table(spark, sf_dir, "participant_preview"))
+
+
 def p4_found(spark, sf_dir):
     return dialogue.found(table(spark, sf_dir, "message"), table(spark, sf_dir, "source_index"))
 
@@ -69,6 +78,6 @@ def p7_redacted(spark, sf_dir):
     return pii.redacted_tables(table(spark, sf_dir, "message"), table(spark, sf_dir, "context_record"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p4_found": p4_found, "p4_conversations": p4_conversations, "p4_threads": p4_threads, "p5_found": p5_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_identities": p2_identities, "p4_found": p4_found, "p4_conversations": p4_conversations, "p4_threads": p4_threads, "p5_found": p5_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items}
 
 SQL: dict[str, str] = {}
