@@ -118,6 +118,8 @@ def parse(name: str) -> dict | None:
     text = unicodedata.normalize("NFKC", name)
     text = re.sub(r"\b[Ss]\.?\s?(?:[Aa]|[Ll]|[Rr]\.?\s?[Ll])\.?\s*$", "", text) if re.search(r"\b[Ss]\.\s?[AaLlRr]", text) else text
     handle = "_" in text or (text.islower() and " " not in text.strip() and text.isascii())
+    # Endings of firms, such as "e Hijos" or "& Sons", say nothing about which firm it is.
+    text = re.sub(r"\s(?:e|y|and|und|et|&)\s(?:hijos?|hermanos|sons?|cía|cia|co|asociados|associates|söhne|fils)\b\.?\s*$", "", text, flags=re.I)
     front = ""
     if "," in text and text.count(",") == 1:
         back, front = text.split(",")
@@ -136,7 +138,7 @@ def parse(name: str) -> dict | None:
         return None
     blank = {"given": [], "initial": "", "first": "", "second": "", "first_initial": "", "second_initial": ""}
     # An organisation names its kind first, or last, in brackets or turned round.
-    body = [x for x in bare if x[0] not in QUALIFIERS]
+    body = [x for x in bare if not any(near(x[0], q) for q in QUALIFIERS)]
     if len(body) >= 2:
         for k in (0, len(body) - 1):
             kinds = organisation(*body[k])
