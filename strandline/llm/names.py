@@ -294,7 +294,7 @@ def identities(message: DataFrame, participants: DataFrame) -> DataFrame:
     by_first = durable(by_first, "p2-by-first")
     by_second = full.where("second != ''").join(near, (full["slug"] == near["slug"]) & (full["second"] == near["word"])).select("id", full["slug"], "g", F.col("first").alias("k"), F.col("near").alias("second"))
     edges = _star(by_first.where("second != ''"), ["slug", "g", "k", "second"]).unionByName(_star(by_second, ["slug", "g", "k", "second"]))
-    root = components(full.select("id"), edges, "p2-full-names")
+    root = durable(components(full.select("id"), edges, "p2-full-names"), "p2-full-roots")
     # Names without second surname join the identity of their key if there is but one.
     keyed = by_first.join(root, "id")
     complete = keyed.where("second != '' and d = 0").groupBy("slug", "g", "k").agg(F.min("root").alias("one"), F.max("root").alias("other"))
@@ -308,7 +308,7 @@ def identities(message: DataFrame, participants: DataFrame) -> DataFrame:
     bare = keyed.where("second_initial != ''").join(complete, ["slug", "g", "k"], "left").where("one is null").join(half, ["slug", "g", "k"]).select("a", F.col("id").alias("b"))
     typed = keyed.where("second != '' and d = 1").join(half, ["slug", "g", "k"]).join(complete, ["slug", "g", "k"], "left").where("one is null or one = other").select("a", F.col("id").alias("b"))
     more = joined.unionByName(among).unionByName(marked).unionByName(bare).unionByName(typed)
-    root = components(full.select("id"), edges.unionByName(more), "p2-names")
+    root = durable(components(full.select("id"), edges.unionByName(more), "p2-names"), "p2-roots")
     # Shorter forms, each linked where a single identity matches.
     known = durable(by_first.where("d = 0").select("id", "slug", "g", "k").join(root, "id"), "p2-known")
     short = rows.where("first != '' and initial != ''").select("id", "slug", "initial", "first")

@@ -70,25 +70,24 @@ def resolve(nodes: DataFrame, sums: list[str] | None = None, label: str = "paths
     return out.select("id", F.col("ptr").alias("root"), "depth", "state", *[f"before_{s}" for s in sums])
 
 
-def components(nodes: DataFrame, edges: DataFrame, label: str = "components", max_rounds: int = 40) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, label: str = "components", max_rounds: int = 64) -> DataFrame:
     """(id, root): the smallest id each node is connected to. nodes: id; edges: a, b, ids of nodes, in any order.
 
-    Each round hooks every root to the smallest root next to it and then halves the way to the root by pointer
-    jumping, so the number of rounds grows with the logarithm of the longest chain. Edges inside a component drop out
-    as soon as it is known; nothing but the number of edges left comes to the driver.
+    Each round a node takes the smallest of its pointer's pointer and those of its neighbours, so pointers jump twice
+    as far every round, and the rounds grow with the logarithm of the longest chain. Only nodes with edges take part;
+    nothing but whether anything moved comes to the driver.
     """
-    root = nodes.select("id").distinct().withColumn("root", F.col("id"))
-    ends = durable(edges.where("a != b").select("a", "b"), label)
-    root = durable(root, label)
+    both = edges.where("a != b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    ends = durable(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), label)
+    point = durable(ends.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("v")).select("id", F.least("id", "v").alias("root")), label)
     for _ in range(max_rounds):
-        ra, rb = root.select(F.col("id").alias("a"), F.col("root").alias("ra")), root.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-        ends = durable(ends.join(ra, "a").join(rb, "b").where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), label)
-        if ends.isEmpty():
+        up = point.select(F.col("id").alias("up"), F.col("root").alias("far"))
+        jumped = point.join(up, point["root"] == up["up"]).select("id", "root", "far")
+        near = ends.join(jumped.select(F.col("id").alias("v"), "far"), "v").groupBy(F.col("u").alias("id")).agg(F.min("far").alias("near"))
+        moved = durable(jumped.join(near, "id").select("id", F.least("far", "near").alias("root"), (F.least("far", "near") != F.col("root")).alias("moved")), label)
+        point = moved.select("id", "root")
+        if moved.where("moved").isEmpty():
             break
-        # A root follows its smallest smaller neighbour; chains of hooks are then followed to their end.
-        hook = ends.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("to")).groupBy("id").agg(F.min("to").alias("to"))
-        tops = ends.select(F.col("a").alias("id")).unionByName(ends.select(F.col("b").alias("id"))).distinct()
-        forest = tops.join(hook, "id", "left").select("id", F.col("to").alias("parent"))
-        top = resolve(durable(forest, label), [], label).select(F.col("id").alias("old"), F.col("root").alias("new"))
-        root = durable(root.join(top, root["root"] == top["old"], "left").select("id", F.coalesce("new", "root").alias("root")), label)
-    return root
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return nodes.select("id").distinct().join(point, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
