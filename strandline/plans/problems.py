@@ -26,9 +26,9 @@ SQL = {
         WITH e AS (SELECT *, lower(trim(event_type)) AS kind FROM ledger
                    WHERE event_id IS NOT NULL AND created_at IS NOT NULL AND lower(trim(event_type)) IN ('correction', 'undo')),
         f AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ledger_line) AS rn FROM e),
-        k AS (SELECT slug, event_id, kind, ledger_line, CAST(created_at AS TIMESTAMPTZ) AS at,
+        k AS (SELECT slug, event_id, kind, ledger_line, CAST(created_at AS TIMESTAMPTZ) AS instant,
                      CASE kind WHEN 'undo' THEN regexp_replace(target_claim_id, ':(assert|retract)$', '') ELSE claim_id END AS claim
               FROM f WHERE rn = 1),
-        l AS (SELECT *, row_number() OVER (PARTITION BY slug, claim ORDER BY at DESC, ledger_line DESC) AS rn FROM k WHERE claim IS NOT NULL)
+        l AS (SELECT *, row_number() OVER (PARTITION BY slug, claim ORDER BY instant DESC, ledger_line DESC) AS rn FROM k WHERE claim IS NOT NULL)
         SELECT claim AS claim_id, event_id FROM l WHERE rn = 1 AND kind = 'correction'""",
 }
