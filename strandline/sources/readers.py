@@ -42,10 +42,10 @@ LEAST_CHARS = 20
 
 def whole_files(spark: SparkSession, path: str, pattern: str | None = None, deep: bool = False) -> DataFrame:
     """(file, path, text) of each file, without a byte order mark."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", deep)
+    reader = spark.read.option("recursiveFileLookup", deep)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.regexp_replace("value", "^﻿", "").alias("text"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.regexp_replace("value", "^﻿", "").alias("text"))
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -272,9 +272,13 @@ def _ignored(root_path: str, spark: SparkSession) -> list[str]:
     patterns = [".obsidian", ".trash", "node_modules", ".raw"]
     for name in (".obsidianignore", ".gitignore"):
         where = spark._jvm.org.apache.hadoop.fs.Path(f"{root_path}/{name}")
-        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-            # Ignore files are a few lines of configuration.
-            patterns += [x.rstrip("/") for r in spark.read.text(f"{root_path}/{name}").collect() if (x := r[0].strip()) and not x.startswith("#")]
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(where):
+            # Ignore files are a few lines of configuration; Spark's own readers leave out hidden files.
+            stream = fs.open(where)
+            text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            patterns += [x.rstrip("/") for line in text.splitlines() if (x := line.strip()) and not x.startswith("#")]
     return patterns
 
 
