@@ -25,11 +25,10 @@ from strandline.functions.text import clean_role, says_something
 from strandline.session import durable
 
 _WORDS = re.compile(r"[^\W_]+")
+_INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff]")
 _SEPARATORS = [re.compile(r"[\r\n]+"), re.compile(r";"), re.compile(r"\|"), re.compile(r"[\r\n;|]+")]
 #: A bucket fits up to this many rows, or up to this share of all rows where that is more: at most 1/share are oversized.
 FIT_ROWS, FIT_SHARE = 50_000, 1 / 1024
-#: Shared bytes skipped at most in one step.
-SKIP = 32
 
 
 def words(text: str) -> list[str]:
@@ -45,7 +44,8 @@ def fields(text: str) -> list[tuple[str, str]] | None:
     i, j = text.find("{"), text.rfind("}")
     if 0 <= i < j and not _WORDS.search(text[:i]) and not _WORDS.search(text[j + 1 :]):
         try:
-            obj = json.loads(text[i : j + 1], object_pairs_hook=list)
+            # White space of any kind, or none to be seen, does not make it another object.
+            obj = json.loads(_INVISIBLE.sub("", re.sub(r"\s", " ", text[i : j + 1])), object_pairs_hook=list)
         except (ValueError, RecursionError):
             obj = None
         if isinstance(obj, list) and len(obj) >= 3 and all(isinstance(x, tuple) for x in obj):
@@ -103,12 +103,27 @@ def canonical_rows(message: DataFrame) -> DataFrame:
     return plain.join(bridge, "key", "left").select("seq", F.coalesce("form_key", "key").alias("key"))
 
 
+@F.pandas_udf(T.IntegerType())
+def _shared(low: pd.Series, high: pd.Series) -> pd.Series:
+    """Bytes that two keys share from the start; for a bucket's least and greatest key, those that all its keys share."""
+
+    def count(a: bytes, b: bytes) -> int:
+        n = min(len(a), len(b))
+        if a[:n] == b[:n]:
+            return n
+        x, y = np.frombuffer(a, np.uint8, n), np.frombuffer(b, np.uint8, n)
+        return int(np.argmax(x != y))
+
+    return pd.Series([count(bytes(a), bytes(b)) for a, b in zip(low, high, strict=True)])
+
+
 def radix(rows: DataFrame) -> tuple[DataFrame, int]:
     """Split the keys of `rows` (seq, key) into buckets that fit.
 
     Gives the rows with leaf (the bucket's prefix) and first_hot (set only for rows of a form that alone exceeds a
     bucket: its smallest seq), and the number of split steps. Each step counts the rows still open by one more byte,
-    pre-aggregated; only oversized buckets, 1/FIT_SHARE at most, come to the driver.
+    pre-aggregated; of the oversized buckets, 1/FIT_SHARE at most, the prefixes and the numbers of bytes that all their
+    keys share come to the driver. Shared bytes are skipped at once, however many, so a step always parts rows.
     """
     spark = rows.sparkSession
     total = rows.count()
@@ -116,48 +131,41 @@ def radix(rows: DataFrame) -> tuple[DataFrame, int]:
     out = rows.withColumn("depth", F.lit(0)).withColumn("leaf", F.lit(None).cast("binary")).withColumn("first_hot", F.lit(None).cast("long"))
     if total <= fit:
         return out.withColumn("leaf", F.lit(b"")).drop("depth"), 0
+    cut = F.substring(F.col("key"), F.lit(1), F.col("depth") + 1)
     steps = 0
     while True:
-        open_rows = out.where("leaf is null")
-        start = F.col("depth") + 2
-        counted = open_rows.groupBy("depth", F.substring(F.col("key"), F.lit(1), F.col("depth") + 1).alias("prefix")).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("seq").alias("first_seq"),
-            (F.min(F.xxhash64("key")) == F.max(F.xxhash64("key"))).alias("single"),
-            F.min(F.length("key")).alias("shortest"),
-            *[f(_part(start, k)).alias(f"{name}{k}") for k in range(SKIP // 7) for name, f in (("lo", F.min), ("hi", F.max))],
-        )
-        over = counted.where(F.col("n") > fit).collect()
+        open_rows = out.where("leaf is null").select("seq", "key", "depth", cut.alias("cut"))
+        counted = open_rows.groupBy("depth", "cut").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.min(F.xxhash64("key")).alias("a"), F.max(F.xxhash64("key")).alias("z"))
+        # A prefix of a very long shared run would itself be long: it is known by its digest.
+        over = counted.where(F.col("n") > fit).select(F.sha2("cut", 256).alias("digest"), F.col("depth").alias("at"), F.when(F.col("a") == F.col("z"), F.col("first_seq")).alias("first_seq"))
+        known = over.collect()
         steps += 1
-        known = []
-        for r in over:
-            shared = 0
-            for k in range(SKIP // 7):
-                a, b = int(r[f"lo{k}"]).to_bytes(7), int(r[f"hi{k}"]).to_bytes(7)
-                same = next((i for i in range(7) if a[i] != b[i]), 7)
-                shared += same
-                if same < 7:
-                    break
-            depth = min(r["depth"] + 1 + shared, max(r["shortest"], r["depth"] + 1))
-            known.append((bytes(r["prefix"]), int(r["depth"]), depth, r["first_seq"] if r["single"] else None))
-        table = spark.createDataFrame(known or [(b"", -1, 0, None)], "prefix binary, at int, next_depth int, first_seq long")
-        cut = F.substring(F.col("key"), F.lit(1), F.col("depth") + 1)
-        j = out.withColumn("cut", F.when(F.col("leaf").isNull(), cut)).join(F.broadcast(table), (F.col("cut") == F.col("prefix")) & (F.col("depth") == F.col("at")), "left")
-        closes = F.col("leaf").isNull() & (F.col("prefix").isNull() | F.col("first_seq").isNotNull())
+        # `first_seq` set: one form alone, which no byte can part. Otherwise the bucket goes on after its shared bytes.
+        many = [(r["digest"], r["at"]) for r in known if r["first_seq"] is None]
+        depths = {}
+        if many:
+            wide = spark.createDataFrame(many, "digest string, at int")
+            inside = open_rows.withColumn("digest", F.sha2("cut", 256)).join(F.broadcast(wide), ["digest"]).where("depth = at")
+            ends = inside.groupBy("digest", "at").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+            depths = {(r["digest"], r["at"]): r["shared"] for r in ends.select("digest", "at", _shared("low", "high").alias("shared")).collect()}
+        table = spark.createDataFrame([(r["digest"], r["at"], depths.get((r["digest"], r["at"]), 0), r["first_seq"]) for r in known] or [("", -1, 0, None)], "digest string, at int, next_depth int, first_seq long")
+        digest = F.when(F.col("leaf").isNull(), F.sha2(cut, 256))
+        j = out.withColumn("digest", digest).join(F.broadcast(table), "digest", "left")
+        held = F.col("leaf").isNull() & (F.col("at") == F.col("depth"))
+        closes = F.col("leaf").isNull() & (~F.coalesce(held, F.lit(False)) | F.col("first_seq").isNotNull())
         out = j.select(
             "seq",
             "key",
-            F.when(F.col("leaf").isNull(), F.coalesce("next_depth", "depth")).otherwise(F.col("depth")).cast("int").alias("depth"),
-            F.when(closes, F.col("cut")).otherwise(F.col("leaf")).alias("leaf"),
-            F.coalesce("first_hot", "first_seq").alias("first_hot"),
+            F.when(held, F.greatest("next_depth", F.col("depth") + 1)).otherwise(F.col("depth")).cast("int").alias("depth"),
+            # The leaf is known by the digest of its prefix: equal prefixes of equal length, one bucket.
+            F.when(closes, F.unhex("digest")).otherwise(F.col("leaf")).alias("leaf"),
+            F.coalesce("first_hot", F.when(held, F.col("first_seq"))).alias("first_hot"),
         )
-        if all(k[3] is not None for k in known):
+        if not many:
             return out.drop("depth"), steps
-
-
-def _part(start: F.Column, k: int) -> F.Column:
-    """Seven bytes of the key from `start` + 7k on as a number; bytes beyond the key's end count as 0."""
-    return F.conv(F.rpad(F.hex(F.substring(F.col("key"), start + 7 * k, F.lit(7))), 14, "0"), 16, 10).cast("long")
+        if steps % 6 == 0:
+            # Adversarial keys may take many steps: the plan must not grow with them.
+            out = durable(out, "p1-radix")
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

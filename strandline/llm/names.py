@@ -205,26 +205,34 @@ def trie(words: list[str]) -> dict:
 def neighbours(top: dict, word: str) -> list[str]:
     """Words of the trie within one edit of `word`: the trie is walked with the states of its Levenshtein automaton.
 
-    A state is the row of edit distances to the prefixes of `word`; a branch whose row exceeds one throughout is left.
+    A state is the edit distance of the path to the three prefixes of `word` whose lengths are within one of its own;
+    all others exceed one. A branch whose state exceeds one throughout is left, so a step costs the same for any word.
     """
-    out = []
-    start = list(range(len(word) + 1))
-    stack = [(top, "", start, None)]
+    out, n, far = [], len(word), 9
+    # (node, depth, last letter, distances to the prefixes of depth - 1, depth, depth + 1, and those one letter before)
+    stack = [(top, 0, "", (far, 0, 1), (far, far, far))]
     while stack:
-        node, last, row, before = stack.pop()
+        node, d, last, row, before = stack.pop()
         for c, nxt in node.items():
             if c == "":
-                if row[-1] <= 1:
+                if 0 <= n - d + 1 <= 2 and row[n - d + 1] <= 1:
                     out.append(nxt)
                 continue
-            new = [row[0] + 1]
-            for j, w in enumerate(word, 1):
-                cost = min(new[-1] + 1, row[j] + 1, row[j - 1] + (w != c))
-                if before is not None and j > 1 and c == word[j - 2] and last == w:
-                    cost = min(cost, before[j - 2] + 1)
-                new.append(cost)
-            if min(new) <= 1 or min(row) <= 1:
-                stack.append((nxt, c, new, row))
+            new = [far, far, far]
+            for k in range(3):
+                j = d + k
+                if not 0 <= j <= n:
+                    continue
+                cost = row[k + 1] + 1 if k < 2 else far
+                if k:
+                    cost = min(cost, new[k - 1] + 1)
+                if j and row[k] + (word[j - 1] != c) < cost:
+                    cost = row[k] + (word[j - 1] != c)
+                if j > 1 and d and c == word[j - 2] and last == word[j - 1]:
+                    cost = min(cost, before[k] + 1)
+                new[k] = cost
+            if min(new) <= 1:
+                stack.append((nxt, d + 1, c, tuple(new), row))
     return out
 
 
