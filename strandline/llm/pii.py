@@ -38,9 +38,9 @@ AMBIGUOUS = _W("rosa rose luz mark ángel dolores mercedes concepción victoria
 GIVEN_LIKE = GIVEN | AMBIGUOUS
 TITLES = _W("dr dra sr sra srta mr mrs ms miss don doña prof profa ing lic herr frau mme")
 NAME_LEFT = _W(
-    "hola hi hello hey dear querido querida estimado estimada hallo bonjour cher chère signed firmado firma hugs abrazo besos saludos regards dile diles tell told ask asked call llama llamó para for con with to a preguntó pregunta dice dijo says said cumple birthday de of did contó saw vi visto met gracias thanks thank es soy sincerely atentamente love hablé talked spoke von mit für par avec pour"
+    "hola hi hello hey dear querido querida estimado estimada hallo bonjour cher chère signed firmado firma hugs abrazo besos saludos regards dile diles tell told ask asked call llama llamó para for con with to a preguntó pregunta dice dijo says said cumple birthday de of did contó saw vi visto met gracias thanks thank es soy sincerely atentamente love hablé talked spoke von mit für par avec pour viene vino llega llegó ask lunch invite"
 )
-NAME_RIGHT = _W("says said dice dijo que tell told came vino llamó called llegamos is está y and at en por lo to we no will how cómo me te wrote writes escribió asked preguntó sagt was were yo i has had wants quiere llegó might por")
+NAME_RIGHT = _W("says said dice dijo que tell told came vino llamó called llegamos is está y and at en por lo to we no will how cómo me te wrote writes escribió asked preguntó sagt works lives will estuvo se came comes was were yo i has had wants quiere llegó might por")
 ARTICLES = _W("el la los las un una unos unas the a an this that my mi tu su your our der die das le les l del al")
 FIRM = _W("ferretería librería bakery bookshop clinic clínica garage gimnasio gym academia cooperativa fundación inmobiliaria panadería taller farmacia hotel restaurante envíos ltd inc sl sa gmbh company compañía banco bank escuela school museo museum")
 PLACE = _W("puerto san santa santo puente villa monte río lago lake mount port plaza parque park barrio calle avenida pasaje rue street road")
@@ -162,9 +162,14 @@ def address_candidates(t: Text) -> Iterator[tuple[int, int, list[float]]]:
 
 def name_candidates(t: Text) -> Iterator[tuple[int, int, list[float]]]:
     ws = t.words
+    # A name inside an e-mail address is none.
+    mails = [m.span() for p in _EMAILS[:4] for m in p.finditer(t.text)] if re.search(r"@|arroba|\bat\b", t.text, re.I) else []
     i = 0
     while i < len(ws):
         start, end, w, low = ws[i]
+        if any(a <= start < b for a, b in mails):
+            i += 1
+            continue
         title = low in TITLES and i + 1 < len(ws) and ws[i + 1][0] - end <= 2 and ws[i + 1][2] != "" and len(ws[i + 1][2]) > 2
         given = low in GIVEN_LIKE
         inner = i > 0 and w[0].isupper() and w[1:].islower() and t.case == 0 and not re.search(r"[.!?¿¡\n]\W*$", t.text[ws[i - 1][1] : start])
@@ -195,11 +200,12 @@ def name_candidates(t: Text) -> Iterator[tuple[int, int, list[float]]]:
             bool(re.search(r"[:,]\s*$", before)), bool(after[:1] in ",.;!?:" and after), after == "", l1 in FIRM or low in FIRM, bool({x[3] for x in ws[i:j]} & FIRM) or r1 in FIRM, l1 in PLACE or low in PLACE,
             bool(before.strip()) and before.strip()[-1] in ":", "@" in t.text[max(0, start - 1) : ws[j - 1][1] + 1], bool(re.search(r"\d", t.text[max(0, start - 6) : start] + t.text[ws[j - 1][1] : ws[j - 1][1] + 6])),
             len(left) > 1 and left[1] in NAME_LEFT, l1 in ("un", "una", "the", "la", "el", "a", "an"), r1 in ("the", "del", "by", "de", "se", "you", "it", "him", "form", "for", "and"), l1 in ("a", "to", "con", "with", "para", "for", "de", "of"),
-            len(ws) == j - i,
+            len(ws) == j - i, r1 in ("y", "and") and len(right) > 1 and right[1] in ("yo", "i"), l1 == "" and r1 in NAME_RIGHT and r1 not in COMMON_RIGHT,
         ]
         i = j if (title or given) else i + 1
 
 
+COMMON_RIGHT = _W("y and en por lo to at no is se que we i will how")
 # Words that follow a name in the patterns of talk, and are no part of it.
 _COMMON_NEXT = _W("llegamos preguntó birthday traiga viene agreed cinema acuerdo contó before after tomorrow mañana anoche cuando porque aunque because although yesterday siempre always nothing everything puedo could would should gracias thanks please favor")
 
@@ -258,7 +264,7 @@ def _entity(r: random.Random, kind: str) -> str:
         tld = r.choice(["example", "test", "invalid", "com", "org", "es"])
         plain, dots = f"{user}@{host}.{tld}", f"{host}.{tld}".replace(".", " punto ")
         return r.choice([plain, plain, plain, f"{user} (at) {host}.{tld}", f"{user}[at]{host.replace('.', '[dot]')}[dot]{tld}", f"{user} arroba {dots}", f"{user} at {host} dot {tld}"])
-    given = r.choice(sorted(GIVEN)).title()
+    given = r.choice(sorted(GIVEN & AMBIGUOUS) if r.random() < 0.25 else sorted(GIVEN)).title()
     return r.choice([given, given, f"{given} {_surname(r)}", f"{given} {_surname(r)} {_surname(r)}", f"{r.choice(['Dr.', 'Dra.', 'Sra.', 'Sr.', 'Mrs.', 'Mr.', 'don', 'doña', 'Ms.'])} {_surname(r)}"])
 
 
