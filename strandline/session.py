@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -52,6 +53,19 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def durable_count(df: DataFrame, label: str, flag: str) -> tuple[DataFrame, int]:
+    """`durable`, and how many of the rows written have the flag: counted as they are written, without another job."""
+    seen = Observation()
+    out = durable(df.observe(seen, F.sum(F.col(flag).cast("long")).alias("n")), label)
+    return out, seen.get["n"] or 0
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of what finished jobs of a long iteration left in the driver: plans, broadcasts, generated classes."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def hot_keys(df: DataFrame, keys: list[str], share: float = 1 / 256) -> DataFrame:
     """Keys that hold more than `share` of the rows: at most 1/share of them, so the result may be broadcast.
 
