@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import durable
+from strandline.session import durable, durable_count, release
 
 
 def resolve(nodes: DataFrame, sums: list[str] | None = None, label: str = "paths", max_rounds: int = 64) -> DataFrame:
@@ -84,10 +84,12 @@ def components(nodes: DataFrame, edges: DataFrame, label: str = "components", ma
         up = point.select(F.col("id").alias("up"), F.col("root").alias("far"))
         jumped = point.join(up, point["root"] == up["up"]).select("id", "root", "far")
         near = ends.join(jumped.select(F.col("id").alias("v"), "far"), "v").groupBy(F.col("u").alias("id")).agg(F.min("far").alias("near"))
-        moved = durable(jumped.join(near, "id").select("id", F.least("far", "near").alias("root"), (F.least("far", "near") != F.col("root")).alias("moved")), label)
+        step = jumped.join(near, "id").select("id", F.least("far", "near").alias("root"), (F.least("far", "near") != F.col("root")).alias("moved"))
+        moved, n = durable_count(step, label, "moved")
         point = moved.select("id", "root")
-        if moved.where("moved").isEmpty():
+        if not n:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    release(nodes.sparkSession)
     return nodes.select("id").distinct().join(point, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
