@@ -25,10 +25,14 @@ def visible(col: Column) -> Column:
 
 
 def says_something(col: Column) -> Column:
-    """False for null, blank or invisible text and for a bare media marker; never null."""
-    bare = F.lower(visible(col))
-    collapsed = F.regexp_replace(bare, rf"(?U){INVISIBLE}+", " ")
-    return F.coalesce((bare != "") & ~collapsed.isin(*MEDIA_MARKERS), F.lit(False))
+    """False for null, blank or invisible text and for a bare media marker; never null.
+
+    Both patterns settle at the first letters of an ordinary text.
+    """
+    markers = "|".join(m.replace(" ", f"{INVISIBLE}+") for m in MEDIA_MARKERS)
+    seen = col.rlike(f"(?U)[^{INVISIBLE[1:]}")
+    marker = col.rlike(f"(?iuU)^{INVISIBLE}*(?:{markers}){INVISIBLE}*$")
+    return F.coalesce(seen & ~marker, F.lit(False))
 
 
 def clean_role(col: Column) -> Column:
