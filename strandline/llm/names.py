@@ -270,6 +270,49 @@ def spellings(message: DataFrame, participants: DataFrame) -> DataFrame:
     return both.where(F.col("slug").isNotNull() & F.col("name").rlike(r"\S")).distinct()
 
 
+#: Links of an archive, and of the archives that share a task, that are followed in one task.
+LINKS = 200_000
+
+
+def _follow(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Union-find over the links of whole archives: each linked name with the smallest name of its component."""
+    top: dict = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for slug, a, b in zip(pdf["slug"], pdf["a"], pdf["b"], strict=True):
+        x, y = find((slug, a)), find((slug, b))
+        if x != y:
+            # Spark orders strings by their UTF-8 bytes.
+            low, high = (x, y) if x[1].encode() < y[1].encode() else (y, x)
+            top[high] = low
+    return pd.DataFrame([(k[0], k[1], find(k)[1]) for k in list(top)], columns=["slug", "name", "top"])
+
+
+def linked(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
+    """(id, root) as `components` gives: links never leave an archive, so archives with up to LINKS of them are
+    followed whole, several to a task by their number; larger ones by pointer jumping over all executors."""
+    e = durable(edges.where("a != b").select(F.col("a.slug").alias("slug"), F.col("a.name").alias("a"), F.col("b.name").alias("b")), label)
+    sizes = e.groupBy("slug").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.agg(F.sum("n").alias("all"), F.max("n").alias("one")).first()
+    if not most["all"]:
+        return nodes.select("id", F.col("id").alias("root")).distinct()
+    large = most["one"] > LINKS
+    small = e.join(sizes.where(F.col("n") > LINKS), "slug", "left_anti") if large else e
+    bundle = F.pmod(F.xxhash64("slug"), F.lit(most["all"] // LINKS + 1))
+    found = small.withColumn("bundle", bundle).groupBy("bundle").applyInPandas(_follow, "slug string, name string, top string")
+    roots = found.select(F.struct("slug", "name").alias("id"), F.struct("slug", F.col("top").alias("name")).alias("root"))
+    if large:
+        rest = e.join(sizes.where(F.col("n") > LINKS), "slug", "left_semi").select(F.struct("slug", F.col("a").alias("name")).alias("a"), F.struct("slug", F.col("b").alias("name")).alias("b"))
+        ends = rest.select(F.col("a").alias("id")).unionByName(rest.select(F.col("b").alias("id")))
+        roots = roots.unionByName(components(ends, rest, label))
+    return nodes.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
 def _star(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Edges (a, b) from each name of a key to the smallest one."""
     top = rows.groupBy(*keys).agg(F.min("id").alias("a"))
@@ -302,7 +345,7 @@ def identities(message: DataFrame, participants: DataFrame) -> DataFrame:
     by_first = durable(by_first, "p2-by-first")
     by_second = full.where("second != ''").join(near, (full["slug"] == near["slug"]) & (full["second"] == near["word"])).select("id", full["slug"], "g", F.col("first").alias("k"), F.col("near").alias("second"))
     edges = _star(by_first.where("second != ''"), ["slug", "g", "k", "second"]).unionByName(_star(by_second, ["slug", "g", "k", "second"]))
-    root = durable(components(full.select("id"), edges, "p2-full-names"), "p2-full-roots")
+    root = durable(linked(full.select("id"), edges, "p2-full-names"), "p2-full-roots")
     # Names without second surname join the identity of their key if there is but one.
     keyed = by_first.join(root, "id")
     complete = keyed.where("second != '' and d = 0").groupBy("slug", "g", "k").agg(F.min("root").alias("one"), F.max("root").alias("other"))
@@ -316,7 +359,7 @@ def identities(message: DataFrame, participants: DataFrame) -> DataFrame:
     bare = keyed.where("second_initial != ''").join(complete, ["slug", "g", "k"], "left").where("one is null").join(half, ["slug", "g", "k"]).select("a", F.col("id").alias("b"))
     typed = keyed.where("second != '' and d = 1").join(half, ["slug", "g", "k"]).join(complete, ["slug", "g", "k"], "left").where("one is null or one = other").select("a", F.col("id").alias("b"))
     more = joined.unionByName(among).unionByName(marked).unionByName(bare).unionByName(typed)
-    root = durable(components(full.select("id"), edges.unionByName(more), "p2-names"), "p2-roots")
+    root = durable(linked(full.select("id"), edges.unionByName(more), "p2-names"), "p2-roots")
     # Shorter forms, each linked where a single identity matches.
     known = durable(by_first.where("d = 0").select("id", "slug", "g", "k").join(root, "id"), "p2-known")
     short = rows.where("first != '' and initial != ''").select("id", "slug", "initial", "first")
@@ -331,7 +374,7 @@ def identities(message: DataFrame, participants: DataFrame) -> DataFrame:
     same = _star(given.where("first_initial = ''").select("id", "slug", "g"), ["slug", "g"]).unionByName(_star(given.where("first_initial != ''").select("id", "slug", "g", "first_initial"), ["slug", "g", "first_initial"]))
     same = same.unionByName(_star(short.where("d = 0").select("id", "slug", "initial", "k"), ["slug", "initial", "k"]))
     ends = root.where("id != root").select(F.col("root").alias("a"), F.col("id").alias("b"))
-    final = components(rows.select("id"), ends.unionByName(last).unionByName(same), "p2-identities")
+    final = linked(rows.select("id"), ends.unionByName(last).unionByName(same), "p2-identities")
     return final.select("id.slug", "id.name", F.col("root.name").alias("identity"))
 
 

@@ -52,6 +52,13 @@ def test_one_person_many_spellings(make):
     assert identities(make, *one, *relative, *namesake, *firm) == sorted(map(sorted, [one, relative, namesake, firm]))
 
 
+def test_large_archives_take_pointer_jumping(make, monkeypatch):
+    people = ["Teresa Soranada Pelona", "Tere Soranada", "Teresa Soranda", "tsoranada", "Mark Lopera", "M. Lopera", "MARK LOPERA", "Rosa Uraniro"]
+    whole = identities(make, *people)
+    monkeypatch.setattr(names, "LINKS", 1)
+    assert identities(make, *people) == whole and len(whole) == 3
+
+
 def test_ambiguous_short_forms_stay_apart(make):
     got = identities(make, "Susan Barumulde", "Susan Larillueta", "Susan", "S. Barumulde", "Susan L.", "Rosa Uraniro", "Rose Uraniro", "R. Uraniro")
     assert ["Susan"] in got and ["S. Barumulde", "Susan Barumulde"] in got and ["Susan L.", "Susan Larillueta"] in got
