@@ -43,6 +43,7 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     The first places are found by a pre-aggregated minimum; the rows follow by a semi join, so a key that holds a
     third of all rows costs its task one number per input partition.
     """
+    order = [o for o in order if o not in keys]
     place = F.struct(*order)
     first = df.groupBy(*keys).agg(F.min(place).alias("__p")).select(*keys, *[F.col(f"__p.{o}").alias(o) for o in order])
     cond = None

@@ -36,13 +36,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A machine-local one is used only where the session names none (tests)."""
+    """This application's part of the folder all executors share. A machine-local one is used only where the session names none (tests)."""
     found = spark.conf.get(CHECKPOINT_CONF, None)
-    if found:
-        return found.rstrip("/")
-    path = "file://" + os.path.join(tempfile.gettempdir(), f"strandline-{os.getpid()}")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    if not found:
+        found = "file://" + os.path.join(tempfile.gettempdir(), f"strandline-{os.getpid()}")
+        spark.sparkContext.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/strandline-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application. Call it when results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:

@@ -5,14 +5,16 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from strandline.session import local_session
+from strandline.session import clean, local_session
 
 DATA = os.environ.get("STRANDLINE_TESTDATA", "/root/testdata")
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, "tests", 4)
+    s = local_session(4, "tests", 4)
+    yield s
+    clean(s)
 
 
 @pytest.fixture(scope="session")
