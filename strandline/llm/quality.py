@@ -7,6 +7,7 @@ outcomes are derived from the totals. The figures do not depend on where the chu
 
 from __future__ import annotations
 
+import math
 import pickle
 import re
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from strandline.session import durable
 
 #: Characters of a chunk, and how many neighbouring states are merged at once.
 CHUNK, FAN_IN = 65_536, 32
-#: Bits of the bitmaps that count different words and lines; linear counting is exact enough far beyond what matters.
+#: Places of the hashed sets that count different words and lines; linear counting is exact enough far beyond what matters.
 BITS = 4096
 #: A run of whole chunks without a line end is closed as a line once it is this long, so that no state holds a whole text.
 LONG_LINE = 4 * CHUNK
@@ -39,7 +40,7 @@ _SPEAKER = re.compile(r"^\s*(?:\[?\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}[^A-Za-zÀ-ÿ]{
 _ENDED = re.compile(r"[.!?…]+[\"'»”)\]]*\s*$")
 _INNER = re.compile(r"[.!?…]+[\"'»”)\]]*\s+(?=[\"'«“¿¡(]*[^\W\d_])")
 _GARBLED = re.compile("[\ufffd\x00-\x08\x0e-\x1f\x80-\x9f]|[\u00c2\u00c3][\u0080-\u00bf]|\u00e2\u20ac")
-_CASED = re.compile(r"[^\W\d_]")
+_DIGIT, _SPACE, _VOWEL = re.compile(r"\d"), re.compile(r"\s"), re.compile("[aeiouáéíóúàèùâêîôûäöüy]", re.I)
 
 #: Additive figures of a state.
 COUNTS = [
@@ -53,13 +54,11 @@ class State:
     """Counts of the finished lines, and the unfinished first and last line (the same one where no line ended)."""
 
     counts: dict = field(default_factory=lambda: dict.fromkeys(COUNTS, 0))
-    words: int = 0
-    lines: int = 0
+    words: set = field(default_factory=set)
+    lines: set = field(default_factory=set)
     head: str = ""
     tail: str | None = None
 
-    def bits(self, text: str) -> int:
-        return 1 << (xxhash.xxh64_intdigest(text) % BITS)
 
 
 def _count_line(s: State, line: str) -> None:
@@ -70,23 +69,22 @@ def _count_line(s: State, line: str) -> None:
         return
     c["lines"] += 1
     c["visible"] += len(bare) - bare.count(" ")
-    s.lines |= s.bits(bare)
+    s.lines.add(xxhash.xxh64_intdigest(bare) % BITS)
     ws = _WORD.findall(bare)
     low = [w.lower() for w in ws]
-    for w in low:
-        s.words |= s.bits(w)
+    s.words.update(xxhash.xxh64_intdigest(w) % BITS for w in set(low))
     n = len(ws)
     c["words"] += n
     c["wordlen"] += sum(map(len, ws))
     c["long_words"] += sum(len(w) > 24 for w in ws)
     c["common"] += sum(w in COMMON for w in low)
-    letters = len(_CASED.findall(bare))
-    digits = sum(ch.isdigit() for ch in bare)
+    letters = sum(map(str.isalpha, bare))
+    digits = len(_DIGIT.findall(bare))
     c["letters"] += letters
     c["digits"] += digits
-    c["symbols"] += len(bare) - letters - digits - sum(ch.isspace() for ch in bare)
+    c["symbols"] += len(bare) - letters - digits - len(_SPACE.findall(bare))
     c["garbled"] += sum(map(len, _GARBLED.findall(bare)))
-    c["vowels"] += sum(ch in "aeiouáéíóúàèùâêîôûäöüy" for ch in bare.lower())
+    c["vowels"] += len(_VOWEL.findall(bare))
     mark = _MARK.match(line)
     marked = mark is not None
     entry = line[mark.end() :].strip() if marked else bare
@@ -149,17 +147,15 @@ def merge(a: State, b: State) -> State:
 
 def close(s: State) -> State:
     """The state with its border lines counted."""
-    out = State(dict(s.counts), s.words, s.lines)
+    out = State(dict(s.counts), set(s.words), set(s.lines))
     _count_line(out, s.head)
     if s.tail is not None:
         _count_line(out, s.tail)
     return out
 
 
-def _distinct(bitmap: int, most: int) -> float:
-    import math
-
-    zero = BITS - bitmap.bit_count()
+def _distinct(seen: set, most: int) -> float:
+    zero = BITS - len(seen)
     return min(float(most), BITS * math.log(BITS / max(zero, 0.5)))
 
 
