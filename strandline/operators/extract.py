@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.session import lookup_join
+
 # Confidences by how a name was found, and the least that counts.
 FLOOR, KNOWN, EXPLICIT, CONTEXT, COREFERENCE, MULTIWORD = 0.80, 0.99, 0.96, 0.90, 0.84, 0.82
 #: Messages without mention over which a pronoun still refers to the last one.
@@ -124,7 +126,7 @@ def extract(messages: DataFrame, participants: DataFrame) -> DataFrame:
     """
     names = participants.groupBy("slug").agg(F.array_sort(F.collect_set("name")).alias("known"))
     said = messages.where(F.col("role") == "assistant").select("slug", "seq", F.trim(F.coalesce("sender", F.lit(""))).alias("sender"), F.coalesce("content", F.lit("")).alias("content"))
-    rows = said.join(names, "slug", "left").withColumn("key", F.lower("sender")).repartition("slug", "key").sortWithinPartitions("slug", "key", "seq")
+    rows = lookup_join(said, names, ["slug"], "seq", ["known"]).withColumn("key", F.lower("sender")).repartition("slug", "key").sortWithinPartitions("slug", "key", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, last, age = None, None, 99

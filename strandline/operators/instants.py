@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.timestamps import canonical, instant_us, usable_zone
-from strandline.session import hot_keys
+from strandline.session import hot_keys, lookup_join
 
 KEY = ["stamp", "zone", "month_first", "apple"]
 #: Rows that hold one key are spread over so many salts where the key is hot.
@@ -34,9 +34,9 @@ def stamp_rows(rows: DataFrame, sources: DataFrame, row_id: str) -> DataFrame:
     in files of different zones is parsed once. A file that source_index lacks is read as UTC, day first.
     """
     s = rows.select(F.col(row_id).alias("row_id"), "source_file", F.col("timestamp").alias("stamp"), F.lower("source_type").alias("kind")).where("stamp is not null and row_id is not null")
-    joined = s.join(sources.select("source_file", "time_zone", "locale"), "source_file", "left")
+    joined = lookup_join(s, sources, ["source_file"], "row_id", ["time_zone", "locale"])
     bare = F.col("stamp").rlike(r"^[\s\p{Z}]*\d+[\s\p{Z}]*$")
-    fixed = bare | F.col("stamp").rlike(r"(?i)(z|[+-]\d{2}:?\d{2}|[a-z]{3,4})[\s\p{Z}]*$") & ~F.col("stamp").rlike(r"(?i)m\.?[\s\p{Z}\]]*$") | F.col("stamp").rlike(r" [+-]\d{4} \d{4}[\s\p{Z}]*$")
+    fixed = bare | F.col("stamp").rlike(r"(?i)(:.*[+-]\d{2}:?\d{2}|t\d{6}.*[+-]\d{2}:?\d{2}|\dz|[a-z]{3,4})[\s\p{Z}]*$") & ~F.col("stamp").rlike(r"(?i)m\.?[\s\p{Z}\]]*$") | F.col("stamp").rlike(r" [+-]\d{4} \d{4}[\s\p{Z}]*$")
     slashed = F.col("stamp").rlike(r"^\W*\d{1,2}[/-]\d")
     return joined.select(
         "row_id",
