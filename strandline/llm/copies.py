@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.text import clean_role, says_something
-from strandline.session import durable
+from strandline.session import durable, lookup_join
 
 _WORDS = re.compile(r"[^\W_]+")
 _INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff]")
@@ -100,7 +100,7 @@ def canonical_rows(message: DataFrame) -> DataFrame:
     bridge = durable(flats.join(plain.select("key").distinct(), "key", "left_semi"), "p1-bridge")
     if bridge.isEmpty():
         return plain
-    return plain.join(bridge, "key", "left").select("seq", F.coalesce("form_key", "key").alias("key"))
+    return lookup_join(plain, bridge, ["key"], "seq", ["form_key"]).select("seq", F.coalesce("form_key", "key").alias("key"))
 
 
 @F.pandas_udf(T.IntegerType())

@@ -104,7 +104,7 @@ def conversations(message: DataFrame, source_index: DataFrame) -> DataFrame:
     ranked = durable(blocks(durable(turns(message, sources, content=True), "p4-turns")), "p4-ranked")
     files, segs = verdicts(ranked, sources)
     kept = files.where("reason is null").select("source_file")
-    placed = ranked.where("code in (1, 2)").join(segs.select("source_file", "block", "before_rows", "first_rank"), ["source_file", "block"]).join(kept, "source_file", "left_semi")
+    placed = ranked.where("code in (1, 2)").join(segs.join(kept, "source_file", "left_semi").select("source_file", "block", "before_rows", "first_rank"), ["source_file", "block"])
     once = placed.groupBy("source_file", "line_no").agg(F.min(F.struct("seq", "rank", "block", "before_rows", "first_rank", "role", "content", "at_us")).alias("r")).select("source_file", "line_no", "r.*")
     return once.select("source_file", (F.col("before_rows") + F.col("rank") - F.col("first_rank")).alias("turn_no"), "role", "content", "at_us", "line_no", "seq")
 
