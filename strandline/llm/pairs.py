@@ -47,6 +47,9 @@ _TOKEN = re.compile(r"\w+(?:'\w+)?")
 _LIST_STUB = re.compile(r"(?:^|\n)[ \t]*(?:\d+[.)]|[-*•–])[ \t]*$")
 _ITEM = re.compile(r"\n[ \t]*(?:[-*•–]|\d+[.)])[ \t]+[^\n]*$")
 _OPEN, _CLOSE = "([{«“„", ")]}»”“"
+#: Words may end an answer if at least this share of their places in all answers are ends: the last two words, or the
+#: last one where the two never stand together. Shares, so that verdicts do not depend on how many answers there are.
+END_RATE, WORD_RATE = 0.01, 0.5
 
 
 class SuffixAutomaton:
@@ -152,8 +155,8 @@ def asked_language(question: str) -> str | None:
     return None
 
 
-def judge(question: str | None, answer: str | None, said: bool, end_seen: int, within_seen: int, word_end_seen: int, automaton) -> str | None:
-    """The defect of one pair, or None. The three counts tell how the last two words and the last word stand elsewhere."""
+def judge(question: str | None, answer: str | None, said: bool, ends: int, n: int, last_ends: int, last_n: int, automaton) -> str | None:
+    """The defect of one pair, or None. The counts tell how the last two words and the last word stand in all answers."""
     bare = " ".join(_TOKEN.findall(unicodedata.normalize("NFKC", answer or "").lower()))
     if answer is None or not said or not bare or bare in PLACEHOLDERS:
         return "empty"
@@ -177,13 +180,10 @@ def judge(question: str | None, answer: str | None, said: bool, end_seen: int, w
         return None
     if open_end == "broken" or unclosed(core):
         return "truncated"
-    last = words_a[-1]
-    if end_seen > 0:
-        return None
-    function = any(last in known for known in SETS.values())
-    if word_end_seen >= 2 and not function and within_seen <= 1:
-        return None
-    return "truncated"
+    if n:
+        return None if ends >= END_RATE * n else "truncated"
+    function = any(words_a[-1] in known for known in SETS.values())
+    return None if last_n and not function and last_ends >= WORD_RATE * last_n else "truncated"
 
 
 def broken_end(core: str) -> str | None:
@@ -225,15 +225,15 @@ def _marked(text: F.Column) -> F.Column:
 def endings(answers: DataFrame) -> DataFrame:
     """(prev, last, ends, n): how often each word pair stands in all answers, and how often at the end of a sentence.
 
-    The end of a text without punctuation tells nothing and is no end here. prev is '' for counts of the last word
-    alone.
+    The end of a text without punctuation tells nothing and is no end here. prev is '.' for the first word of a sentence
+    or line, and '' for counts of the last word alone.
     """
     body = F.regexp_replace("answer", r"(?s)[^.!?…\n]*$", "")
-    words = answers.where("answer is not null").select(_marked(body).alias("w"))
+    words = answers.where("answer is not null").select(F.concat(F.array(F.lit(".")), _marked(body)).alias("w"))
     spans = words.select(F.explode(F.when(F.size("w") >= 2, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("prev"), F.get("w", i).alias("last"), F.coalesce(F.get("w", i + 1) == ".", F.lit(False)).alias("end"))))).alias("s")).select("s.*").where("last != '.' and last != ''")
     counted = spans.groupBy("prev", "last").agg(F.sum(F.col("end").cast("long")).alias("ends"), F.count(F.lit(1)).alias("n"))
     alone = counted.groupBy("last").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n")).select(F.lit("").alias("prev"), "last", "ends", "n")
-    return counted.where("prev != '.'").unionByName(alone)
+    return counted.unionByName(alone)
 
 
 def defects(conversations: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def defects(conversations: DataFrame) -> DataFrame:
     table = durable(endings(rows), "p5-endings")
     # Only answers that do not end like a sentence need the counts; the others have a null key.
     open_end = F.col("answer").isNotNull() & ~F.col("answer").rlike(r"(?s)[.!?][\s\"'»”)\]]*$")
-    words = F.filter(F.split(F.regexp_replace(F.lower("answer"), r"(?U)[^\w']+", " "), " "), lambda w: w != "")
+    words = F.split(F.regexp_replace(F.array_join(F.concat(F.array(F.lit(".")), _marked(F.col("answer"))), " "), r"( \.)+$", ""), " ")
     keyed = (
         rows.withColumn("w", F.when(open_end, words))
         .withColumn("last", F.element_at(F.when(F.size("w") >= 1, F.col("w")), -1))
@@ -251,18 +251,18 @@ def defects(conversations: DataFrame) -> DataFrame:
         .drop("w")
     )
     two = table.where("prev != ''").select("prev", "last", "ends", "n")
-    one = table.where("prev = ''").select("last", F.col("ends").alias("last_ends"))
-    joined = lookup_join(lookup_join(keyed, two, ["prev", "last"], "id", ["ends", "n"]), one, ["last"], "id", ["last_ends"])
-    judged = _judge_udf()(F.col("question"), F.col("answer"), says_something(F.col("answer")), *[F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("ends", "n", "last_ends")])
+    one = table.where("prev = ''").select("last", F.col("ends").alias("last_ends"), F.col("n").alias("last_n"))
+    joined = lookup_join(lookup_join(keyed, two, ["prev", "last"], "id", ["ends", "n"]), one, ["last"], "id", ["last_ends", "last_n"])
+    judged = _judge_udf()(F.col("question"), F.col("answer"), says_something(F.col("answer")), *[F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("ends", "n", "last_ends", "last_n")])
     return joined.select("conv_id", "turn_no", judged.alias("defect"))
 
 
 def _judge_udf():
     @F.pandas_udf("string")
-    def run(question: pd.Series, answer: pd.Series, said: pd.Series, ends: pd.Series, n: pd.Series, last_ends: pd.Series) -> pd.Series:
+    def run(question: pd.Series, answer: pd.Series, said: pd.Series, ends: pd.Series, n: pd.Series, last_ends: pd.Series, last_n: pd.Series) -> pd.Series:
         automaton = _refusal_automaton()
         clean = lambda s: [None if x is None or x != x else x for x in s]
-        return pd.Series([judge(*x, automaton) for x in zip(clean(question), clean(answer), said, ends, n - ends, last_ends, strict=True)], dtype=object)
+        return pd.Series([judge(*x, automaton) for x in zip(clean(question), clean(answer), said, ends, n, last_ends, last_n, strict=True)], dtype=object)
 
     return run
 

@@ -54,3 +54,16 @@ def test_edges(make):
     assert pairs.found(make(CONVERSATIONS)).collect() == []
     rows = [{"conv_id": None, "turn_no": 1, "role": "user"}, {"conv_id": 1, "turn_no": None, "role": "user"}, {"conv_id": 2, "turn_no": 1, "role": None}, {"conv_id": 3, "turn_no": 1, "role": "assistant", "content": "x"}, {"conv_id": 4, "turn_no": 0, "role": "user", "content": "q " * 20_000}, {"conv_id": 4, "turn_no": 1, "role": "assistant", "content": SOUND * 300}]
     assert pairs.found(make(CONVERSATIONS, *rows)).collect() == []
+
+
+def test_verdicts_do_not_depend_on_the_number_of_answers(make):
+    # "near the" and "the river" stand about 150 times each: the one ends a sentence once, by chance, the other often.
+    corpus = ["He stood near the."] + ["We kept it near the river and left."] * 100 + ["We kept it near the river."] * 49
+    cases = {"The baker kept the old guitar near the": "truncated", "The baker kept the old guitar near the river": None, "The baker kept the old guitar near the riv": "truncated"}
+    verdicts = []
+    for times in (1, 10):
+        answers = [*cases, *corpus * times]
+        rows = [{"conv_id": i, "turn_no": t, "role": r, "content": c} for i, a in enumerate(answers) for t, r, c in ((0, "user", "Where was it?"), (1, "assistant", a))]
+        found = {r["conv_id"]: r["defect"] for r in pairs.found(make(CONVERSATIONS, *rows)).collect()}
+        verdicts.append([found.get(i) for i in range(len(cases))])
+    assert verdicts[0] == verdicts[1] == list(cases.values())
