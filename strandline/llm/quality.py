@@ -7,12 +7,12 @@ outcomes are derived from the totals. The figures do not depend on where the chu
 
 from __future__ import annotations
 
-import math
 import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,8 +24,11 @@ from strandline.session import durable
 
 #: Characters of a chunk, and how many neighbouring states are merged at once.
 CHUNK, FAN_IN = 65_536, 32
-#: Places of the hashed sets that count different words and lines; linear counting is exact enough far beyond what matters.
-BITS = 4096
+#: Least hashes kept to count different words, lines and runs: exact below, within some 3 % beyond, for any number.
+LEAST = 1024
+#: Words and lines of the windows whose mean share of different ones tells repetition, and words of a run. A window's share
+#: does not fall with the length of the text; blocks too long for a window repeat long runs, which other texts do not.
+WINDOW, WINDOW_LINES, RUN = 1000, 200, 24
 #: A run of whole chunks without a line end is closed as a line once it is this long, so that no state holds a whole text.
 LONG_LINE = 4 * CHUNK
 
@@ -49,30 +52,141 @@ COUNTS = [
 ]
 
 
+_NONE = np.empty(0, np.uint64)
+
+
+@dataclass
+class Sequence:
+    """Hashed items in order: their number, the sum of min(window, places since the same item), the items at both ends, the least hashes."""
+
+    n: int = 0
+    gaps: int = 0
+    first: np.ndarray = field(default_factory=_NONE.copy)
+    last: np.ndarray = field(default_factory=_NONE.copy)
+    least: np.ndarray = field(default_factory=_NONE.copy)
+
+
+def sequence(items: list[str], window: int) -> Sequence:
+    digests = {x: xxhash.xxh64_intdigest(x) for x in set(items)}
+    at: dict = {}
+    gaps = 0
+    for i, x in enumerate(items):
+        gap = i - at.get(x, i - window)
+        gaps += gap if gap < window else window
+        at[x] = i
+    h = np.fromiter((digests[x] for x in items), np.uint64, len(items))
+    # The ends are copies, so that no state keeps or pickles more of the text.
+    first = h[:window].copy()
+    return Sequence(len(items), gaps, first, first if len(items) <= window else h[-window:].copy(), _least(np.fromiter(digests.values(), np.uint64, len(digests))))
+
+
+def follow(a: Sequence, b: Sequence, window: int) -> Sequence:
+    """The sequence of a and then b; associative."""
+    if not a.n or not b.n:
+        return a if a.n else b
+    gaps, behind = a.gaps + b.gaps, len(a.last)
+    before = {h: i - behind for i, h in enumerate(a.last.tolist())}
+    new = set()
+    for i, h in enumerate(b.first.tolist()):
+        if h not in new:
+            new.add(h)
+            gaps += min(0, i - before.get(h, i - window) - window)
+    first = a.first if len(a.first) == window else np.concatenate([a.first, b.first])[:window]
+    last = b.last if len(b.last) == window else np.concatenate([a.last, b.last])[-window:]
+    return Sequence(a.n + b.n, gaps, first, last, _least(np.concatenate([a.least, b.least])))
+
+
+def window_share(s: Sequence, window: int) -> float:
+    """Mean share of different items over all windows; over the whole where it is shorter than a window."""
+    if s.n <= window:
+        return len(set(s.first.tolist())) / s.n if s.n else 0.0
+
+    def beyond(items: list[int]) -> int:
+        """Different items of the windows that reach beyond an end."""
+        seen, total = set(), 0
+        for h in items[: window - 1]:
+            seen.add(h)
+            total += len(seen)
+        return total
+
+    # An item is its window's first of a kind in as many windows as places lie since the same item, `window` at most.
+    inside = s.gaps - beyond(s.first.tolist()) - beyond(s.last[::-1].tolist())
+    return inside / ((s.n - window + 1) * window)
+
+
+def _least(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes)[:LEAST]
+
+
+def _distinct(least: np.ndarray, most: int) -> float:
+    """Estimate of the number of different hashes of which these are the least ones."""
+    return float(len(least)) if len(least) < LEAST else min(float(most), (LEAST - 1) * 2.0**64 / float(least[-1]))
+
+
+def _runs(h: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of RUN = 16 + 8 words."""
+    if len(h) < RUN:
+        return _NONE
+    base, by = 0x9E3779B97F4A7C15, {}
+    run, n = h, 1
+    while n < 16:
+        run = run[:-n] * np.uint64(pow(base, n, 2**64)) + run[n:]
+        n *= 2
+        by[n] = run
+    out = by[16][: len(h) - RUN + 1] * np.uint64(pow(base, 8, 2**64)) + by[8][16:]
+    # The low bits of a product depend on low bits only; the order of the least hashes needs all.
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
+
+
 @dataclass
 class State:
     """Counts of the finished lines, and the unfinished first and last line (the same one where no line ended)."""
 
     counts: dict = field(default_factory=lambda: dict.fromkeys(COUNTS, 0))
-    words: set = field(default_factory=set)
-    lines: set = field(default_factory=set)
+    words: Sequence = field(default_factory=Sequence)
+    lines: Sequence = field(default_factory=Sequence)
+    runs: np.ndarray = field(default_factory=_NONE.copy)
     head: str = ""
     tail: str | None = None
 
 
+def _of(lines: list[str]) -> State:
+    """The state of finished lines."""
+    s = State()
+    words: list[str] = []
+    kept = []
+    for line in lines:
+        found = _count_line(s, line)
+        if found is not None:
+            kept.append(line.strip())
+            words += found
+    s.words, s.lines = sequence(words, WINDOW), sequence(kept, WINDOW_LINES)
+    if len(words) <= WINDOW:
+        s.runs = _least(_runs(s.words.first))
+    else:
+        s.runs = _least(_runs(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))))
+    return s
+
 
-def _count_line(s: State, line: str) -> None:
+def _add(a: State, b: State) -> State:
+    """The counts of a and then b, without their borders."""
+    across = _runs(np.concatenate([a.words.last[-(RUN - 1) :], b.words.first[: RUN - 1]]))
+    runs = _least(np.concatenate([a.runs, b.runs, across]))
+    return State({k: a.counts[k] + b.counts[k] for k in COUNTS}, follow(a.words, b.words, WINDOW), follow(a.lines, b.lines, WINDOW_LINES), runs)
+
+
+def _count_line(s: State, line: str) -> list[str] | None:
+    """Add a line to the counts; its words, or None where it is blank."""
     c = s.counts
     c["chars"] += len(line) + 1
     bare = line.strip()
     if not bare:
-        return
+        return None
     c["lines"] += 1
     c["visible"] += len(bare) - bare.count(" ")
-    s.lines.add(xxhash.xxh64_intdigest(bare) % BITS)
     ws = _WORD.findall(bare)
     low = [w.lower() for w in ws]
-    s.words.update(xxhash.xxh64_intdigest(w) % BITS for w in set(low))
     n = len(ws)
     c["words"] += n
     c["wordlen"] += sum(map(len, ws))
@@ -112,51 +226,46 @@ def _count_line(s: State, line: str) -> None:
     if (marked or (not ended and not inner) or n <= 6) and n <= 14 and inner == 0 and not speaker:
         c["entries"] += 1
         c["entry_words"] += n
+    return low
 
 
 def count(text: str) -> State:
     """The state of one chunk."""
-    s = State()
     parts = _LINE_END.split(text)
+    s = _of(parts[1:-1])
     s.head = parts[0]
     if len(parts) > 1:
-        for line in parts[1:-1]:
-            _count_line(s, line)
         s.tail = parts[-1]
     return s
 
 
+def whole(text: str) -> State:
+    """The closed state of a text of one chunk."""
+    return _of(_LINE_END.split(text))
+
+
 def merge(a: State, b: State) -> State:
     """The state of two neighbouring pieces; associative."""
-    out = State({k: a.counts[k] + b.counts[k] for k in COUNTS}, a.words | b.words, a.lines | b.lines)
     joint = (a.head if a.tail is None else a.tail) + b.head
     if a.tail is None and b.tail is None and len(joint) > LONG_LINE:
+        out = _add(_add(a, _of([joint])), b)
         out.tail = ""
-        _count_line(out, joint)
-    elif a.tail is None and b.tail is None:
-        out.head = joint
-    elif a.tail is None:
-        out.head, out.tail = joint, b.tail
-    elif b.tail is None:
-        out.head, out.tail = a.head, joint
+    elif a.tail is None or b.tail is None:
+        out = _add(a, b)
+        if a.tail is None:
+            out.head, out.tail = joint, b.tail
+        else:
+            out.head, out.tail = a.head, joint
     else:
+        out = _add(_add(a, _of([joint])), b)
         out.head, out.tail = a.head, b.tail
-        _count_line(out, joint)
     return out
 
 
 def close(s: State) -> State:
     """The state with its border lines counted."""
-    out = State(dict(s.counts), set(s.words), set(s.lines))
-    _count_line(out, s.head)
-    if s.tail is not None:
-        _count_line(out, s.tail)
-    return out
-
-
-def _distinct(seen: set, most: int) -> float:
-    zero = BITS - len(seen)
-    return min(float(most), BITS * math.log(BITS / max(zero, 0.5)))
+    out = _add(_of([s.head]), s)
+    return out if s.tail is None else _add(out, _of([s.tail]))
 
 
 def figures(s: State) -> dict:
@@ -183,8 +292,11 @@ def figures(s: State) -> dict:
         "letter_ratio": per(c["letters"], c["visible"]),
         "ended_share": per(c["ended"], lines),
         "common_share": per(c["common"], n),
-        "distinct_words": per(_distinct(s.words, n), n),
-        "distinct_lines": per(_distinct(s.lines, lines), lines),
+        "distinct_words": per(_distinct(s.words.least, n), n),
+        "distinct_lines": per(_distinct(s.lines.least, lines), lines),
+        "window_words": window_share(s.words, WINDOW),
+        "window_lines": window_share(s.lines, WINDOW_LINES),
+        "distinct_runs": per(_distinct(s.runs, n), max(0, n - RUN + 1)),
         "words_per_line": per(n, lines),
         "marked_share": per(c["marked"], lines),
         "entry_share": per(c["entries"], lines),
@@ -213,7 +325,7 @@ def kind(f: dict) -> str:
     """The rule outcome.
 
     Junk: no letters to speak of, markup or hexadecimal for the most part, words too long to be words, a handful of
-    words or lines endlessly repeated, or hardly a function word of the known languages outside tables.
+    words or lines or a longer block endlessly repeated, or hardly a function word of the known languages outside tables.
     Table: nearly all lines are short cells, or keyed, with a steady number of delimiters.
     List: few words to a line, hardly a sentence, most lines entries.
     """
@@ -221,7 +333,7 @@ def kind(f: dict) -> str:
         return "junk"
     if f["tag_share"] > 0.5 or f["hex_share"] > 0.6 and f["common_share"] < 0.05 or f["long_word_share"] > 0.2 or f["garbled_share"] > 0.05 or f["letter_ratio"] + f["digit_ratio"] < 0.4:
         return "junk"
-    if f["words"] >= 30 and (f["distinct_words"] <= 0.08 or f["distinct_lines"] <= 0.25 and f["lines"] >= 8):
+    if f["words"] >= 30 and (f["window_words"] <= 0.08 or f["distinct_runs"] <= 0.08 or f["window_lines"] <= 0.25 and f["lines"] >= 8):
         return "junk"
     steady = max(f["comma_steady"], f["tab_steady"], f["pipe_steady"], f["semi_steady"], f["gap_steady"])
     tabular = f["lines"] >= 3 and f["sentence_rate"] < 0.02 and (f["cell_share"] >= 0.7 and steady >= 0.6 or f["keyed_share"] >= 0.6)
@@ -253,14 +365,22 @@ def _merge_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "chunk": pdf["chunk"].iloc[:1] // FAN_IN, "state": [pickle.dumps(total)]})
 
 
+def _table(ids: pd.Series, rows: list[dict]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[*FIGURES, "kind"])
+    out.insert(0, "doc_id", ids.values)
+    for c in ("lines", "words"):
+        out[c] = out[c].astype("int64")
+    return out
+
+
 def _derive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [figures(close(pickle.loads(x))) for x in pdf["state"]]
-        out = pd.DataFrame(rows, columns=[*FIGURES, "kind"])
-        out.insert(0, "doc_id", pdf["doc_id"].values)
-        for c in ("lines", "words"):
-            out[c] = out[c].astype("int64")
-        yield out
+        yield _table(pdf["doc_id"], [figures(close(pickle.loads(x))) for x in pdf["state"]])
+
+
+def _derive_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield _table(pdf["doc_id"], [figures(whole(x)) for x in pdf["text"]])
 
 
 _STATES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("state", T.BinaryType())])
@@ -276,18 +396,17 @@ def statistics(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
     texts = documents.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = F.greatest(F.ceil(F.length("text") / chunk), F.lit(1)).cast("int")
     sized = texts.withColumn("pieces", pieces)
-    one = sized.where("pieces = 1").select("doc_id", F.lit(0).cast("long").alias("chunk"), F.col("text").alias("part"))
-    small = one.mapInPandas(_count_chunks, _STATES)
+    small = sized.where("pieces = 1").select("doc_id", "text").mapInPandas(_derive_whole, _FIGURES)
     most = sized.agg(F.max("pieces")).first()[0] or 1
     if most == 1:
-        return small.mapInPandas(_derive, _FIGURES)
+        return small
     cut = sized.where("pieces > 1").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("i"))
     cut = cut.select("doc_id", F.col("i").cast("long").alias("chunk"), F.substring("text", F.col("i") * chunk + 1, F.lit(chunk)).alias("part"))
     states = durable(cut.repartition("doc_id", "chunk").mapInPandas(_count_chunks, _STATES), "p10-states")
     while most > 1:
         states = states.groupBy("doc_id", F.floor(F.col("chunk") / FAN_IN).alias("g")).applyInPandas(_merge_chunks, _STATES)
         most = -(-most // FAN_IN)
-    return small.unionByName(states).mapInPandas(_derive, _FIGURES)
+    return small.unionByName(states.mapInPandas(_derive, _FIGURES))
 
 
 def found(documents: DataFrame) -> DataFrame:

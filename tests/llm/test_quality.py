@@ -61,3 +61,34 @@ def test_labelled_sample(spark):
     docs, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/doc_label.parquet")
     rows = quality.statistics(docs.join(labels.select("doc_id"), "doc_id", "left_semi")).join(labels.withColumnRenamed("kind", "label"), "doc_id").collect()
     assert sum(r["kind"] == r["label"] for r in rows) / len(rows) >= 0.98
+
+
+def in_chunks(text, size=quality.CHUNK):
+    states = [quality.count(text[i : i + size]) for i in range(0, len(text), size)]
+    while len(states) > 1:
+        states = [quality.merge(*states[i : i + 2]) if i + 1 < len(states) else states[i] for i in range(0, len(states), 2)]
+    return quality.figures(quality.close(states[0]))
+
+
+def test_long_texts_are_no_junk_by_length():
+    r = random.Random(5)
+    words = ["".join(r.choice("abdeilnorst") for _ in range(6)) for _ in range(300)]
+    sentence = lambda: " ".join(f"the {r.choice(words)} {r.choice(words)}" for _ in range(5)).capitalize() + "."
+    for n in (50, 3000):
+        assert in_chunks(" ".join(sentence() for _ in range(n)))["kind"] == "prose"
+        assert in_chunks("\n".join(sentence() for _ in range(n)))["kind"] == "prose"
+    rows = in_chunks("\n".join(f"{i},the baker,2021,{i * 7}" for i in range(160_000)))
+    assert rows["kind"] == "table" and abs(rows["distinct_lines"] - 1) < 0.15
+    # A block of 300 words, longer than what a window can tell, is junk where it is repeated without end.
+    assert in_chunks((" ".join(sentence() for _ in range(30)) + " ") * 200)["kind"] == "junk"
+
+
+def test_window_shares_as_counted():
+    r = random.Random(6)
+    for n in (0, 1, 6, 7, 8, 40):
+        items = [r.choice("abcdefgh") for _ in range(n)]
+        size = min(7, n)
+        want = sum(len(set(items[i : i + size])) / size for i in range(n - size + 1)) / (n - size + 1) if n else 0.0
+        for cut in range(n + 1):
+            s = quality.follow(quality.sequence(items[:cut], 7), quality.sequence(items[cut:], 7), 7)
+            assert abs(quality.window_share(s, 7) - want) < 1e-12
