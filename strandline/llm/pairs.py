@@ -35,6 +35,9 @@ REFUSALS = (
     "nicht helfen", "nicht beantworten", "darf ich darauf nicht", "darauf nicht antworten", "dazu nichts sagen", "möchte ich dazu nicht", "darüber nicht sprechen", "darf ich nicht", "ich darf nicht", "nicht weiterhelfen", "bin ich nicht in der lage", "ich bin nicht in der lage", "als assistent", "meine richtlinien", "meine regeln", "nicht angemessen", "keine auskunft", "muss ich ablehnen", "lieber nicht",
 )
 
+# Words with which a sentence that thanks or apologises opens.
+COURTESY = frozenset("thank thanks sorry apologies apologise apologize gracias agradezco siento perdón perdona disculpa merci désolé désolée pardon danke leid entschuldigung entschuldige".split())
+
 # Words that name a language a question may ask to be answered in.
 ASKED = {
     "en": "english inglés anglais englisch", "es": "spanish español espagnol spanisch castellano", "fr": "french francés français französisch", "de": "german alemán allemand deutsch",
@@ -44,6 +47,7 @@ _ASK_VERB = re.compile(r"\b(?:answer|reply|respond|write|translate|say|respond\w
 _ASK_IN = re.compile(r"\b(?:in|en|auf|to|al|ins)\s+(\w+)")
 
 _TOKEN = re.compile(r"\w+(?:'\w+)?")
+_SENTENCE, _CLAUSE = re.compile(r"(?<=[.!?…])[\"»”')\]]*\s+|\n+"), re.compile(r"[,;:–—]\s+|\s[–—-]\s")
 _LIST_STUB = re.compile(r"(?:^|\n)[ \t]*(?:\d+[.)]|[-*•–])[ \t]*$")
 _ITEM = re.compile(r"\n[ \t]*(?:[-*•–]|\d+[.)])[ \t]+[^\n]*$")
 _OPEN, _CLOSE = "([{«“„", ")]}»”“"
@@ -127,10 +131,43 @@ def _refusal_automaton() -> ahocorasick.Automaton:
     return a
 
 
-def refuses(answer: str, automaton: ahocorasick.Automaton) -> bool:
-    """Whether the first sentence or two decline; a phrase late in a long answer is part of what it tells."""
-    flat = " " + re.sub(r"[^\w']+", " ", answer.lower().replace("’", "'")).strip() + " "
-    return any(end < 160 for end, _ in automaton.iter(flat))
+def _parts(answer: str) -> list[str]:
+    """Sentences and lines; those of more than 40 words by their clauses."""
+    out = []
+    for part in _SENTENCE.split(answer):
+        out += _CLAUSE.split(part) if part.count(" ") > 40 else [part]
+    return out
+
+
+def refuses(question: list[str], answer: str, automaton: ahocorasick.Automaton) -> bool:
+    """Whether the answer declines, wherever it does, rather than holding such a phrase in passing.
+
+    Sentences that thank, apologise or restate the question tell nothing. Of the others, the first or second must
+    decline, or a quarter of them all.
+    """
+
+    def flat(text: str) -> str:
+        return " " + re.sub(r"[^\w']+", " ", text.lower().replace("’", "'")).strip() + " "
+
+    if next(automaton.iter(flat(answer)), None) is None:
+        return False
+    asked = {w for w in question if len(w) > 3}
+    declining = telling = 0
+    for part in _parts(answer):
+        bare = flat(part)
+        words = bare.split()
+        if not words:
+            continue
+        if next(automaton.iter(bare), None) is not None:
+            if telling <= 1:
+                return True
+            declining += 1
+            continue
+        content = [w for w in words if len(w) > 3]
+        if not COURTESY.isdisjoint(words[:3]) or len(content) >= 2 and 2 * sum(w in asked for w in content) >= len(content):
+            continue
+        telling += 1
+    return 3 * declining >= telling and declining > 0
 
 
 def unclosed(answer: str) -> bool:
@@ -165,7 +202,7 @@ def judge(question: str | None, answer: str | None, said: bool, ends: int, n: in
     words_a = bare.split(" ")
     if copied(words_q, words_a):
         return "copy"
-    if refuses(answer, automaton):
+    if refuses(words_q, answer, automaton):
         return "refusal"
     text = answer.rstrip()
     core = text.rstrip(" \n\t\u200b\u200e\ufeff")

@@ -67,3 +67,23 @@ def test_verdicts_do_not_depend_on_the_number_of_answers(make):
         found = {r["conv_id"]: r["defect"] for r in pairs.found(make(CONVERSATIONS, *rows)).collect()}
         verdicts.append([found.get(i) for i in range(len(cases))])
     assert verdicts[0] == verdicts[1] == list(cases.values())
+
+
+THANKS = "Thank you so much for writing to me again after all this time, and for asking so kindly about my family and about everything that happened with the bakery last year in the village. "
+STORY = "We met at the station. The train was late again. My aunt had brought bread. Nobody knew the way. It rained all day. We laughed a lot. The dog slept. "
+
+
+def test_refusals_are_found_at_any_place_and_passing_phrases_are_none():
+    automaton = pairs._refusal_automaton()
+    question = "where was the baker of the village when the bakery burned down last year".split()
+    declines = [
+        THANKS + "I'd rather not talk about that.",
+        "You want to know where the baker of the village was when the bakery burned down last year. " * 2 + "I cannot share that.",
+        "It concerns several people who trusted me with what they saw on that night and on the days after it. None of them has ever spoken of it in public. The families still live next door to each other. I prefer not to comment.",
+        THANKS[:-2] + ", it is kind of you, but I must decline",
+    ]
+    tells = [STORY + "Dogs were not allowed to enter. " + STORY, STORY * 3 + "In the end we were not allowed to stay.", STORY]
+    assert min(len(x) for x in declines) > 160
+    assert [pairs.refuses(question, x, automaton) for x in declines] == [True] * len(declines)
+    assert [pairs.refuses(question, x, automaton) for x in tells] == [False] * len(tells)
+    assert pairs.judge(" ".join(question), declines[0], True, 0, 0, 0, 0, automaton) == "refusal"
