@@ -113,7 +113,8 @@ def parse(name: str) -> dict | None:
     """What a spelling may stand for; None where it holds no letter.
 
     given: the given names (or `org:` kinds) it may have; initial: the first letter of one that is only an initial;
-    first, second: surnames; first_initial, second_initial: initials in their place.
+    first, second: surnames; first_initial, second_initial: initials in their place;
+    tokens, own: all words of a person's name that holds no initial, and the one taken as the given name.
     """
     text = unicodedata.normalize("NFKC", name)
     text = re.sub(r"\b[Ss]\.?\s?(?:[Aa]|[Ll]|[Rr]\.?\s?[Ll])\.?\s*$", "", text) if re.search(r"\b[Ss]\.\s?[AaLlRr]", text) else text
@@ -136,7 +137,7 @@ def parse(name: str) -> dict | None:
         bare = words
     if not bare:
         return None
-    blank = {"given": [], "initial": "", "first": "", "second": "", "first_initial": "", "second_initial": ""}
+    blank = {"given": [], "initial": "", "first": "", "second": "", "first_initial": "", "second_initial": "", "tokens": [], "own": ""}
     # An organisation names its kind first, or last, in brackets or turned round.
     body = [x for x in bare if not any(near(x[0], q) for q in QUALIFIERS)]
     if len(body) >= 2:
@@ -174,18 +175,21 @@ def parse(name: str) -> dict | None:
         at, given = 0, [tokens[0]]
     rest = [t for i, t in enumerate(tokens) if i != at]
     out = dict(blank, given=given, initial="" if given else tokens[at])
+    if given and min(map(len, tokens)) > 1:
+        out |= {"tokens": sorted(tokens), "own": tokens[at]}
     for slot, t in zip(("first", "second"), rest, strict=False):
         out[slot if len(t) > 1 else f"{slot}_initial"] = t
     return out
 
 
-_PARSED = T.StructType([T.StructField("given", T.ArrayType(T.StringType())), *[T.StructField(c, T.StringType()) for c in ("initial", "first", "second", "first_initial", "second_initial")]])
+_LISTS = ("given", "tokens")
+_PARSED = T.StructType([*[T.StructField(c, T.ArrayType(T.StringType())) for c in _LISTS], *[T.StructField(c, T.StringType()) for c in ("initial", "first", "second", "first_initial", "second_initial", "own")]])
 
 
 @F.pandas_udf(_PARSED)
 def _parse(name: pd.Series) -> pd.DataFrame:
     rows = [parse(n) or {} for n in name]
-    return pd.DataFrame({f.name: [r.get(f.name, [] if f.name == "given" else "") for r in rows] for f in _PARSED.fields})
+    return pd.DataFrame({f.name: [r.get(f.name, [] if f.name in _LISTS else "") for r in rows] for f in _PARSED.fields})
 
 
 # -- trie join ---------------------------------------------------------------------------------------------------------
@@ -328,23 +332,43 @@ def _only(matches: DataFrame, own: list[str], *, best: str | None = None) -> Dat
     return found.where("a = z").select("a", F.col("id").alias("b"))
 
 
+@F.pandas_udf(T.BooleanType())
+def _listed(word: pd.Series) -> pd.Series:
+    return word.map(lambda w: bool(given_names(w)))
+
+
+def _any_order(people: DataFrame, near: DataFrame) -> DataFrame:
+    """Edges between names whose words are the same in any order but one, which is within one edit.
+
+    Two given names of the lists are different names, however near. people: id, slug, tokens.
+    """
+    places = people.select("id", "slug", "tokens", F.posexplode("tokens").alias("at", "word"))
+    rest = F.array_join(F.filter("tokens", lambda w, i: i != F.col("at")), " ")
+    places = places.select("id", "slug", "word", rest.alias("rest"))
+    anchors = places.groupBy("slug", "rest", F.col("word").alias("near")).agg(F.min("id").alias("a"))
+    apart = near.where("word = near or not (word_listed and near_listed)").select("slug", "word", "near")
+    return places.join(apart, ["slug", "word"]).join(anchors, ["slug", "rest", "near"]).where("a != id").select("a", F.col("id").alias("b"))
+
+
 def identities(message: DataFrame, participants: DataFrame) -> DataFrame:
     """(slug, name, identity): identity is the smallest spelling of the person or organisation.
 
     Full names are the same identity where given name and first surname agree, in any order, one of the words within
-    one edit, and second surnames agree where both have one. Initials, lone given names and account names are linked
+    one edit, and second surnames agree where both have one; or where all words agree in any order, one within
+    one edit. Initials, lone given names and account names are linked
     where only one identity of the archive matches. Every string is an identity of its own otherwise.
     """
     parsed = spellings(message, participants).select("slug", "name", _parse("name").alias("p"))
     rows = durable(parsed.select(F.struct("slug", "name").alias("id"), "slug", "name", "p.*"), "p2-parsed")
     full = rows.where("first != '' and size(given) > 0").select("id", "slug", F.explode("given").alias("g"), "first", "second", "second_initial")
-    words = rows.select("slug", F.col("first").alias("word")).unionByName(rows.select("slug", F.col("second").alias("word"))).where("word != ''")
-    near = durable(near_words(words), "p2-near")
+    words = rows.select("slug", F.col("first").alias("word")).unionByName(rows.select("slug", F.col("second").alias("word"))).unionByName(rows.select("slug", F.explode("tokens").alias("word"))).where("word != ''")
+    near = durable(near_words(words).withColumns({"word_listed": _listed("word"), "near_listed": _listed("near")}), "p2-near")
     full = durable(full, "p2-full")
     by_first = full.join(near, (full["slug"] == near["slug"]) & (full["first"] == near["word"])).select("id", full["slug"], "g", F.col("near").alias("k"), (F.col("near") != F.col("first")).cast("int").alias("d"), "second", "second_initial")
     by_first = durable(by_first, "p2-by-first")
     by_second = full.where("second != ''").join(near, (full["slug"] == near["slug"]) & (full["second"] == near["word"])).select("id", full["slug"], "g", F.col("first").alias("k"), F.col("near").alias("second"))
-    edges = _star(by_first.where("second != ''"), ["slug", "g", "k", "second"]).unionByName(_star(by_second, ["slug", "g", "k", "second"]))
+    people = durable(rows.where("size(tokens) > 1").select("id", "slug", "tokens", "own"), "p2-people")
+    edges = _star(by_first.where("second != ''"), ["slug", "g", "k", "second"]).unionByName(_star(by_second, ["slug", "g", "k", "second"])).unionByName(_any_order(people, near))
     root = durable(linked(full.select("id"), edges, "p2-full-names"), "p2-full-roots")
     # Names without second surname join the identity of their key if there is but one.
     keyed = by_first.join(root, "id")

@@ -70,3 +70,8 @@ def test_archives_do_not_mix_and_edges(make):
     assert names.found(m, make(PREVIEW)).collect() == []
     assert names.found(make(MESSAGE), make(PREVIEW)).collect() == []
     assert names.found(make(MESSAGE, {"slug": "a", "sender": "Ana Paz"}), make(PREVIEW, {"slug": "a", "name": "ana paz"})).collect() == [("a", "Ana Paz", "ana paz")]
+
+
+def test_names_on_no_list_meet_in_any_order_and_within_one_edit(make):
+    one, other = {"Xiomara Peruleda", "Peruleda Xiomara", "Xiomera Peruleda"}, {"Yadira Peruleda"}
+    assert identities(make, *one, *other, "Pérez Juan López", "Juan Pérez López") == sorted(map(sorted, [one, other, {"Pérez Juan López", "Juan Pérez López"}]))
