@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,6 +46,8 @@ for _name, _forms in SHORT_FORMS.items():
 _GIVEN = frozenset(map(fold, GIVEN)) | frozenset(SHORT_FORMS)
 TITLES = _W("dr dra prof profa ing lic sr sra srta mr mrs ms miss don dona herr frau mme")
 SUFFIXES = _W("ltd inc llc gmbh co cia sa sl srl corp plc")
+# Words between the names of a person that are none.
+PARTICLES = _W("de del la las los von van der den da di do dos das du y e zu")
 # Words that say what kind of organisation a name is, and words that only qualify them.
 ORGANISATIONS = _W("libreria bookshop ferreteria bakery panaderia clinic clinica garage gimnasio gym academia academy cooperativa fundacion foundation inmobiliaria taller envios farmacia pharmacy hotel restaurante restaurant school escuela banco bank")
 QUALIFIERS = _W("mecanico mec dental")
@@ -113,7 +116,7 @@ def parse(name: str) -> dict | None:
     """What a spelling may stand for; None where it holds no letter.
 
     given: the given names (or `org:` kinds) it may have; initial: the first letter of one that is only an initial;
-    first, second: surnames; first_initial, second_initial: initials in their place;
+    first, second: surnames (second: all after the first); first_initial, second_initial: initials in their place;
     tokens, own: all words of a person's name that holds no initial, and the one taken as the given name.
     """
     text = unicodedata.normalize("NFKC", name)
@@ -148,7 +151,7 @@ def parse(name: str) -> dict | None:
                 rest = [w for i, (w, _) in enumerate(body) if i != k]
                 people = given_names(body[k][0]) if not exact else []
                 return blank | {"given": [f"org:{x}" for x in kinds] + people, "first": " ".join(rest)}
-    tokens = [w for w, _ in bare]
+    tokens = [w for i, (w, dotted) in enumerate(bare) if dotted or w not in PARTICLES or i in (0, len(bare) - 1)]
     if len(tokens) == 1:
         w = tokens[0]
         if given_names(w):
@@ -177,6 +180,10 @@ def parse(name: str) -> dict | None:
     out = dict(blank, given=given, initial="" if given else tokens[at])
     if given and min(map(len, tokens)) > 1:
         out |= {"tokens": sorted(tokens), "own": tokens[at]}
+    # No word after the second is left out. Initials among several words come last, doubled, so that two are no edit apart.
+    if len(rest) > 2:
+        rest = [t for t in rest if len(t) > 1] + [2 * t for t in rest if len(t) == 1]
+    rest = rest[:1] + [" ".join(rest[1:])] * (len(rest) > 1)
     for slot, t in zip(("first", "second"), rest, strict=False):
         out[slot if len(t) > 1 else f"{slot}_initial"] = t
     return out
@@ -332,6 +339,22 @@ def _only(matches: DataFrame, own: list[str], *, best: str | None = None) -> Dat
     return found.where("a = z").select("a", F.col("id").alias("b"))
 
 
+#: Words of a name of which every subset is looked at; of longer names, those that leave out up to two words.
+SUBSETS = 6
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _subsets(tokens: pd.Series, own: pd.Series) -> pd.Series:
+    """For names of four words or more: what is left of them without some words, given name and another one kept."""
+    out = []
+    for t, g in zip(tokens, own, strict=True):
+        rest = list(t)
+        rest.remove(g)
+        least = 1 if len(t) <= SUBSETS else len(rest) - 2
+        out.append(sorted({" ".join(sorted((g, *c))) for n in range(least, len(rest)) for c in combinations(rest, n)}) if len(t) >= 4 else [])
+    return pd.Series(out, dtype=object)
+
+
 @F.pandas_udf(T.BooleanType())
 def _listed(word: pd.Series) -> pd.Series:
     return word.map(lambda w: bool(given_names(w)))
@@ -355,7 +378,7 @@ def identities(message: DataFrame, participants: DataFrame) -> DataFrame:
 
     Full names are the same identity where given name and first surname agree, in any order, one of the words within
     one edit, and second surnames agree where both have one; or where all words agree in any order, one within
-    one edit. Initials, lone given names and account names are linked
+    one edit. A name is one of four words or more with some left out where only one identity matches. Initials, lone given names and account names are linked
     where only one identity of the archive matches. Every string is an identity of its own otherwise.
     """
     parsed = spellings(message, participants).select("slug", "name", _parse("name").alias("p"))
@@ -382,7 +405,9 @@ def identities(message: DataFrame, participants: DataFrame) -> DataFrame:
     half = keyed.where("second = '' and d = 0").groupBy("slug", "g", "k").agg(F.min("id").alias("a"))
     bare = keyed.where("second_initial != ''").join(complete, ["slug", "g", "k"], "left").where("one is null").join(half, ["slug", "g", "k"]).select("a", F.col("id").alias("b"))
     typed = keyed.where("second != '' and d = 1").join(half, ["slug", "g", "k"]).join(complete, ["slug", "g", "k"], "left").where("one is null or one = other").select("a", F.col("id").alias("b"))
-    more = joined.unionByName(among).unionByName(marked).unionByName(bare).unionByName(typed)
+    parts = people.where("size(tokens) >= 4").join(root, "id").select("slug", "root", F.explode(_subsets("tokens", "own")).alias("part"))
+    fewer = _only(people.withColumn("part", F.array_join("tokens", " ")).join(parts, ["slug", "part"]).select("id", "root"), ["id"])
+    more = joined.unionByName(fewer).unionByName(among).unionByName(marked).unionByName(bare).unionByName(typed)
     root = durable(linked(full.select("id"), edges.unionByName(more), "p2-names"), "p2-roots")
     # Shorter forms, each linked where a single identity matches.
     known = durable(by_first.where("d = 0").select("id", "slug", "g", "k").join(root, "id"), "p2-known")

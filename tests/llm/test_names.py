@@ -75,3 +75,9 @@ def test_archives_do_not_mix_and_edges(make):
 def test_names_on_no_list_meet_in_any_order_and_within_one_edit(make):
     one, other = {"Xiomara Peruleda", "Peruleda Xiomara", "Xiomera Peruleda"}, {"Yadira Peruleda"}
     assert identities(make, *one, *other, "Pérez Juan López", "Juan Pérez López") == sorted(map(sorted, [one, other, {"Pérez Juan López", "Juan Pérez López"}]))
+
+
+def test_no_word_of_a_long_name_is_dropped(make):
+    assert len(identities(make, "Juan Carlos Pérez López", "Juan Carlos Pérez Gómez", "Juan C. Perera Lopera", "Juan D. Perera Lopera")) == 4
+    assert len(identities(make, "Juan Carlos Pérez López", "Juan Pérez López", "JUAN CARLOS PÉREZ LÓPEZ")) == 1
+    assert len(identities(make, "María del Carmen Pérez", "Maria Carmen Perez", "María del Carmen Gómez")) == 2
