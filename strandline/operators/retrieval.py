@@ -54,14 +54,17 @@ def score(hits: DataFrame, question: str, participant: str, budget: int = BUDGET
     return s.where("excerpt != ''").withColumn("score", SEMANTIC * semantic(F.col("distance")) + LEXICAL * F.when(F.col("asked") > 0, F.col("overlap") / F.col("asked")).otherwise(0.0))
 
 
-def select_within(ranked: DataFrame, by: list[str], order: list[Column], cost: str, budget: int = BUDGET, limit: int = LIMIT, most: int = 100) -> DataFrame:
+def select_within(ranked: DataFrame, by: list[str], order: list[Column], cost: str, budget: int = BUDGET, limit: int = LIMIT) -> DataFrame:
     """RET-09, TK-06: greedy choice per group: always the first; one that would exceed the budget is passed over; until `limit`.
 
-    The greedy rule sees at most `most` rows of a group, the size of the candidate pool, so the fold is bounded.
+    The rule sees the whole group. Once a row is passed over, so are all later ones of its cost, and at most `limit` are
+    taken, so the first `limit` rows of each cost (of all costs beyond the budget together) decide, and the fold is bounded.
     """
     from pyspark.sql import Window
 
-    top = ranked.withColumn("__at", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__at") <= most)
+    of_cost = Window.partitionBy(*by, F.least(F.col(cost), F.lit(budget + 1))).orderBy(*order)
+    top = ranked.withColumn("__at", F.row_number().over(of_cost)).where(F.col("__at") <= limit)
+    top = top.withColumn("__at", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     rows = F.array_sort(F.collect_list(F.struct("__at", F.col(cost).cast("long").alias("cost"))))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))
 

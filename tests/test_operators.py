@@ -208,3 +208,9 @@ def test_sinks_and_stream(spark, make, tmp_path):
     make(schema, {"seq": 3, "role": "user", "content": "a"}, {"seq": 4, "role": "user", "content": "b"}).coalesce(1).write.mode("append").parquet(source)
     ingest.ingest(ingest.read_stream(spark, schema, source), target, check, ["seq"])
     assert sorted(r["seq"] for r in spark.read.parquet(target).collect()) == [1, 4]
+
+
+def test_budget_sees_the_whole_group(make):
+    rows = [{"q": 1, "at": i, "cost": c} for i, c in enumerate([300, *[200, 500, 101] * 60, 50, 51, 50])] + [{"q": 2, "at": i, "cost": c} for i, c in enumerate([900, 1])]
+    got = retrieval.select_within(make("q int, at int, cost int", *rows), ["q"], [F.asc("at")], "cost", 400, 5).collect()
+    assert {(x["q"], x["at"]) for x in got} == {(1, 0), (1, 181), (1, 183), (2, 0)}
