@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,12 @@ from pyspark.sql import functions as F
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def local_session(cores: str | int = "*", app: str = "strandline", partitions: int = 8) -> SparkSession:
-    """A local session for tests and the bench; on a cluster the caller brings its own."""
-    spark = (
+def local_session(cores: str | int = "*", app: str = "strandline", partitions: int = 8, scratch: str | None = None) -> SparkSession:
+    """A local session for tests, the bench and the command line; on a cluster the caller brings its own.
+
+    scratch: the folder for intermediate tables; by default `shared_dir` takes one of this machine, as a local session may.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -24,8 +28,10 @@ def local_session(cores: str | int = "*", app: str = "strandline", partitions: i
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if scratch:
+        builder = builder.config(CHECKPOINT_CONF, scratch if "://" in scratch else f"file://{os.path.abspath(scratch)}")
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -35,12 +41,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster session without spark.checkpoint.dir: executors could not read each other's intermediate tables."""
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """This application's part of the folder all executors share. A machine-local one is used only where the session names none (tests)."""
+    """This application's part of the folder all executors share, as spark.checkpoint.dir names it.
+
+    Only a local session, where driver and executors are one process, may do without that setting: it gets a temporary
+    folder of this machine. Anywhere else its absence is an error.
+    """
     found = spark.conf.get(CHECKPOINT_CONF, None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise NoSharedFolder(f"set {CHECKPOINT_CONF} to a folder that all executors of {master} share")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"strandline-{os.getpid()}")
-        spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/strandline-{spark.sparkContext.applicationId}"
 
 
@@ -71,20 +87,34 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = 1 / 256) -> DataFrame:
-    """Keys that hold more than `share` of the rows: at most 1/share of them, so the result may be broadcast.
+#: A key is hot if it holds this share of all rows, or this many rows, whichever is less; never under 1/MOST_HOT or 1,000.
+HOT_SHARE, HOT_ROWS, MOST_HOT = 1 / 256, 4_000_000, 200_000
+
+
+def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame:
+    """Keys that hold more than `share` of the rows, or more than `rows` of them: MOST_HOT at most, so the result may be broadcast.
 
     The count is pre-aggregated before its shuffle. Columns: keys, n.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("__total"))
-    return counts.join(F.broadcast(total), F.col("n") > F.greatest(F.col("__total") * share, F.lit(1000))).drop("__total")
+    least = F.greatest(F.least(F.col("__total") * share, F.lit(rows)), F.col("__total") / MOST_HOT, F.lit(1000))
+    return counts.join(F.broadcast(total), F.col("n") > least).drop("__total")
+
+
+#: Rows of a lookup table with one narrow row per key that are broadcast; `small` counts them first.
+MOST_BROADCAST = 100_000
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST) -> bool:
+    """Whether a table has at most `most` rows; no more than that many and one are read."""
+    return df.limit(most + 1).count() <= most
 
 
 def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], row_id: str, values: list[str], salts: int = 1024) -> DataFrame:
     """Left join to a table with one row per key, safe where a key (or null) holds a large share of `rows`.
 
-    Lookup rows of hot keys (see hot_keys: 256 at most) are broadcast; their rows, and rows with a null key, are
+    Lookup rows of hot keys (see hot_keys) are broadcast; their rows, and rows with a null key, are
     spread over salts, so that no task gets them all. Every row keeps its place exactly once.
     """
     known = F.lit(True)

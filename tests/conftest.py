@@ -11,8 +11,8 @@ DATA = os.environ.get("STRANDLINE_TESTDATA", "/root/testdata")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = local_session(4, "tests", 4)
+def spark(tmp_path_factory):
+    s = local_session(4, "tests", 4, scratch=str(tmp_path_factory.mktemp("shared")))
     yield s
     clean(s)
 
