@@ -87,6 +87,18 @@ def instant_us(canon: Column, zone: Column, month_first: Column, apple: Column)
     return let(canon, lambda c: let(F.split(c, r"\|", 9), lambda p: _instant(c, p, zone, month_first, apple)))
 
 
+#: The commonest notation, which the cast of strings reads without any pattern's groups: ISO date and time, zone or none.
+ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?$"
+
+
+def instant(stamp: Column, zone: Column, month_first: Column, apple: Column) -> Column:
+    """`instant_us` of a raw stamp; ISO ones take the short way, all others (and ISO ones it cannot read) the long one."""
+    zoned = stamp.rlike(r"[Z+]|-\d{2}:\d{2}$")
+    utc = F.when(zoned, stamp).otherwise(F.concat(stamp, F.lit("Z"))).try_cast("timestamp")
+    short = F.unix_micros(F.when(zoned, utc).otherwise(F.to_utc_timestamp(utc, zone)))
+    return F.coalesce(F.when(stamp.rlike(ISO), short), instant_us(canonical(stamp), zone, month_first, apple))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

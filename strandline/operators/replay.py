@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.text import clean_role
-from strandline.functions.timestamps import canonical, instant_us, usable_zone
+from strandline.functions.timestamps import instant, usable_zone
 
 #: Content columns a correction may set; one left null keeps what an earlier correction set.
 CONTENT = ["retract_subject", "retract_predicate", "retract_object", "assert_subject", "assert_predicate", "assert_object", "confidence", "raw_text", "authority", "authored_by"]
@@ -30,20 +30,20 @@ def applicable(ledger: DataFrame) -> DataFrame:
     correction and undo, without the claim they name. Of an event's deliveries the smallest ledger_line counts (equal
     lines: the earliest instant). kind is `set` or `drop`.
     """
-    bare = canonical(F.col("created_at"))
     # Undos name the claim itself or its assert or retract part.
     claim = F.when(F.col("kind") == "drop", F.regexp_replace("target_claim_id", r":(assert|retract)$", "")).otherwise(F.col("claim_id"))
     rows = (
         ledger.withColumn("kind", F.when(clean_role(F.col("event_type")) == "correction", "set").when(clean_role(F.col("event_type")) == "undo", "drop"))
-        .withColumn("canon", bare)
-        .withColumn("at_us", instant_us(F.col("canon"), usable_zone(F.lit("UTC")), F.lit(False), F.lit(False)))
+        .withColumn("at_us", instant(F.col("created_at"), usable_zone(F.lit("UTC")), F.lit(False), F.lit(False)))
         .withColumn("claim", claim)
         .where("event_id is not null and kind is not null and at_us is not null and claim is not null and ledger_line is not null")
         .select("slug", "claim", "kind", "at_us", "ledger_line", "event_id", *CONTENT)
     )
-    # An event's repeats meet in a pre-aggregated minimum of plain numbers; the rows follow by a join on the line.
-    first = rows.groupBy("event_id").agg(F.min(F.struct("ledger_line", "at_us")).alias("f")).select("event_id", "f.ledger_line", "f.at_us")
-    return rows.join(first, ["event_id", *ORDER], "left_semi").dropDuplicates(["event_id"])
+    # An event's repeats meet in a pre-aggregated minimum that carries the whole row, so stamps are parsed once, and
+    # deliveries of one line that differ give the smallest of them.
+    row = [*ORDER[::-1], "slug", "claim", "kind", *CONTENT]
+    first = rows.groupBy("event_id").agg(F.min(F.struct(*row)).alias("f"))
+    return first.select("f.slug", "f.claim", "f.kind", "f.at_us", "f.ledger_line", "event_id", *[f"f.{c}" for c in CONTENT])
 
 
 def _states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
