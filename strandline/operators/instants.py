@@ -6,10 +6,10 @@ between runs; the parsed instants are joined back to the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.timestamps import canonical, instant_us, usable_zone
+from strandline.functions.timestamps import instant, usable_zone
 from strandline.session import hot_keys, lookup_join
 
 KEY = ["stamp", "zone", "month_first", "apple"]
@@ -49,9 +49,7 @@ def stamp_rows(rows: DataFrame, sources: DataFrame, row_id: str) -> DataFrame:
 
 def parse(keys: DataFrame) -> DataFrame:
     """keys with utc_us: null where the stamp names no real instant."""
-    c = keys.withColumn("canon", canonical(F.col("stamp")))
-    us: Column = instant_us(F.col("canon"), usable_zone(F.col("zone")), F.col("month_first"), F.col("apple"))
-    return c.withColumn("utc_us", us).drop("canon")
+    return keys.withColumn("utc_us", instant(F.col("stamp"), usable_zone(F.col("zone")), F.col("month_first"), F.col("apple")))
 
 
 def extend_dictionary(stamps: DataFrame, path: str) -> DataFrame:
