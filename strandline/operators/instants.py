@@ -6,11 +6,11 @@ between runs; the parsed instants are joined back to the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.timestamps import instant, usable_zone
-from strandline.session import hot_keys, lookup_join
+from strandline.session import durable, hot_keys, lookup, shared_dir
 
 KEY = ["stamp", "zone", "month_first", "apple"]
 #: Rows that hold one key are spread over so many salts where the key is hot.
@@ -34,7 +34,7 @@ def stamp_rows(rows: DataFrame, sources: DataFrame, row_id: str) -> DataFrame:
     in files of different zones is parsed once. A file that source_index lacks is read as UTC, day first.
     """
     s = rows.select(F.col(row_id).alias("row_id"), "source_file", F.col("timestamp").alias("stamp"), F.lower("source_type").alias("kind")).where("stamp is not null and row_id is not null")
-    joined = lookup_join(s, sources, ["source_file"], "row_id", ["time_zone", "locale"])
+    joined = lookup(s, sources, ["source_file"], "row_id", ["time_zone", "locale"])
     bare = F.col("stamp").rlike(r"^[\s\p{Z}]*\d+[\s\p{Z}]*$")
     fixed = bare | F.col("stamp").rlike(r"(?i)(:.*[+-]\d{2}:?\d{2}|t\d{6}.*[+-]\d{2}:?\d{2}|\dz|[a-z]{3,4})[\s\p{Z}]*$") & ~F.col("stamp").rlike(r"(?i)m\.?[\s\p{Z}\]]*$") | F.col("stamp").rlike(r" [+-]\d{4} \d{4}[\s\p{Z}]*$")
     slashed = F.col("stamp").rlike(r"^\W*\d{1,2}[/-]\d")
@@ -53,7 +53,10 @@ def parse(keys: DataFrame) -> DataFrame:
 
 
 def extend_dictionary(stamps: DataFrame, path: str) -> DataFrame:
-    """Parse the keys that the dictionary table at `path` lacks, append them, and return the whole dictionary."""
+    """Parse the keys that the dictionary table at `path` lacks, append them, and return the whole dictionary.
+
+    One writer at a time: two that extend it at once may both add a key.
+    """
     spark = stamps.sparkSession
     keys = stamps.select(*KEY).distinct()
     schema = parse(keys.limit(0)).schema
@@ -80,13 +83,18 @@ def normalise(stamps: DataFrame, dictionary_path: str | None = None) -> DataFram
     return joined.select("row_id", *KEY, F.when(F.col("is_hot"), F.col("hot_us")).otherwise(F.col("utc_us")).alias("utc_us"))
 
 
+def kept_dictionary(spark: SparkSession) -> str:
+    """Where the queries keep their dictionary: in the shared folder, from one run of an application to the next."""
+    return f"{shared_dir(spark)}/p6-dictionary"
+
+
 def found(message: DataFrame, evidence: DataFrame, source_index: DataFrame, dictionary_path: str | None = None) -> DataFrame:
     """(tbl, row_id, utc_us): every stamp of message and evidence that names a real instant, once per row_id.
 
     Null stamps, stamps without a real instant and rows without id are left out; empty tables give no rows. Of rows
     that repeat one id with several stamps, the earliest instant counts.
     """
-    sources = newest_sources(source_index)
+    sources = durable(newest_sources(source_index), "p6-sources")
     m = stamp_rows(message, sources, "seq")
     e = stamp_rows(evidence.select("evidence_no", "source_file", "timestamp", "source_type").distinct(), sources, "evidence_no")
     both = m.withColumn("tbl", F.lit("message")).unionByName(e.withColumn("tbl", F.lit("evidence")))

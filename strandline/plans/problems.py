@@ -16,7 +16,7 @@ def p3_standing_claims(spark, sf_dir):
 
 
 def p6_found(spark, sf_dir):
-    return instants.found(table(spark, sf_dir, "message"), table(spark, sf_dir, "evidence"), table(spark, sf_dir, "source_index"))
+    return instants.found(table(spark, sf_dir, "message"), table(spark, sf_dir, "evidence"), table(spark, sf_dir, "source_index"), instants.kept_dictionary(spark))
 
 
 QUERIES = {"p3_found": p3_found, "p3_standing_claims": p3_standing_claims, "p6_found": p6_found}

@@ -128,3 +128,10 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], row_id: str
     cold = lookup.select(*keys, *values).withColumn("__salt", F.lit(0))
     j = r.join(cold, [*keys, "__salt"], "left")
     return j.select(*rows.columns, *[F.when(F.col("__is_hot"), F.col(f"__hot_{v}")).otherwise(F.col(v)).alias(v) for v in values])
+
+
+def lookup(rows: DataFrame, table_: DataFrame, keys: list[str], row_id: str, values: list[str]) -> DataFrame:
+    """Left join to a table with one row per key: by broadcast where a count shows that it has few rows, else `lookup_join`."""
+    if small(table_):
+        return rows.join(F.broadcast(table_.select(*keys, *values)), keys, "left").select(*rows.columns, *values)
+    return lookup_join(rows, table_, keys, row_id, values)
