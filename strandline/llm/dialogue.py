@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.text import clean_role, says_something
-from strandline.functions.timestamps import canonical, instant_us, usable_zone
+from strandline.functions.timestamps import instant, usable_zone
 from strandline.llm import paths
 from strandline.operators.instants import newest_sources
-from strandline.session import durable, lookup_join
+from strandline.session import durable, lookup
 
 ROLES = ("user", "assistant")
 
@@ -33,9 +33,9 @@ def turns(message: DataFrame, sources: DataFrame, content: bool = False) -> Data
     keep = ["role", "content"] if content else []
     role, said = clean_role(F.col("role")), says_something(F.col("content"))
     rows = message.where("source_file is not null").select("seq", "source_file", "line_no", F.col("timestamp").alias("stamp"), F.lower("source_type").alias("kind"), _code(role, said).alias("code"), *([role.alias("role"), "content"] if content else []))
-    placed = lookup_join(rows, sources, ["source_file"], "seq", ["time_zone", "locale"])
+    placed = lookup(rows, sources, ["source_file"], "seq", ["time_zone", "locale"])
     slash = F.coalesce(F.col("locale") == "en-US", F.lit(False))
-    us = instant_us(canonical(F.col("stamp")), usable_zone(F.coalesce("time_zone", F.lit("UTC"))), slash, F.coalesce(F.col("kind") == "imessage", F.lit(False)))
+    us = instant(F.col("stamp"), usable_zone(F.coalesce("time_zone", F.lit("UTC"))), slash, F.coalesce(F.col("kind") == "imessage", F.lit(False)))
     return placed.select("seq", "source_file", "line_no", us.alias("at_us"), "code", *keep)
 
 
@@ -89,24 +89,34 @@ def found(message: DataFrame, source_index: DataFrame) -> DataFrame:
 
     A file that source_index lacks, or has without lines, cannot be broken. Files without rows do not appear.
     """
-    sources = newest_sources(source_index)
+    sources = durable(newest_sources(source_index), "p4-sources")
     ranked = durable(blocks(durable(turns(message, sources), "p4-turns")), "p4-ranked")
     return verdicts(ranked, sources)[0].where("reason is not null")
 
 
 def conversations(message: DataFrame, source_index: DataFrame) -> DataFrame:
-    """(source_file, turn_no, role, content, at_us, line_no, seq) of the kept files.
+    """(source_file, turn_no, role, content, at_us, line_no, seq, thread_line, thread_depth, thread_state) of the kept files.
 
     Turns are the rows of user and assistant that say something, each line once (its smallest seq); turn_no counts
-    the file's rows from 0 in order, so it rises but may skip rows that are no turns.
+    the file's rows from 0 in order, so it rises but may skip rows that are no turns. thread_*: the line that the turn's
+    chain of replies starts from, how many replies lie between, and whether the chain is sound (see `threads`).
     """
-    sources = newest_sources(source_index)
+    sources = durable(newest_sources(source_index), "p4-sources")
     ranked = durable(blocks(durable(turns(message, sources, content=True), "p4-turns")), "p4-ranked")
     files, segs = verdicts(ranked, sources)
     kept = files.where("reason is null").select("source_file")
     placed = ranked.where("code in (1, 2)").join(segs.join(kept, "source_file", "left_semi").select("source_file", "block", "before_rows", "first_rank"), ["source_file", "block"])
     once = placed.groupBy("source_file", "line_no").agg(F.min(F.struct("seq", "rank", "block", "before_rows", "first_rank", "role", "content", "at_us")).alias("r")).select("source_file", "line_no", "r.*")
-    return once.select("source_file", (F.col("before_rows") + F.col("rank") - F.col("first_rank")).alias("turn_no"), "role", "content", "at_us", "line_no", "seq")
+    replies = threads(message).select("source_file", "line_no", F.col("root_line").alias("thread_line"), F.col("depth").alias("thread_depth"), F.col("state").alias("thread_state"))
+    numbered = once.select("source_file", (F.col("before_rows") + F.col("rank") - F.col("first_rank")).alias("turn_no"), "role", "content", "at_us", "line_no", "seq")
+    return numbered.join(replies, ["source_file", "line_no"], "left").select(*numbered.columns, "thread_line", "thread_depth", "thread_state")
+
+
+def reply_nodes(message: DataFrame) -> DataFrame:
+    """(id, parent): each line of a file once (the row with the smallest seq), and the line its metadata.reply_to names."""
+    reply = F.get_json_object("metadata", "$.reply_to").try_cast("int")
+    rows = message.where("source_file is not null and line_no is not null").groupBy("source_file", "line_no").agg(F.min(F.struct("seq", reply.alias("reply"))).alias("m"))
+    return rows.select(F.struct("source_file", F.col("line_no").cast("int").alias("line_no")).alias("id"), F.when(F.col("m.reply").isNotNull(), F.struct("source_file", F.col("m.reply").alias("line_no"))).alias("parent"))
 
 
 def threads(message: DataFrame) -> DataFrame:
@@ -115,8 +125,15 @@ def threads(message: DataFrame) -> DataFrame:
     A row without reply_to is a root; `orphan` answers a line the file lacks, `cycle` answers itself by some way.
     Lines delivered more than once count once, with the smallest seq. Metadata that is no JSON has no reply_to.
     """
-    reply = F.get_json_object("metadata", "$.reply_to").try_cast("int")
-    rows = message.where("source_file is not null and line_no is not null").groupBy("source_file", "line_no").agg(F.min(F.struct("seq", reply.alias("reply"))).alias("m"))
-    nodes = rows.select(F.struct("source_file", F.col("line_no").cast("int").alias("line_no")).alias("id"), F.when(F.col("m.reply").isNotNull(), F.struct("source_file", F.col("m.reply").alias("line_no"))).alias("parent"))
-    out = paths.resolve(durable(nodes, "p4-replies"), [], "p4-threads")
+    out = paths.resolve(durable(reply_nodes(message), "p4-replies"), [], "p4-threads")
     return out.select("id.source_file", "id.line_no", F.col("root.line_no").alias("root_line"), "depth", "state")
+
+
+def reply_paths(message: DataFrame) -> DataFrame:
+    """(source_file, leaf_line, place, line_no): every sound chain of replies from its root (place 0) to its leaf.
+
+    A leaf is a line that answers another and that no line answers; lines outside any chain, orphans and cycles give no path.
+    """
+    nodes = durable(reply_nodes(message), "p4-replies")
+    out = paths.root_to_leaf(nodes, paths.resolve(nodes, [], "p4-threads"), "p4-leaf-paths")
+    return out.select("leaf.source_file", F.col("leaf.line_no").alias("leaf_line"), "place", "id.line_no")

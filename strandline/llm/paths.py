@@ -70,6 +70,30 @@ def resolve(nodes: DataFrame, sums: list[str] | None = None, label: str = "paths
     return out.select("id", F.col("ptr").alias("root"), "depth", "state", *[f"before_{s}" for s in sums])
 
 
+def root_to_leaf(nodes: DataFrame, resolved: DataFrame, label: str = "leaf-paths") -> DataFrame:
+    """(leaf, place, id): the nodes of each path from a root (place 0) to a leaf below it.
+
+    nodes: id, parent; resolved: what `resolve` gives for them. Each node of a path lies some number of steps above the
+    leaf; it is reached by jumps of 1, 2, 4, ... steps, those of the binary digits of that number, so the rounds grow
+    with the logarithm of the depth, and no task holds a path.
+    """
+    ok = durable(resolved.where("state = 'ok'").select("id", "depth"), label)
+    jump = nodes.where("parent is not null").join(ok.select("id"), "id", "left_semi").select(F.col("id").alias("from"), F.col("parent").alias("to"))
+    jump = durable(jump, label)
+    leaves = ok.where("depth > 0").join(jump.select(F.col("to").alias("id")), "id", "left_anti")
+    rows = leaves.select(F.col("id").alias("leaf"), "depth", F.col("id").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), "depth")).alias("up"))
+    step, deepest = 1, ok.agg(F.max("depth")).first()[0] or 0
+    while step <= deepest:
+        on = F.col("up").bitwiseAND(F.lit(step)) != 0
+        moved = rows.where(on).join(jump, F.col("at") == F.col("from")).select("leaf", "depth", F.col("to").alias("at"), "up")
+        rows = durable(rows.where(~on).unionByName(moved), label)
+        step *= 2
+        if step <= deepest:
+            far = jump.select(F.col("from").alias("to"), F.col("to").alias("far"))
+            jump = durable(jump.join(far, "to").select("from", F.col("far").alias("to")), label)
+    return rows.select("leaf", (F.col("depth") - F.col("up")).alias("place"), F.col("at").alias("id"))
+
+
 def components(nodes: DataFrame, edges: DataFrame, label: str = "components", max_rounds: int = 64) -> DataFrame:
     """(id, root): the smallest id each node is connected to. nodes: id; edges: a, b, ids of nodes, in any order.
 

@@ -38,6 +38,11 @@ def p4_threads(spark, sf_dir):
     return dialogue.threads(table(spark, sf_dir, "message"))
 
 
+def p4_paths(spark, sf_dir):
+    """The chains of replies from root to leaf."""
+    return dialogue.reply_paths(table(spark, sf_dir, "message"))
+
+
 def p5_found(spark, sf_dir):
     return pairs.found(table(spark, sf_dir, "conversations"))
 
@@ -78,6 +83,6 @@ def p7_redacted(spark, sf_dir):
     return pii.redacted_tables(table(spark, sf_dir, "message"), table(spark, sf_dir, "context_record"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_identities": p2_identities, "p4_found": p4_found, "p4_conversations": p4_conversations, "p4_threads": p4_threads, "p5_found": p5_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_identities": p2_identities, "p4_found": p4_found, "p4_conversations": p4_conversations, "p4_threads": p4_threads, "p4_paths": p4_paths, "p5_found": p5_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items}
 
 SQL: dict[str, str] = {}

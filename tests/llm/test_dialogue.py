@@ -59,3 +59,8 @@ def test_threads(make):
     rows = [{"seq": i, "source_file": "f", "line_no": i, "metadata": m} for i, m in enumerate(["{}", '{"reply_to": 1}', '{"reply_to": 2}', '{"reply_to": 77}', '{"reply_to": 5}', "no json"], 1)]
     got = {r["line_no"]: (r["root_line"], r["depth"], r["state"]) for r in dialogue.threads(make(MESSAGE, *rows)).collect()}
     assert got[1] == (1, 0, "ok") and got[3] == (1, 2, "ok") and got[4][2] == "orphan" and got[5][2] == "cycle" and got[6] == (6, 0, "ok")
+    chains = {(r["leaf_line"], r["place"]): r["line_no"] for r in dialogue.reply_paths(make(MESSAGE, *rows)).collect()}
+    assert chains == {(3, 0): 1, (3, 1): 2, (3, 2): 3}
+    told = [x | {"role": "user" if x["line_no"] % 2 else "assistant", "content": "x", "timestamp": f"2024-01-01T10:0{x['line_no']}:00Z"} for x in rows]
+    c = dialogue.conversations(make(MESSAGE, *told), make(SOURCE_INDEX, {"filename": "f", "lines": 6, "imported_at": AT})).orderBy("turn_no").collect()
+    assert [(x["line_no"], x["thread_line"], x["thread_depth"], x["thread_state"]) for x in c[:4]] == [(1, 1, 0, "ok"), (2, 1, 1, "ok"), (3, 1, 2, "ok"), (4, 77, 0, "orphan")]

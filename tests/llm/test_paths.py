@@ -38,3 +38,20 @@ def test_components(make):
         root[b] = a
     got = paths.components(make("id long", *[{"id": i} for i in root]), make("a long, b long", *[{"a": a, "b": b} for a, b in edges]))
     assert {x["id"]: x["root"] for x in got.collect()} == {i: top(i) for i in root}
+
+
+def test_root_to_leaf(make):
+    r = random.Random(7)
+    parent = {0: None, 50: None, 60: 99, 70: 71, 71: 70} | {i: r.randrange(i) for i in range(1, 40)} | {i: i - 1 for i in range(51, 59)}
+    nodes = make("id long, parent long, depth long, state string", *[{"id": i, "parent": p} for i, p in parent.items()]).select("id", "parent")
+    want = set()
+    for leaf in set(parent) - set(parent.values()):
+        path, at = [], leaf
+        while at is not None and at in parent and len(path) < 100:
+            path.append(at)
+            at = parent[at]
+        if at is None and len(path) > 1:
+            want |= {(leaf, i, x) for i, x in enumerate(path[::-1])}
+    got = paths.root_to_leaf(nodes, paths.resolve(nodes)).collect()
+    assert len(got) == len(want) and {(x["leaf"], x["place"], x["id"]) for x in got} == want
+    assert paths.root_to_leaf(nodes.limit(0), paths.resolve(nodes.limit(0))).collect() == []
