@@ -8,7 +8,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -135,3 +135,14 @@ def lookup(rows: DataFrame, table_: DataFrame, keys: list[str], row_id: str, val
     if small(table_):
         return rows.join(F.broadcast(table_.select(*keys, *values)), keys, "left").select(*rows.columns, *values)
     return lookup_join(rows, table_, keys, row_id, values)
+
+
+def lookup_pairs(rows: DataFrame, others: DataFrame, key: str, spread: Column, salts: int = 64) -> DataFrame:
+    """Inner join on `key`, safe where a key holds a large share of `rows`: those of hot keys (see hot_keys) are spread over
+    `salts` by `spread`, and what `others` holds of them is repeated as often; all other keys join as they are."""
+    hot = hot_keys(rows.where(F.col(key).isNotNull()), [key]).select(key, F.lit(True).alias("__hot"))
+    hot = durable(hot, "hot-keys")
+    r = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(spread, F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("__hot")
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    o = others.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(every)).drop("__hot")
+    return r.join(o, [key, "__salt"]).drop("__salt")
