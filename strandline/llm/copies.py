@@ -1,13 +1,15 @@
 """Problem 1: copies of a message that differ only in formatting become one record each, with the number of copies.
 
-Method: recursive radix partitioning on canonical bytes. Rows are counted by the next byte of their canonical form;
-buckets that hold too many are split by further bytes (runs that all their rows share are skipped) until each fits.
-Every bucket is then walked as a trie in byte order, with a counter at each terminal node. A single form that alone
-holds more rows than fit cannot be split by bytes: its counter is pre-aggregated, and its rows never meet in one task.
+Method: recursive radix partitioning on canonical bytes. Rows are counted by the next bytes of their canonical form;
+buckets that hold too much are split by further bytes (runs that all their rows share are skipped) until each fits into
+a size in bytes that does not depend on the input. Every bucket is then read into a trie of its own, with a counter at
+each terminal node. A single form that alone exceeds a bucket cannot be split by bytes: its counter is pre-aggregated,
+and its rows never meet in one task.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import unicodedata
@@ -16,19 +18,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.text import clean_role, says_something
-from strandline.session import durable, lookup_join
+from strandline.session import durable, lookup_join, small
 
 _WORDS = re.compile(r"[^\W_]+")
 _INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff]")
 _SEPARATORS = [re.compile(r"[\r\n]+"), re.compile(r";"), re.compile(r"\|"), re.compile(r"[\r\n;|]+")]
-#: A bucket fits up to this many rows, or up to this share of all rows where that is more: at most 1/share are oversized.
-FIT_ROWS, FIT_SHARE = 50_000, 1 / 1024
+#: A bucket fits up to this many bytes, each row counting its key and what a trie keeps besides; and the bytes by which it is split.
+FIT_BYTES, ROW_BYTES, STRIDE = 8 * 2**20, 64, 2
 
 
 def words(text: str) -> list[str]:
@@ -117,87 +118,120 @@ def _shared(low: pd.Series, high: pd.Series) -> pd.Series:
     return pd.Series([count(bytes(a), bytes(b)) for a, b in zip(low, high, strict=True)])
 
 
-def radix(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Split the keys of `rows` (seq, key) into buckets that fit.
+def _sized(table_: DataFrame) -> DataFrame:
+    """A table of buckets, to be broadcast where it has few rows."""
+    return F.broadcast(table_) if small(table_) else table_
 
-    Gives the rows with leaf (the bucket's prefix) and first_hot (set only for rows of a form that alone exceeds a
-    bucket: its smallest seq), and the number of split steps. Each step counts the rows still open by one more byte,
-    pre-aggregated; of the oversized buckets, 1/FIT_SHARE at most, the prefixes and the numbers of bytes that all their
-    keys share come to the driver. Shared bytes are skipped at once, however many, so a step always parts rows.
+
+def radix(rows: DataFrame, fit: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """Split the keys of `rows` (seq, key) into buckets that fit: (cold, hot, steps).
+
+    cold: seq, key, leaf (a number of the bucket; equal keys have equal ones); hot: seq, first_seq, n of the rows of a form
+    that alone exceeds a bucket. Each step counts the rows still open by STRIDE more bytes, pre-aggregated. Rows of
+    buckets that fit are closed; of the others, the bytes that all keys of a bucket share are skipped at once, however many,
+    so a step always parts rows; and only they are written for the next step. The table of oversized buckets stays in
+    Spark: it is broadcast where a count shows that it is small, else joined (its buckets are large; Spark splits them).
     """
-    spark = rows.sparkSession
-    total = rows.count()
-    fit = max(FIT_ROWS, int(total * FIT_SHARE))
-    out = rows.withColumn("depth", F.lit(0)).withColumn("leaf", F.lit(None).cast("binary")).withColumn("first_hot", F.lit(None).cast("long"))
-    if total <= fit:
-        return out.withColumn("leaf", F.lit(b"")).drop("depth"), 0
-    cut = F.substring(F.col("key"), F.lit(1), F.col("depth") + 1)
-    steps = 0
+    fit = FIT_BYTES if fit is None else fit
+    cut, cold, hot, steps = F.substring(F.col("key"), F.lit(1), F.col("depth") + STRIDE), [], [], 0
+    left = rows.select("seq", "key", F.lit(0).alias("depth"))
     while True:
-        open_rows = out.where("leaf is null").select("seq", "key", "depth", cut.alias("cut"))
-        counted = open_rows.groupBy("depth", "cut").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.min(F.xxhash64("key")).alias("a"), F.max(F.xxhash64("key")).alias("z"))
-        # A prefix of a very long shared run would itself be long: it is known by its digest.
-        over = counted.where(F.col("n") > fit).select(F.sha2("cut", 256).alias("digest"), F.col("depth").alias("at"), F.when(F.col("a") == F.col("z"), F.col("first_seq")).alias("first_seq"))
-        known = over.collect()
         steps += 1
-        # `first_seq` set: one form alone, which no byte can part. Otherwise the bucket goes on after its shared bytes.
-        many = [(r["digest"], r["at"]) for r in known if r["first_seq"] is None]
-        depths = {}
-        if many:
-            wide = spark.createDataFrame(many, "digest string, at int")
-            inside = open_rows.withColumn("digest", F.sha2("cut", 256)).join(F.broadcast(wide), ["digest"]).where("depth = at")
-            ends = inside.groupBy("digest", "at").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-            depths = {(r["digest"], r["at"]): r["shared"] for r in ends.select("digest", "at", _shared("low", "high").alias("shared")).collect()}
-        table = spark.createDataFrame([(r["digest"], r["at"], depths.get((r["digest"], r["at"]), 0), r["first_seq"]) for r in known] or [("", -1, 0, None)], "digest string, at int, next_depth int, first_seq long")
-        digest = F.when(F.col("leaf").isNull(), F.sha2(cut, 256))
-        j = out.withColumn("digest", digest).join(F.broadcast(table), "digest", "left")
-        held = F.col("leaf").isNull() & (F.col("at") == F.col("depth"))
-        closes = F.col("leaf").isNull() & (~F.coalesce(held, F.lit(False)) | F.col("first_seq").isNotNull())
-        out = j.select(
-            "seq",
-            "key",
-            F.when(held, F.greatest("next_depth", F.col("depth") + 1)).otherwise(F.col("depth")).cast("int").alias("depth"),
-            # The leaf is known by the digest of its prefix: equal prefixes of equal length, one bucket.
-            F.when(closes, F.unhex("digest")).otherwise(F.col("leaf")).alias("leaf"),
-            F.coalesce("first_hot", F.when(held, F.col("first_seq"))).alias("first_hot"),
-        )
-        if not many:
-            return out.drop("depth"), steps
-        if steps % 6 == 0:
-            # Adversarial keys may take many steps: the plan must not grow with them.
-            out = durable(out, "p1-radix")
-
-
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walk the tries of sorted buckets in byte order: one row per member, with its terminal's first seq and place.
-
-    Only the path to the current terminal is held, so a bucket may be of any size.
+        # Hashes stand for prefixes: two that fell on one number would be split and closed alike, which parts no equal keys.
+        hashed = left.withColumn("bucket", F.xxhash64(cut, "depth"))
+        sums = hashed.groupBy("bucket").agg(F.sum(F.length("key") + F.lit(ROW_BYTES)).alias("bytes"))
+        over = durable(sums.where(F.col("bytes") > fit).select("bucket"), "p1-buckets")
+        if over.isEmpty():
+            cold.append(left.select("seq", "key", F.xxhash64(cut, "depth").alias("leaf")))
+            break
+        table = _sized(over)
+        cold.append(hashed.join(table, "bucket", "left_anti").select("seq", "key", F.col("bucket").alias("leaf")))
+        inside = hashed.join(table, "bucket")
+        ends = inside.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n"))
+        ends = durable(ends.select("bucket", F.when(F.col("low") == F.col("high"), F.col("first_seq")).alias("first_seq"), "n", _shared("low", "high").alias("shared")), "p1-ends")
+        placed = inside.join(_sized(ends), "bucket")
+        hot.append(placed.where("first_seq is not null").select("seq", "first_seq", "n"))
+        left = durable(placed.where("first_seq is null").select("seq", "key", F.greatest("shared", F.col("depth") + STRIDE).cast("int").alias("depth")), "p1-open")
+    union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    none = rows.limit(0).select("seq", F.col("seq").alias("first_seq"), F.lit(0).cast("long").alias("n"))
+    return union(cold), union(hot) if hot else none, steps
+
+
+class Trie:
+    """Keys by their bytes, runs without branches in one node; a key's terminal counts it and keeps the least number and, if asked to, all.
+
+    A node is [label, children by first byte, count, first, members].
     """
-    last, first, place = None, None, 0
+
+    def __init__(self, members: bool = True):
+        self.top: list = [b"", {}, 0, None, None]
+        self.terminals: list[list] = []
+        self.members = members
+
+    def add(self, key: bytes, number: int) -> None:
+        node, at, n = self.top, 0, len(key)
+        while at < n:
+            child = node[1].get(key[at])
+            if child is None:
+                child = node[1][key[at]] = [key[at:], {}, 0, None, None]
+                node = child
+                break
+            label = child[0]
+            if key.startswith(label, at):
+                node, at = child, at + len(label)
+                continue
+            same = 1
+            most = min(len(label), n - at)
+            while same < most and label[same] == key[at + same]:
+                same += 1
+            fork = node[1][key[at]] = [label[:same], {label[same]: child}, 0, None, None]
+            child[0] = label[same:]
+            node, at = fork, at + same
+        if not node[2]:
+            node[3], node[4] = number, [number] if self.members else None
+            self.terminals.append(node)
+        else:
+            node[3] = min(node[3], number)
+            if self.members:
+                node[4].append(number)
+        node[2] += 1
+
+
+def _tries(batches: Iterator[pa.RecordBatch], members: bool) -> Iterator[Trie]:
+    """One trie per bucket, of rows that are sorted by bucket; one is held at a time."""
+    leaf, trie = None, Trie(members)
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        key, seq = batch.column("key"), batch.column("seq")
-        new = np.ones(n, dtype=bool)
-        if n > 1:
-            new[1:] = pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
-        new[0] = last is None or key[0].as_py() != last
-        s = seq.to_numpy(zero_copy_only=False)
-        at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-        firsts = np.where(at >= 0, s[np.maximum(at, 0)], first if first is not None else 0)
-        places = np.where(at >= 0, np.arange(n) - np.maximum(at, 0), np.arange(n) + place)
-        last, first, place = key[n - 1].as_py(), int(firsts[-1]), int(places[-1]) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), seq.cast(pa.int64()), pa.array(places, pa.int64())], names=["first_seq", "seq", "place"])
+        for bucket, key, seq in zip(batch.column("leaf").to_pylist(), batch.column("key").to_pylist(), batch.column("seq").to_pylist(), strict=True):
+            if bucket != leaf:
+                if trie.terminals:
+                    yield trie
+                leaf, trie = bucket, Trie(members)
+            trie.add(key, seq)
+    if trie.terminals:
+        yield trie
+
+
+def _member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for trie in _tries(batches, True):
+        first = np.repeat(np.array([t[3] for t in trie.terminals], np.int64), [t[2] for t in trie.terminals])
+        yield pa.RecordBatch.from_arrays([pa.array(first), pa.array([s for t in trie.terminals for s in t[4]], pa.int64())], names=["first_seq", "seq"])
+
+
+def _counter_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for trie in _tries(batches, False):
+        yield pa.RecordBatch.from_arrays([pa.array([t[3] for t in trie.terminals], pa.int64()), pa.array([t[2] for t in trie.terminals], pa.int64())], names=["first_seq", "copies"])
+
+
+def _placed(message: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows by bucket, rows of hot forms)."""
+    cold, hot, _ = radix(durable(canonical_rows(message), "p1-keys"))
+    return cold.select("leaf", "key", F.col("seq").cast("long").alias("seq")).repartition("leaf").sortWithinPartitions("leaf"), hot
 
 
 def members(message: DataFrame) -> DataFrame:
     """(first_seq, seq) of every member of every record; the first member has seq = first_seq."""
-    rows = durable(canonical_rows(message), "p1-keys")
-    placed, _ = radix(rows)
-    hot = placed.where("first_hot is not null").select(F.col("first_hot").alias("first_seq"), "seq")
-    cold = placed.where("first_hot is null").select("leaf", "key", "seq").repartition("leaf").sortWithinPartitions("leaf", "key", "seq")
-    return cold.mapInArrow(_walk, "first_seq long, seq long, place long").select("first_seq", "seq").unionByName(hot)
+    cold, hot = _placed(message)
+    return cold.mapInArrow(_member_rows, "first_seq long, seq long").unionByName(hot.select("first_seq", "seq"))
 
 
 def found(message: DataFrame) -> DataFrame:
@@ -210,5 +244,6 @@ def found(message: DataFrame) -> DataFrame:
 
 
 def records(message: DataFrame) -> DataFrame:
-    """(first_seq, copies): each record once, with its number of copies. Counted before the shuffle."""
-    return members(message).groupBy("first_seq").agg(F.count(F.lit(1)).alias("copies"))
+    """(first_seq, copies): each record once, with its number of copies: what the counters of the terminals say."""
+    cold, hot = _placed(message)
+    return cold.mapInArrow(_counter_rows, "first_seq long, copies long").unionByName(hot.select("first_seq", F.col("n").alias("copies")).distinct())

@@ -30,13 +30,38 @@ def rows_of(n=1500, seed=4):
     return out
 
 
-@pytest.mark.parametrize("fit", [40, 50_000])
+@pytest.mark.parametrize("fit", [4000, copies.FIT_BYTES])
 def test_as_plain_grouping(make, monkeypatch, fit):
-    monkeypatch.setattr(copies, "FIT_ROWS", fit)
+    monkeypatch.setattr(copies, "FIT_BYTES", fit)
     rows = rows_of()
     got = copies.found(make(MESSAGE + ", key string, leaf string, depth int", *rows).repartition(5)).collect()
     assert len(got) == len({tuple(x) for x in got})
     assert {tuple(x) for x in got} == plain(rows)
+    counted = {r["first_seq"]: r["copies"] for r in copies.records(make(MESSAGE, *rows)).collect()}
+    sizes = collections.Counter(first for first, _ in plain(rows))
+    assert all(n == 1 + sizes[first] for first, n in counted.items()) and sizes.keys() <= counted.keys()
+
+
+def test_buckets_fit_whatever_the_number_of_rows(make):
+    r = random.Random(6)
+    for n in (500, 4000):
+        keys = ["same" if r.random() < 0.3 else "shared prefix " * 3 + "".join(r.choice("ab") for _ in range(12)) for _ in range(n)]
+        cold, hot, steps = copies.radix(make("seq long, key binary", *[{"seq": i, "key": k.encode()} for i, k in enumerate(keys)]), 8000)
+        sizes, leaf_of = collections.Counter(), {}
+        for row in cold.collect():
+            sizes[row["leaf"]] += len(row["key"]) + copies.ROW_BYTES
+            assert leaf_of.setdefault(bytes(row["key"]), row["leaf"]) == row["leaf"]
+        assert max(sizes.values()) <= 8000 and steps > 1
+        assert {(x["first_seq"], x["n"]) for x in hot.collect()} == {(keys.index("same"), keys.count("same"))}
+
+
+def test_trie_as_a_counter():
+    r = random.Random(7)
+    keys = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 7))) for _ in range(900)]
+    trie = copies.Trie()
+    for i, k in enumerate(keys):
+        trie.add(k, i)
+    assert sorted((t[3], t[2], sorted(t[4])) for t in trie.terminals) == sorted((keys.index(k), n, [i for i, x in enumerate(keys) if x == k]) for k, n in collections.Counter(keys).items())
 
 
 def test_fields_in_any_order_and_form(make):
