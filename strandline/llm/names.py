@@ -1,7 +1,7 @@
 """Problem 2: spellings of one person or organisation in an archive become one identity.
 
 Method: trie join. The name words of an archive are sharded into tries, which are traversed with Levenshtein automata
-to list the words within one edit; names are then compared word by word whatever their order. What may abbreviate
+to list the words within one edit (none for words under four letters, where an edit makes another name); names are then compared word by word whatever their order. What may abbreviate
 what (initials, short forms of given names, titles, account names) is settled by keys, never by pairing all names of an
 archive: names meet only where a key of theirs is the same, and are linked to one name of that key.
 """
@@ -112,10 +112,14 @@ def o_prefix(word: str) -> bool:
     return any(o.startswith(word) for o in ORGANISATIONS)
 
 
+#: Letters of a given name that a dotted short form may keep: `Xiom. Paz` as `X. Paz`.
+MOST_INITIAL = 6
+
+
 def parse(name: str) -> dict | None:
     """What a spelling may stand for; None where it holds no letter.
 
-    given: the given names (or `org:` kinds) it may have; initial: the first letter of one that is only an initial;
+    given: the given names (or `org:` kinds) it may have; initial: the first letter or letters of one that is only an initial or cut short by a point;
     first, second: surnames (second: all after the first); first_initial, second_initial: initials in their place;
     tokens, own: all words of a person's name that holds no initial, and the one taken as the given name.
     """
@@ -175,7 +179,8 @@ def parse(name: str) -> dict | None:
                 at, given = 0, []
                 break
     if at is None:
-        at, given = 0, [tokens[0]]
+        short = 2 <= len(tokens[0]) <= MOST_INITIAL and (tokens[0], True) in bare
+        at, given = 0, [] if short else [tokens[0]]
     rest = [t for i, t in enumerate(tokens) if i != at]
     out = dict(blank, given=given, initial="" if given else tokens[at])
     if given and min(map(len, tokens)) > 1:
@@ -247,29 +252,45 @@ def neighbours(top: dict, word: str) -> list[str]:
     return out
 
 
-#: Words of one archive that go into one trie; larger archives have several, and look every word up in each.
-SHARD_WORDS, BUNDLES = 4096, 512
+#: Words have one edit from this many letters on, none below; rows of words that share a task.
+EDIT_FROM, TASK_ROWS = 4, 20_000
+
+
+def routes(word: str) -> list[str]:
+    """The tries a word belongs to, and is looked up in: by its first and by its last letters.
+
+    An edit leaves the first half or the last half of a word as it is, so two words within one edit share a route. How many
+    letters a route has grows with the word, up to three; words of neighbouring lengths share a number of letters.
+    """
+    n = len(word)
+    if n < EDIT_FROM:
+        return []
+    sizes = {max(1, min(3, (m - 1) // 2)) for m in (n - 1, n, n + 1)}
+    return sorted({r for p in sizes for r in (f"<{word[:p]}", f">{word[-p:]}")})
 
 
 def _join_tries(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
-    for slug, g in pdf.groupby("slug", sort=False):
-        top = trie(sorted(set(g.loc[g["own"], "word"])))
-        for w in sorted(set(g["word"])):
-            rows += [(slug, w, n) for n in (neighbours(top, w) if len(w) >= 4 else [w]) if len(n) >= 4 or n == w]
+    for (slug, _), g in pdf.groupby(["slug", "route"], sort=False):
+        words = sorted(set(g["word"]))
+        top = trie(words)
+        rows += [(slug, w, n) for w in words for n in neighbours(top, w) if n != w]
     return pd.DataFrame(rows, columns=["slug", "word", "near"])
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """(slug, word, near): for each word of an archive those within one edit, itself among them. words: slug, word."""
-    w = words.distinct()
-    shards = w.groupBy("slug").agg(F.ceil(F.count(F.lit(1)) / SHARD_WORDS).cast("int").alias("shards"))
-    # Each word belongs to the trie of one shard, and is looked up in those of all shards of its archive.
-    sized = w.join(shards, "slug").withColumn("home", F.pmod(F.xxhash64("word"), F.col("shards")).cast("int"))
-    placed = sized.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("own", F.col("shard") == F.col("home"))
-    # Small archives share a task; each shard of a large one has its own.
-    bundle = F.when(F.col("shards") == 1, F.pmod(F.xxhash64("slug"), F.lit(BUNDLES))).otherwise(F.xxhash64("slug", "shard"))
-    return placed.select("slug", "word", "own", bundle.alias("bundle")).groupBy("bundle").applyInPandas(_join_tries, "slug string, word string, near string").distinct()
+    """(slug, word, near): for each word of an archive those within one edit, itself among them. words: slug, word.
+
+    Each trie holds the words of an archive that share a route, and only those are looked up in it: a word has four
+    routes at most, so the rows are linear in the words. Tries share tasks of about TASK_ROWS rows.
+    """
+    w = durable(words.distinct(), "p2-words")
+    split = F.pandas_udf(lambda s: s.map(routes), T.ArrayType(T.StringType()))
+    routed = durable(w.select("slug", "word", F.explode(split("word")).alias("route")), "p2-routes")
+    tasks = routed.count() // TASK_ROWS + 1
+    bundle = F.pmod(F.xxhash64("slug", "route"), F.lit(tasks))
+    near = routed.withColumn("bundle", bundle).groupBy("bundle").applyInPandas(_join_tries, "slug string, word string, near string").distinct()
+    return w.select("slug", "word", F.col("word").alias("near")).unionByName(near)
 
 
 # -- identities --------------------------------------------------------------------------------------------------------
@@ -330,12 +351,17 @@ def _star(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(top, keys).where("a != id").select("a", F.col("id").alias("b"))
 
 
-def _only(matches: DataFrame, own: list[str], *, best: str | None = None) -> DataFrame:
-    """Edges from a short form to a name of the one identity that matches it; none where several do."""
+def _bounds(rows: DataFrame, *keys) -> DataFrame:
+    """The least and the greatest root of each key: equal where a single identity has it. One row a key, however many names it has."""
+    return rows.groupBy(*keys).agg(F.min("root").alias("low"), F.max("root").alias("high"))
+
+
+def _only(matches: DataFrame, *, best: str | None = None) -> DataFrame:
+    """Edges from a short form to a name of the one identity that matches it; none where several do. matches: id, low, high."""
     if best:
-        least = matches.groupBy(*own).agg(F.min(best).alias("least"))
-        matches = matches.join(least, own).where(F.col(best) == F.col("least"))
-    found = matches.groupBy(*own).agg(F.min("root").alias("a"), F.max("root").alias("z"))
+        least = matches.groupBy("id").agg(F.min(best).alias("least"))
+        matches = matches.join(least, "id").where(F.col(best) == F.col("least"))
+    found = matches.groupBy("id").agg(F.min("low").alias("a"), F.max("high").alias("z"))
     return found.where("a = z").select("a", F.col("id").alias("b"))
 
 
@@ -399,26 +425,26 @@ def identities(message: DataFrame, participants: DataFrame) -> DataFrame:
     lone = keyed.where("second = '' and second_initial = ''").join(complete, ["slug", "g", "k"], "left")
     joined = lone.where("one = other").select(F.col("one").alias("a"), F.col("id").alias("b"))
     among = _star(lone.where("one is null or one != other").select("id", "slug", "g", "k"), ["slug", "g", "k"])
-    marked = keyed.where("second_initial != ''").alias("s").join(keyed.where("second != '' and d = 0").alias("f"), ["slug", "g", "k"]).where("substring(f.second, 1, 1) = s.second_initial")
-    marked = _only(marked.select(F.col("s.id").alias("id"), F.col("f.root").alias("root")), ["id"])
+    seconds = _bounds(keyed.where("second != '' and d = 0"), "slug", "g", "k", F.substring("second", 1, 1).alias("second_initial"))
+    marked = _only(keyed.where("second_initial != ''").select("id", "slug", "g", "k", "second_initial").join(seconds, ["slug", "g", "k", "second_initial"]))
     # One with an initial in the second place and no full counterpart goes with the shorter form.
     half = keyed.where("second = '' and d = 0").groupBy("slug", "g", "k").agg(F.min("id").alias("a"))
     bare = keyed.where("second_initial != ''").join(complete, ["slug", "g", "k"], "left").where("one is null").join(half, ["slug", "g", "k"]).select("a", F.col("id").alias("b"))
     typed = keyed.where("second != '' and d = 1").join(half, ["slug", "g", "k"]).join(complete, ["slug", "g", "k"], "left").where("one is null or one = other").select("a", F.col("id").alias("b"))
     parts = people.where("size(tokens) >= 4").join(root, "id").select("slug", "root", F.explode(_subsets("tokens", "own")).alias("part"))
-    fewer = _only(people.withColumn("part", F.array_join("tokens", " ")).join(parts, ["slug", "part"]).select("id", "root"), ["id"])
+    fewer = _only(people.withColumn("part", F.array_join("tokens", " ")).join(_bounds(parts, "slug", "part"), ["slug", "part"]))
     more = joined.unionByName(fewer).unionByName(among).unionByName(marked).unionByName(bare).unionByName(typed)
     root = durable(linked(full.select("id"), edges.unionByName(more), "p2-names"), "p2-roots")
     # Shorter forms, each linked where a single identity matches.
     known = durable(by_first.where("d = 0").select("id", "slug", "g", "k").join(root, "id"), "p2-known")
     short = rows.where("first != '' and initial != ''").select("id", "slug", "initial", "first")
     short = short.join(near, (short["slug"] == near["slug"]) & (short["first"] == near["word"])).select("id", short["slug"], "initial", F.col("near").alias("k"), (F.col("near") != F.col("first")).cast("int").alias("d"))
-    initial = short.join(known.select("slug", "k", F.substring("g", 1, 1).alias("initial"), "root").where("root is not null").distinct(), ["slug", "k", "initial"])
+    cut = F.explode(F.sequence(F.lit(1), F.least(F.length("g"), F.lit(MOST_INITIAL))))
+    initial = short.join(_bounds(known.where("root is not null").withColumn("n", cut), "slug", "k", F.expr("substring(g, 1, n)").alias("initial")), ["slug", "k", "initial"])
     given = rows.where("first = '' and size(given) > 0").select("id", "slug", F.explode("given").alias("g"), "first_initial")
-    letters = known.select("slug", "g", F.substring("k", 1, 1).alias("first_initial"), "root").distinct()
-    lettered = given.where("first_initial != ''").join(letters, ["slug", "g", "first_initial"])
-    alone = given.where("first_initial = ''").join(known.select("slug", "g", "root").distinct(), ["slug", "g"])
-    last = _only(initial, ["id"], best="d").unionByName(_only(lettered, ["id"])).unionByName(_only(alone, ["id"]))
+    lettered = given.where("first_initial != ''").join(_bounds(known, "slug", "g", F.substring("k", 1, 1).alias("first_initial")), ["slug", "g", "first_initial"])
+    alone = given.where("first_initial = ''").join(_bounds(known, "slug", "g"), ["slug", "g"])
+    last = _only(initial, best="d").unionByName(_only(lettered)).unionByName(_only(alone))
     # Lone forms of one given name, or of one initial and surname, are the same where no full name tells them apart.
     same = _star(given.where("first_initial = ''").select("id", "slug", "g"), ["slug", "g"]).unionByName(_star(given.where("first_initial != ''").select("id", "slug", "g", "first_initial"), ["slug", "g", "first_initial"]))
     same = same.unionByName(_star(short.where("d = 0").select("id", "slug", "initial", "k"), ["slug", "initial", "k"]))

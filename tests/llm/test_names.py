@@ -26,10 +26,10 @@ def test_trie_finds_all_neighbours():
         assert all(names.near(w, x) == (distance(w, x) <= 1) for x in words)
 
 
-def test_shards_of_a_large_archive(make, monkeypatch):
-    monkeypatch.setattr(names, "SHARD_WORDS", 20)
+def test_tries_by_route(make, monkeypatch):
+    monkeypatch.setattr(names, "TASK_ROWS", 50)
     r = random.Random(2)
-    words = sorted({"".join(r.choice("abcd") for _ in range(5)) for _ in range(150)})
+    words = sorted({"".join(r.choice("abcd") for _ in range(r.randint(4, 9))) for _ in range(150)})
     got = names.near_words(make("slug string, word string", *[{"slug": "hot", "word": w} for w in words], {"slug": "x", "word": "aaaaa"}))
     assert {(x["word"], x["near"]) for x in got.where("slug = 'hot'").collect()} == {(a, b) for a in words for b in words if distance(a, b) <= 1}
 
@@ -81,3 +81,40 @@ def test_no_word_of_a_long_name_is_dropped(make):
     assert len(identities(make, "Juan Carlos Pérez López", "Juan Carlos Pérez Gómez", "Juan C. Perera Lopera", "Juan D. Perera Lopera")) == 4
     assert len(identities(make, "Juan Carlos Pérez López", "Juan Pérez López", "JUAN CARLOS PÉREZ LÓPEZ")) == 1
     assert len(identities(make, "María del Carmen Pérez", "Maria Carmen Perez", "María del Carmen Gómez")) == 2
+
+
+def test_words_within_one_edit_share_a_route():
+    r = random.Random(3)
+    for _ in range(4000):
+        w = "".join(r.choice("abc") for _ in range(r.randint(4, 11)))
+        i = r.randrange(len(w))
+        other = r.choice([w[:i] + w[i + 1 :], w[:i] + r.choice("abc") + w[i:], w[:i] + r.choice("abc") + w[i + 1 :], w[:i] + w[i : i + 2][::-1] + w[i + 2 :]])
+        assert len(names.routes(w)) <= 4
+        assert len(other) < names.EDIT_FROM or set(names.routes(w)) & set(names.routes(other)), (w, other)
+
+
+def test_particles_belong_to_no_name(make):
+    people = ["Ana de la Cruz", "Ana de la Vega", "Pedro van der Berg", "Pedro van der Meer", "Juan Carlos Pérez López", "Juan Carlos Pérez Gómez"]
+    assert len(identities(make, *people)) == 6
+    assert len(identities(make, "Ana de la Cruz", "Ana Cruz", "ANA DE LA CRUZ", "Cruz, Ana de la")) == 1
+
+
+# Given names on none of the module's lists.
+UNLISTED = ["Xiomara", "Kwame", "Yadira", "Siobhan", "Tadeusz", "Ngozi", "Anneliese", "Ignatius", "Rosalba", "Zenobia", "Aurelien", "Fidencio"]
+
+
+def test_recall_on_names_of_no_list(make):
+    r = random.Random(11)
+    true, found = set(), set()
+    people = []
+    for given in UNLISTED:
+        surname = "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3)).capitalize() + r.choice(["nez", "rra", "ldo"])
+        i = r.randrange(1, len(given) - 1)
+        typo = given[:i] + given[i + 1] + given[i] + given[i + 2 :] if given[i] != given[i + 1] else given[:i] + given[i + 1 :]
+        forms = [f"{given} {surname}", f"{surname}, {given}", f"{given} {surname}".upper(), f"{typo} {surname}", f"{given[0]}. {surname}", f"{given.lower()}_{surname.lower()}", f"Dr. {given} {surname}", f"{surname} {given}", f"{given[:4]}. {surname}", f"{given} {surname[:-1]}", given, f"{given} {surname[0]}."]
+        people.append(forms)
+        true |= {(a, b) for a in forms for b in forms if a < b}
+    assert not {names.fold(g) for g in UNLISTED} & (names._GIVEN | names._STANDS.keys())
+    for group in identities(make, *[f for forms in people for f in forms]):
+        found |= {(a, b) for a in group for b in group if a < b}
+    assert len(found & true) >= 0.9 * len(true) and len(found & true) >= 0.98 * len(found), (len(true), len(found), len(found & true))
