@@ -7,13 +7,17 @@ breaks off is judged by how its last words stand in all answers: at the end of s
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions.text import clean_role, says_something
 from strandline.llm.language import SETS, language
@@ -35,6 +39,21 @@ REFUSALS = (
     "nicht helfen", "nicht beantworten", "darf ich darauf nicht", "darauf nicht antworten", "dazu nichts sagen", "möchte ich dazu nicht", "darüber nicht sprechen", "darf ich nicht", "ich darf nicht", "nicht weiterhelfen", "bin ich nicht in der lage", "ich bin nicht in der lage", "als assistent", "meine richtlinien", "meine regeln", "nicht angemessen", "keine auskunft", "muss ich ablehnen", "lieber nicht",
 )
 
+# How one says that one cannot, may not or will not, and what one then does not do, by language; every
+# combination declines. German puts the verb last, after `nicht`.
+UNWILLING = {
+    "en": "can't,cannot,can not,couldn't,could not,am unable to,i'm unable to,not able to,won't,will not,won't be able to,will not be able to,not allowed to,not permitted to,not authorised to,not authorized to,not in a position to,not going to,not willing to,refuse to,must refuse to,decline to,prefer not to,rather not,not comfortable to",
+    "es": "no puedo,no podré,no podemos,no voy a,no debo,no quiero,no quisiera,no me corresponde,me niego a,no estoy autorizado a,no estoy autorizada a,no se me permite,no tengo permiso para,no soy capaz de,prefiero no,me es imposible",
+    "fr": "je ne peux pas,je ne peux,je ne pourrai pas,je ne veux pas,je ne dois pas,je ne vais pas,je ne saurais,je refuse de,il m'est impossible de,je n'ai pas le droit de,je ne suis pas en mesure de,je ne suis pas habilité à,on ne me permet pas de",
+    "de": "nicht",
+}
+DECLINED = {
+    "en": "help with,help you,assist,answer,respond to,reply to,provide,share,discuss,comment,advise,disclose,reveal,go into that,talk about that,engage with,get into that,speak to that,fulfil,fulfill,comply",
+    "es": "responder,contestar,ayudar,ayudarte,ayudarle,compartir,proporcionar,opinar,comentar,hablar de eso,hablar de ello,hablar sobre,atender,revelar,divulgar,entrar en ese,darte esa,dar esa,facilitar,aconsejar,responderte,contestarte",
+    "fr": "répondre,y répondre,vous répondre,te répondre,vous aider,t'aider,aider,partager,fournir,commenter,en parler,en discuter,divulguer,révéler,donner cette,vous conseiller,te conseiller,traiter cette",
+    "de": "helfen,weiterhelfen,beantworten,antworten,mitteilen,preisgeben,kommentieren,äußern,besprechen,verraten,weitergeben,eingehen,beraten,behilflich sein,darüber reden,dazu äußern",
+}
+
 # Words with which a sentence that thanks or apologises opens.
 COURTESY = frozenset("thank thanks sorry apologies apologise apologize gracias agradezco siento perdón perdona disculpa merci désolé désolée pardon danke leid entschuldigung entschuldige".split())
 
@@ -103,12 +122,15 @@ class SuffixAutomaton:
         return out
 
 
-def copied(question: list[str], answer: list[str], most_new: int = 2) -> bool:
+def copied(question: list[str], answer: list[str], most_new: int = 2, sentences: list[list[str]] | None = None) -> bool:
     """Whether the answer says nothing beyond the question.
 
     That is so where runs of the question cover all of the answer but `most_new` words (a lead such as "you asked"),
-    and make up at least six tenths of the question.
+    and make up at least six tenths of the question; or where all but those words are whole sentences of the question
+    in a row, of WHOLE words or more. Fewer or broken words of a question may well answer it.
     """
+    if sentences and _whole_sentences(sentences, answer, most_new):
+        return True
     if not question or not answer or len(answer) > 2 * len(question) + most_new:
         return False
     runs = SuffixAutomaton(question).longest(answer)
@@ -123,9 +145,32 @@ def copied(question: list[str], answer: list[str], most_new: int = 2) -> bool:
     return len(answer) - known <= most_new and known >= 0.6 * len(question) and known >= 2 * (len(answer) - known)
 
 
+#: Words that sentences of the question must have for an answer that repeats them to be a copy.
+WHOLE = 5
+
+
+def _whole_sentences(sentences: list[list[str]], answer: list[str], most_new: int) -> bool:
+    """Whether neighbouring sentences, whole, make up all of the answer but `most_new` words."""
+    first = size = 0
+    for last, words in enumerate(sentences):
+        size += len(words)
+        while size > len(answer):
+            size -= len(sentences[first])
+            first += 1
+        for a in range(first, last + 1):
+            run = [w for x in sentences[a : last + 1] for w in x]
+            if len(run) < max(WHOLE, len(answer) - most_new):
+                break
+            if any(answer[i : i + len(run)] == run for i in range(len(answer) - len(run) + 1)):
+                return True
+    return False
+
+
+@functools.lru_cache(maxsize=1)
 def _refusal_automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for phrase in REFUSALS:
+    combined = (f"{x} {y}" for lang, xs in UNWILLING.items() for x in xs.split(",") for y in DECLINED[lang].split(","))
+    for phrase in (*REFUSALS, *combined):
         a.add_word(f" {phrase}", phrase)
     a.make_automaton()
     return a
@@ -200,7 +245,8 @@ def judge(question: str | None, answer: str | None, said: bool, ends: int, n: in
     question = question or ""
     words_q = [w.lower() for w in _TOKEN.findall(unicodedata.normalize("NFKC", question))]
     words_a = bare.split(" ")
-    if copied(words_q, words_a):
+    sentences = [x for x in ([w.lower() for w in _TOKEN.findall(unicodedata.normalize("NFKC", part))] for part in _SENTENCE.split(question)) if x]
+    if copied(words_q, words_a, sentences=sentences):
         return "copy"
     if refuses(words_q, answer, automaton):
         return "refusal"
@@ -235,7 +281,8 @@ def broken_end(core: str) -> str | None:
 
 # -- Spark side ------------------------------------------------------------------------------------------------------
 
-_END = r"[.!?…]+[\"»”')\]]*(?=[\s\p{Z}]|$)|\n|$"
+_END, _INNER_DOT, _SPLIT = re.compile(r"[.!?…]+[\"'»”)\]]*(?=\s|$)|\n|$"), re.compile(r"[^\w.']+|(?<=\S)\.(?=\S)"), re.compile(r"\s+")
+_CLOSED = re.compile(r"[.!?][\s\"'»”)\]]*$")
 
 
 def pairs(conversations: DataFrame) -> DataFrame:
@@ -254,39 +301,58 @@ def pairs(conversations: DataFrame) -> DataFrame:
     return grouped.where("asked").drop("asked")
 
 
-def _marked(text: F.Column) -> F.Column:
-    """Words of the text with a `.` after each sentence or line."""
-    return F.filter(F.split(F.regexp_replace(F.regexp_replace(F.lower(text), _END, " . "), r"(?U)[^\w.']+|(?<=\S)\.(?=\S)", " "), r"\s+"), lambda w: w != "")
+def marked(text: str) -> list[str]:
+    """Words of the text, without case, with a `.` after each sentence or line."""
+    return [w for w in _SPLIT.split(_INNER_DOT.sub(" ", _END.sub(" . ", text.lower()))) if w]
+
+
+def last_words(answer: str | None) -> tuple[str, str] | None:
+    """The last two words of an answer that does not end like a sentence; '.' stands for the beginning of a sentence or line."""
+    if not answer or _CLOSED.search(answer):
+        return None
+    words = [".", *marked(answer)]
+    while words and words[-1] == ".":
+        words.pop()
+    return (words[-2] if len(words) > 1 else ".", words[-1]) if words else None
+
+
+def _count_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Word pairs of each batch of answers, pre-aggregated: (prev, last, ends, n)."""
+    for pdf in batches:
+        n, ends = Counter(), Counter()
+        for text in pdf["answer"]:
+            # The end of a text without punctuation tells nothing and is no end here.
+            cut = max(text.rfind(c) for c in ".!?…\n") + 1
+            words = [".", *marked(text[:cut])]
+            pairs_ = list(zip(words, words[1:], strict=False))
+            n.update(pairs_)
+            ends.update(p for p, after in zip(pairs_, [*words[2:], ""], strict=True) if after == ".")
+        found_ = [(p, w, ends[p, w], k) for (p, w), k in n.items() if w != "."]
+        yield pd.DataFrame(found_, columns=["prev", "last", "ends", "n"])
 
 
 def endings(answers: DataFrame) -> DataFrame:
     """(prev, last, ends, n): how often each word pair stands in all answers, and how often at the end of a sentence.
 
-    The end of a text without punctuation tells nothing and is no end here. prev is '.' for the first word of a sentence
-    or line, and '' for counts of the last word alone.
+    prev is '.' for the first word of a sentence or line, and '' for counts of the last word alone.
     """
-    body = F.regexp_replace("answer", r"(?s)[^.!?…\n]*$", "")
-    words = answers.where("answer is not null").select(F.concat(F.array(F.lit(".")), _marked(body)).alias("w"))
-    spans = words.select(F.explode(F.when(F.size("w") >= 2, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("prev"), F.get("w", i).alias("last"), F.coalesce(F.get("w", i + 1) == ".", F.lit(False)).alias("end"))))).alias("s")).select("s.*").where("last != '.' and last != ''")
-    counted = spans.groupBy("prev", "last").agg(F.sum(F.col("end").cast("long")).alias("ends"), F.count(F.lit(1)).alias("n"))
+    counted = answers.where("answer is not null").select("answer").mapInPandas(_count_ends, "prev string, last string, ends long, n long")
+    counted = durable(counted.groupBy("prev", "last").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n")), "p5-endings")
     alone = counted.groupBy("last").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n")).select(F.lit("").alias("prev"), "last", "ends", "n")
     return counted.unionByName(alone)
 
 
+@F.pandas_udf(T.StructType([T.StructField("prev", T.StringType()), T.StructField("last", T.StringType())]))
+def _last_words(answer: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([last_words(x if isinstance(x, str) else None) or (None, None) for x in answer], columns=["prev", "last"], dtype=object)
+
+
 def defects(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn_no, defect) of each pair, defect null where the pair is sound. One row per user turn."""
     rows = durable(pairs(conversations), "p5-pairs")
-    table = durable(endings(rows), "p5-endings")
-    # Only answers that do not end like a sentence need the counts; the others have a null key.
-    open_end = F.col("answer").isNotNull() & ~F.col("answer").rlike(r"(?s)[.!?][\s\"'»”)\]]*$")
-    words = F.split(F.regexp_replace(F.array_join(F.concat(F.array(F.lit(".")), _marked(F.col("answer"))), " "), r"( \.)+$", ""), " ")
-    keyed = (
-        rows.withColumn("w", F.when(open_end, words))
-        .withColumn("last", F.element_at(F.when(F.size("w") >= 1, F.col("w")), -1))
-        .withColumn("prev", F.element_at(F.when(F.size("w") >= 2, F.col("w")), -2))
-        .withColumn("id", F.struct("conv_id", "turn_no"))
-        .drop("w")
-    )
+    table = endings(rows)
+    # Only answers that do not end like a sentence need the counts; the others have null keys.
+    keyed = rows.withColumn("k", _last_words("answer")).select("conv_id", "turn_no", F.struct("conv_id", "turn_no").alias("id"), "question", "answer", "k.prev", "k.last")
     two = table.where("prev != ''").select("prev", "last", "ends", "n")
     one = table.where("prev = ''").select("last", F.col("ends").alias("last_ends"), F.col("n").alias("last_n"))
     joined = lookup_join(lookup_join(keyed, two, ["prev", "last"], "id", ["ends", "n"]), one, ["last"], "id", ["last_ends", "last_n"])

@@ -87,3 +87,30 @@ def test_refusals_are_found_at_any_place_and_passing_phrases_are_none():
     assert [pairs.refuses(question, x, automaton) for x in declines] == [True] * len(declines)
     assert [pairs.refuses(question, x, automaton) for x in tells] == [False] * len(tells)
     assert pairs.judge(" ".join(question), declines[0], True, 0, 0, 0, 0, automaton) == "refusal"
+
+
+# Written after the phrases of the module, none of which they hold whole.
+UNSEEN_REFUSALS = [
+    "Unfortunately I couldn't respond to that.", "I'm sorry, but I am unable to advise on such matters.", "That is something I won't discuss here.", "I refuse to engage with this.", "My apologies, I'm not authorized to disclose it.", "I will not comment on private people.", "Regrettably I could not help you with it.",
+    "Perdona, pero no debo opinar sobre personas reales.", "Lamentablemente no voy a responder a eso.", "No estoy autorizada a revelar esos datos.", "Me niego a contestar esa pregunta.", "Disculpa, no se me permite compartir esa información.", "No soy capaz de facilitar eso.",
+    "Désolé, je ne dois pas divulguer cela.", "Je refuse de répondre à cette question.", "Il m'est impossible de commenter ce sujet.", "Je ne suis pas habilité à vous conseiller.", "Malheureusement je ne pourrai pas y répondre.",
+    "Das werde ich leider nicht kommentieren.", "Dazu kann ich mich nicht äußern.", "Tut mir leid, das kann ich nicht verraten.", "Hierbei kann ich nicht behilflich sein.",
+]
+NO_REFUSALS = [
+    "I can't say enough about the bread there, it was the best of all.", "I couldn't help but laugh when the dog ran off.", "We won't need the umbrella, it will be dry.", "No puedo más con este calor, así que nos fuimos a la playa.", "No voy a la oficina los lunes, trabajo desde casa.", "Je ne peux pas dormir quand il fait chaud, alors je lis.", "Ich gehe nicht oft ins Kino, lieber bleibe ich zu Hause.", "Das Brot war nicht teuer und sehr gut.",
+]
+
+
+def test_refusals_in_other_words():
+    automaton = pairs._refusal_automaton()
+    assert not any(f" {x}" in f" {t.lower()}" for t in UNSEEN_REFUSALS for x in pairs.REFUSALS)
+    assert sum(pairs.refuses([], t, automaton) for t in UNSEEN_REFUSALS) >= 0.9 * len(UNSEEN_REFUSALS)
+    assert [t for t in NO_REFUSALS if pairs.refuses([], t, automaton)] == []
+
+
+def test_an_answer_that_repeats_whole_sentences_is_a_copy():
+    automaton = pairs._refusal_automaton()
+    question = "My aunt moved to the coast last year. Do you prefer tea or coffee in the morning?"
+    judge = lambda a: pairs.judge(question, a, True, 0, 0, 0, 0, automaton)
+    assert judge("My aunt moved to the coast last year.") == "copy" and judge("Well, do you prefer tea or coffee in the morning?") == "copy"
+    assert judge("Coffee in the morning.") is None and judge("I prefer tea in the morning.") is None
