@@ -54,7 +54,27 @@ def test_salted_join_and_edges(make, monkeypatch):
     d = make(DOCUMENTS, {"doc_id": 1, "text": text}, {"doc_id": 2, "text": text}, {"doc_id": 3}, {"doc_id": 4, "text": ""}, {"doc_id": 5, "text": "word " * 30_000 + text})
     i = make(ITEMS, {"item_id": 1, "text": text}, {"item_id": 2, "text": "too short"}, {"item_id": 3})
     assert {tuple(x) for x in leaks.found(d, i).collect()} == {(1, 1), (2, 1), (5, 1)}
-    monkeypatch.setattr(leaks, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(leaks, "MOST_CHARS", 0)
     assert {tuple(x) for x in leaks.found(d, i).collect()} == {(1, 1), (2, 1), (5, 1)}
     assert leaks.found(make(DOCUMENTS), make(ITEMS)).collect() == []
     assert {tuple(x) for x in leaks.leaked_items(d, i).collect()} == {(1, 3), (2, 0), (3, 0)}
+
+
+def test_edits_at_the_ends_of_an_item():
+    r = random.Random(6)
+    item, around = words(r, 16), words(r, 30, "z")
+    changed = ["other", *item[1:]]
+    assert leaks.holds(item, around + changed + around) and leaks.holds(item, around + [*item[:-1], "other"] + around)
+    assert leaks.holds(item, around + item[1:] + around) and not leaks.holds(item, around + item[:13] + around)
+    # Inside a longer item the ends of a passage stand as they are: 14 words are no passage of 16.
+    longer = words(r, 20) + item[:14] + words(r, 20)
+    assert not leaks.holds(longer, around + item[:14] + around)
+
+
+def test_many_texts_at_once_as_one_by_one():
+    r = random.Random(7)
+    texts = [words(r, r.choice([0, 1, 2, 3, 4, 5, 40])) for _ in range(200)] + [["a"] * 30, ["a", "b"] * 20]
+    of, at, g = leaks.winnow(texts, leaks.Hashes())
+    for k, ws in enumerate(texts):
+        assert leaks.fingerprints(ws) == (g[of == k].tolist(), at[of == k].tolist())
+        assert len(ws) < leaks.K or (of == k).any()
