@@ -8,6 +8,7 @@ Each source's texts are then repeated a whole number of times, and a seeded samp
 from __future__ import annotations
 
 import base64
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -37,16 +38,23 @@ def _encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+_COUNTED = "doc_id long, source string, digest binary, tokens long"
+
+
 def token_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, source, tokens) of (doc_id, source, text), by a rank file that every executor can read."""
+    """(doc_id, source, digest, tokens) of (doc_id, source, text), by a rank file that every executor can read.
+
+    The digest stands for the text from here on: texts are read once and never moved.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(tokenizer)
         for pdf in batches:
             tokens = [len(encoder.encode_ordinary(x)) for x in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": tokens})
+            digests = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).digest() for x in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "digest": digests, "tokens": tokens})
 
-    return texts.select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, tokens long")
+    return texts.select("doc_id", "source", "text").mapInPandas(run, _COUNTED)
 
 
 def water_fill(weights: dict[str, float], caps: dict[str, float], budget: float) -> dict[str, float]:
@@ -76,8 +84,9 @@ def _sized(documents: DataFrame, targets: DataFrame, tokenizer: str) -> DataFram
     Copies are found by digest, pre-aggregated, so that a text stored very often meets nowhere as a whole.
     """
     docs = documents.where("text is not null and text != '' and doc_id is not null").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
-    first = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min(F.col("doc_id").cast("long")).alias("doc_id")).select("doc_id")
-    return token_counts(docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(first, "doc_id", "left_semi"), tokenizer)
+    counted = token_counts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), tokenizer)
+    first = counted.groupBy("digest").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("f"))
+    return first.select("f.doc_id", "f.source", "f.tokens")
 
 
 def _plan(spark: SparkSession, sized: DataFrame, targets: DataFrame, budget: int | None) -> DataFrame:
