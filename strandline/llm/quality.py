@@ -3,6 +3,11 @@
 Method: huge documents are split into chunks; each chunk gives associative partial counts, with the state at its
 borders (the unfinished first and last line) kept apart; partial counts are merged in a tree; ratios and rule
 outcomes are derived from the totals. The figures do not depend on where the chunks are cut.
+
+A line may be as long as a text. It is counted in segments, whose ends depend only on the characters around them (see
+`cuts`), so an unfinished line is held as counts of its finished segments and a bounded rest at either end. What is
+counted is counted by whole arrays over many segments at once; Python looks at single words and lines only where a
+pattern needs it.
 """
 
 from __future__ import annotations
@@ -29,27 +34,27 @@ LEAST = 1024
 #: Words and lines of the windows whose mean share of different ones tells repetition, and words of a run. A window's share
 #: does not fall with the length of the text; blocks too long for a window repeat long runs, which other texts do not.
 WINDOW, WINDOW_LINES, RUN = 1000, 200, 24
-#: A run of whole chunks without a line end is closed as a line once it is this long, so that no state holds a whole text.
-LONG_LINE = 4 * CHUNK
+#: Every REACH neighbouring places of a line hold an end of a segment; whether a place is one depends on CONTEXT characters before it.
+REACH, CONTEXT = 4096, 8
 
 COMMON = frozenset().union(*SETS.values())
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _LINE_END = re.compile(r"\r\n|[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]")
-_MARK = re.compile(r"^\s*(?:[-*•‣◦▪–—☐☑☒✓✔]\s+|\[[ xX]?\]\s+|\(?\d{1,4}[.)]\s+|\(?[a-zA-Z][.)]\s+)")
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>|&#?\w{1,8};")
-_HEX = re.compile(r"\b[0-9a-fA-F]{2}\b|\b[0-9a-fA-F]{6,}\b")
+_B = r"[^\S\n]"
+_MARK = re.compile(rf"{_B}*(?:[-*•‣◦▪–—☐☑☒✓✔]{_B}+|\[[ xX]?\]{_B}+|\(?\d{{1,4}}[.)]{_B}+|\(?[a-zA-Z][.)]{_B}+)")
+_TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,300}>|&#?\w{1,8};")
+_HEX = re.compile(r"[0-9a-fA-F]{2}|[0-9a-fA-F]{6,}")
 _KEYED = re.compile(r"(?:^|[;,|&]\s*|\s{2,}|\t)\s*[\w.-]{1,30}(?:\s[\w.-]{1,20})?\s*[=:]\s?[^;=]*")
-_SPEAKER = re.compile(r"^\s*(?:\[?\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}[^A-Za-zÀ-ÿ]{0,20}(?:[ap]\.?\s?m\.?)?[\]\s–-]*)?[^\W\d_][^\W\d_' .-]{0,30}(?: [^\W\d_]{1,20}){0,2}: \S")
-_ENDED = re.compile(r"[.!?…]+[\"'»”)\]]*\s*$")
-_INNER = re.compile(r"[.!?…]+[\"'»”)\]]*\s+(?=[\"'«“¿¡(]*[^\W\d_])")
-_GARBLED = re.compile("[\ufffd\x00-\x08\x0e-\x1f\x80-\x9f]|[\u00c2\u00c3][\u0080-\u00bf]|\u00e2\u20ac")
-_DIGIT, _SPACE, _VOWEL = re.compile(r"\d"), re.compile(r"\s"), re.compile("[aeiouáéíóúàèùâêîôûäöüy]", re.I)
+_SPEAKER = re.compile(rf"{_B}*(?:\[?\d{{1,4}}[/.-]\d{{1,2}}[/.-]\d{{1,4}}[^A-Za-zÀ-ÿ\n]{{0,20}}(?:[ap]\.?\s?m\.?)?[\]\s–-]*)?[^\W\d_][^\W\d_' .-]{{0,30}}(?: [^\W\d_]{{1,20}}){{0,2}}: \S")
+_INNER = re.compile(rf"[.!?…]+[\"'»”)\]]*{_B}+(?=[\"'«“¿¡(]*[^\W\d_])")
+_GAP = re.compile(r"(?<=\S) {2,}(?=\S)")
+_VOWELS = frozenset("aeiouáéíóúàèùâêîôûäöüy")
 
-#: Additive figures of a state.
-COUNTS = [
-    "lines", "chars", "visible", "words", "letters", "digits", "symbols", "common", "wordlen", "long_words", "ended", "inner_ends", "marked", "short", "entry_words", "entries", "tags", "hexes", "keyed", "speakers",
-    "table_lines", "comma_lines", "tab_lines", "pipe_lines", "semi_lines", "gap_lines", "commas", "commas2", "tabs", "tabs2", "pipes", "pipes2", "semis", "semis2", "gaps", "gaps2", "vowels", "short_cells", "garbled",
-]
+#: What a segment adds to its line, and what a line adds to its text.
+ADDED = ["visible", "words", "wordlen", "long_words", "common", "letters", "digits", "vowels", "garbled", "inner", "tags", "hexes", "keyed", "commas", "tabs", "pipes", "semis", "gaps"]
+AT = {c: i for i, c in enumerate(ADDED)}
+DELIMITERS = ["commas", "tabs", "pipes", "semis", "gaps"]
+COUNTS = [*ADDED, "lines", "ended", "marked", "entry_words", "entries", "keyed_lines", "speakers", "short_cells", *[f"{d}_lines" for d in DELIMITERS], *[f"{d}2" for d in DELIMITERS]]
 
 
 _NONE = np.empty(0, np.uint64)
@@ -66,18 +71,18 @@ class Sequence:
     least: np.ndarray = field(default_factory=_NONE.copy)
 
 
-def sequence(items: list[str], window: int) -> Sequence:
-    digests = {x: xxhash.xxh64_intdigest(x) for x in set(items)}
-    at: dict = {}
-    gaps = 0
-    for i, x in enumerate(items):
-        gap = i - at.get(x, i - window)
-        gaps += gap if gap < window else window
-        at[x] = i
-    h = np.fromiter((digests[x] for x in items), np.uint64, len(items))
+def sequence(h: np.ndarray, window: int) -> Sequence:
+    """The sequence of items given by their hashes, in order."""
+    n = len(h)
+    if not n:
+        return Sequence()
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    gaps = np.full(n, window)
+    gaps[1:][same] = np.minimum(window, np.diff(order)[same])
     # The ends are copies, so that no state keeps or pickles more of the text.
     first = h[:window].copy()
-    return Sequence(len(items), gaps, first, first if len(items) <= window else h[-window:].copy(), _least(np.fromiter(digests.values(), np.uint64, len(digests))))
+    return Sequence(n, int(gaps.sum()), first, first if n <= window else h[-window:].copy(), _least(h))
 
 
 def follow(a: Sequence, b: Sequence, window: int) -> Sequence:
@@ -139,186 +144,443 @@ def _runs(h: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+# -- characters and words of many segments at once ---------------------------------------------------------------------
+
+_ALPHA, _DIGIT, _SPACE, _VOWEL, _ODD, _WORDY = (1 << i for i in range(6))
+
+
+def _class(code: int) -> int:
+    c = chr(code)
+    odd = code == 0xFFFD or code < 9 or 14 <= code < 32 or 128 <= code < 160
+    return _ALPHA * c.isalpha() | _DIGIT * c.isdecimal() | _SPACE * c.isspace() | _VOWEL * (c.lower() in _VOWELS) | _ODD * odd | _WORDY * c.isalnum()
+
+
+#: Classes of the characters of most scripts; rarer ones are looked up as they come.
+_CLASSES = np.array([_class(c) for c in range(0x3000)], np.uint8)
+
+
+def _classes(codes: np.ndarray) -> np.ndarray:
+    rare = codes >= len(_CLASSES)
+    out = _CLASSES[np.where(rare, 0, codes)]
+    if rare.any():
+        seen, where = np.unique(codes[rare], return_inverse=True)
+        out[rare] = np.array([_class(int(c)) for c in seen], np.uint8)[where]
+    return out
+
+
+class _Known(dict):
+    """Figures of words, each computed once: hash, whether it is a function word, length, characters of hexadecimal parts."""
+
+    def __init__(self):
+        self.rows: list[tuple[int, bool, int, int]] = []
+        self.table = np.empty((0, 4), np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        low = word.lower()
+        hexes = sum(len(x) for x in re.split("['’-]", word) if _HEX.fullmatch(x) and any(c.isdigit() for c in x)) if any(c.isdigit() for c in word) else 0
+        self.rows.append((xxhash.xxh64_intdigest(low), low in COMMON, len(word), hexes))
+        self[word] = out = len(self.rows) - 1
+        return out
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self.rows) > 200_000:
+            self.clear()
+            self.__init__()
+        index = np.fromiter((self[w] for w in words), np.int64, len(words))
+        if len(self.rows) > len(self.table):
+            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], np.uint64).reshape(-1, 4)])
+        return self.table[index]
+
+
+_KNOWN = _Known()
+
+
+@dataclass
+class Measured:
+    """Per segment: sums (a row of ADDED), whether blank, marked, a speaker's, ended, sentence ends inside the mark, and the digest;
+    per word, in order: its hash and segment."""
+
+    sums: np.ndarray
+    blank: np.ndarray
+    marked: np.ndarray
+    speaker: np.ndarray
+    ended: np.ndarray
+    mark_inner: np.ndarray
+    digest: np.ndarray
+    word: np.ndarray
+    segment: np.ndarray
+
+
+def _is_ended(text: str) -> bool:
+    return text.rstrip().rstrip("\"'»”)]").endswith((".", "!", "?", "…"))
+
+
+def measure(segments: list[str]) -> Measured:
+    """Figures of segments without line ends."""
+    n = len(segments)
+    sizes = np.fromiter(map(len, segments), np.int64, n) + 1
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    text = "\n".join(segments) + "\n"
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) if n else np.empty(0, np.uint32)
+    if not n:
+        codes, text = np.empty(0, np.uint32), ""
+    kinds = _classes(codes)
+    sums = np.zeros((n, len(ADDED)), np.int64)
+    per = lambda mask: np.add.reduceat(mask.astype(np.int32), starts) if n else np.zeros(0, np.int64)
+    at = lambda places: np.searchsorted(ends, places, side="right")
+    tally = lambda places: np.bincount(at(np.asarray(places, np.int64)), minlength=n)[:n] if len(places) else np.zeros(n, np.int64)
+    has = lambda bit: (kinds & bit) > 0
+    sums[:, AT["visible"]] = per(~has(_SPACE))
+    for name, bit in (("letters", _ALPHA), ("digits", _DIGIT), ("vowels", _VOWEL)):
+        sums[:, AT[name]] = per(has(bit))
+    for name, code in (("commas", 44), ("tabs", 9), ("pipes", 124), ("semis", 59)):
+        sums[:, AT[name]] = per(codes == code)
+    after = np.append(codes[1:], 0)
+    pair = ((codes == 0xC2) | (codes == 0xC3)) & (after >= 0x80) & (after <= 0xBF) | (codes == 0xE2) & (after == 0x20AC)
+    second = np.append(False, pair[:-1]) if n else pair
+    sums[:, AT["garbled"]] = per(has(_ODD) & ~second) + 2 * per(pair)
+    # Words start at a letter or digit that neither follows one nor is joined to one.
+    wordy = has(_WORDY)
+    before = np.append(False, wordy[:-1]) if n else wordy
+    joint = (codes == 39) | (codes == 0x2019) | (codes == 45)
+    joined = np.append(False, (joint & before)[:-1]) if n else wordy
+    first = np.flatnonzero(wordy & ~before & ~joined)
+    known = _KNOWN.of(_WORD.findall(text))
+    if len(known) != len(first):
+        first = np.fromiter((m.start() for m in _WORD.finditer(text)), np.int64)
+    segment = at(first)
+    weigh = lambda w: np.bincount(segment, weights=w, minlength=n)[:n].astype(np.int64) if len(w) else np.zeros(n, np.int64)
+    sums[:, AT["words"]] = np.bincount(segment, minlength=n)[:n] if len(first) else 0
+    sums[:, AT["wordlen"]], sums[:, AT["long_words"]] = weigh(known[:, 2]), weigh(known[:, 2] > 24)
+    sums[:, AT["common"]], sums[:, AT["hexes"]] = weigh(known[:, 1]), weigh(known[:, 3])
+    inner = np.fromiter((m.start() for m in _INNER.finditer(text)), np.int64)
+    sums[:, AT["inner"]] = tally(inner)
+    if "  " in text:
+        sums[:, AT["gaps"]] = tally([m.start() for m in _GAP.finditer(text)])
+    if "<" in text or "&" in text:
+        tags = [m.span() for m in _TAG.finditer(text)]
+        if tags:
+            sums[:, AT["tags"]] = np.bincount(at([a for a, _ in tags]), weights=[b - a for a, b in tags], minlength=n)[:n].astype(np.int64)
+    colon = codes == 58
+    for k in np.flatnonzero(per(colon | (codes == 61)) >= 2).tolist():
+        sums[k, AT["keyed"]] = len(_KEYED.findall(segments[k].strip()))
+    blank = sums[:, AT["visible"]] == 0
+    marked, speaker, ended, mark_inner = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, np.int64)
+    spoken = per(colon & (after == 32)) > 0
+    digest = np.zeros(n, np.uint64)
+    places = starts.tolist()
+    for k in np.flatnonzero(~blank).tolist():
+        line = segments[k]
+        m = _MARK.match(text, places[k])
+        if m:
+            marked[k] = True
+            mark_inner[k] = np.count_nonzero((inner >= places[k]) & (inner < m.end()))
+            ended[k] = _is_ended(line[m.end() - places[k] :])
+        else:
+            ended[k] = _is_ended(line)
+        speaker[k] = spoken[k] and _SPEAKER.match(text, places[k]) is not None
+        digest[k] = xxhash.xxh64_intdigest(line.strip())
+    return Measured(sums, blank, marked, speaker, ended, mark_inner, digest, known[:, 0], segment)
+
+
+def line_counts(sums: np.ndarray, marked: np.ndarray, speaker: np.ndarray, ended: np.ndarray, mark_inner: np.ndarray) -> np.ndarray:
+    """What whole lines that are not blank add to their texts: a row of COUNTS each."""
+    sums = sums.copy()
+    sums[:, AT["inner"]] -= mark_inner
+    c = {name: sums[:, i] for i, name in enumerate(ADDED)}
+    n, inner = c["words"], c["inner"]
+    cells = np.maximum.reduce([c["commas"], c["tabs"], c["pipes"] - 1, c["semis"], c["gaps"]]) + 1
+    entry = (marked | (~ended & (inner == 0)) | (n <= 6)) & (n <= 14) & (inner == 0) & ~speaker
+    more = [np.ones(len(sums), np.int64), ended, marked, n * entry, entry, (c["keyed"] >= 2) & (inner == 0), speaker, (cells >= 2) & (n <= 6 * cells), *[c[d] > 0 for d in DELIMITERS], *[c[d] ** 2 for d in DELIMITERS]]
+    return np.column_stack([sums, *[np.asarray(x, np.int64) for x in more]])
+
+
+# -- ends of segments --------------------------------------------------------------------------------------------------
+
+_PLACES = 21
+
+
+def cuts(text: str, known_left: bool = False, known_right: bool = False) -> list[int]:
+    """The places of a piece of a line at which a segment certainly ends.
+
+    Of every REACH neighbouring places of a line the one of least value (the last of them) is a cut, and nothing else is. The
+    value is a hash of the CONTEXT characters before a place, and a place after white space comes before any other, so words
+    are cut only where REACH characters hold no space. Every cut that is not told here, for lack of what lies beyond the piece,
+    lies before the first or after the last one told. known_left: the piece begins with CONTEXT characters before a known cut;
+    known_right: it ends at one. Those are not told again.
+    """
+    n = len(text) - CONTEXT + known_right
+    if n <= 0 or n < REACH and not (known_left or known_right):
+        return []
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(n, np.uint64)
+    for i in range(CONTEXT):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    tight = ~(_classes(codes[CONTEXT - 1 : CONTEXT - 1 + n].astype(np.uint32)) & _SPACE > 0)
+    # Value and place in one number, so that the least is the last of equal values.
+    key = ((h >> np.uint64(_PLACES + 1)) | (tight.astype(np.uint64) << np.uint64(63 - _PLACES))) << np.uint64(_PLACES)
+    key |= np.uint64(2**_PLACES - 1) - np.arange(n, dtype=np.uint64)
+    most = np.uint64(2**64 - 1)
+    pad = np.full(REACH - 1, most)
+    key = np.concatenate([*([pad] if known_left else []), key, *([pad] if known_right else [])])
+    if len(key) < REACH:
+        return []
+    windows = len(key) - REACH + 1
+    blocks = np.concatenate([key, np.full(-len(key) % REACH, most)]).reshape(-1, REACH)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.unique(np.minimum(behind[:windows], ahead[REACH - 1 : REACH - 1 + windows]))
+    places = (np.uint64(2**_PLACES - 1) - (least & np.uint64(2**_PLACES - 1))).astype(np.int64) + CONTEXT
+    ends = ({CONTEXT} if known_left else set()) | ({len(text)} if known_right else set())
+    return sorted(set(places.tolist()) - ends)
+
+
+def split(line: str) -> list[str]:
+    """The segments of a whole line."""
+    if len(line) < REACH + CONTEXT:
+        return [line]
+    at = [0, *cuts(line), len(line)]
+    return [line[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+# -- states ------------------------------------------------------------------------------------------------------------
+
+_BASE = 0xD6E8FEB86659FD93
+
+
+@dataclass
+class Part:
+    """Neighbouring finished segments of one line; none, where size is 0."""
+
+    size: int
+    sums: np.ndarray
+    marked: bool
+    speaker: bool
+    ended: bool
+    mark_inner: int
+    digest: int
+    power: int
+    words: Sequence
+    runs: np.ndarray
+
+
+def part(segments: list[str]) -> Part:
+    m = measure(segments)
+    digest, power = 0, 1
+    for d in m.digest.tolist():
+        digest, power = (digest * _BASE + d) % 2**64, power * _BASE % 2**64
+    return Part(len(segments), m.sums.sum(axis=0), bool(m.marked[0]), bool(m.speaker[0]), bool(m.ended[-1]), int(m.mark_inner[0]), digest, power, sequence(m.word, WINDOW), _least(_runs(m.word)))
+
+
+def _after(a: Part, b: Part) -> Part:
+    """The segments of a and then b; associative."""
+    if not a.size or not b.size:
+        return a if a.size else b
+    across = _runs(np.concatenate([a.words.last[-(RUN - 1) :], b.words.first[: RUN - 1]]))
+    digest = (a.digest * b.power + b.digest) % 2**64
+    return Part(a.size + b.size, a.sums + b.sums, a.marked, a.speaker, b.ended, a.mark_inner, digest, a.power * b.power % 2**64, follow(a.words, b.words, WINDOW), _least(np.concatenate([a.runs, b.runs, across])))
+
+
+_EMPTY = Part(0, np.zeros(len(ADDED), np.int64), False, False, False, 0, 0, 1, Sequence(), _NONE)
+
+
+@dataclass
+class Piece:
+    """A piece of a line: text up to its first cut (all of it, if no cut is known), the finished segments, and the text
+    after the last cut with what stands before that. Both texts are bounded by some REACH characters."""
+
+    left: str = ""
+    done: Part | None = None
+    right: str = ""
+    context: str = ""
+
+
+def piece(text: str) -> Piece:
+    at = cuts(text)
+    if not at:
+        return Piece(text)
+    done = [text[a:b] for a, b in zip(at, at[1:], strict=False)]
+    # The first cut may also be the last: then no segment is finished, but its place is known.
+    return Piece(text[: at[0]], part(done) if done else _EMPTY, text[at[-1] :], text[at[-1] - CONTEXT : at[-1]])
+
+
+def _join(a: Piece, b: Piece) -> Piece:
+    """The piece of a and then b; associative."""
+    if a.done is None and b.done is None:
+        return piece(a.left + b.left)
+    if a.done is None:
+        text = a.left + b.left
+        at = [*cuts(text, known_right=True), len(text)]
+        done = [text[x:y] for x, y in zip(at, at[1:], strict=False)]
+        return Piece(text[: at[0]], _after(part(done) if done else _EMPTY, b.done), b.right, b.context)
+    text = a.context + a.right + b.left
+    at = [CONTEXT, *cuts(text, known_left=True, known_right=b.done is not None), *([len(text)] if b.done is not None else [])]
+    done = [text[x:y] for x, y in zip(at, at[1:], strict=False)]
+    grown = _after(a.done, part(done) if done else _EMPTY)
+    if b.done is not None:
+        return Piece(a.left, _after(grown, b.done), b.right, b.context)
+    return Piece(a.left, grown, text[at[-1] :], text[at[-1] - CONTEXT : at[-1]])
+
+
+def _finish(p: Piece) -> Part:
+    """All segments of a piece that is a whole line."""
+    if p.done is None:
+        return part([p.left])
+    return _after(_after(part([p.left]), p.done), part([p.right]))
+
+
 @dataclass
 class State:
     """Counts of the finished lines, and the unfinished first and last line (the same one where no line ended)."""
 
-    counts: dict = field(default_factory=lambda: dict.fromkeys(COUNTS, 0))
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(len(COUNTS), np.int64))
     words: Sequence = field(default_factory=Sequence)
     lines: Sequence = field(default_factory=Sequence)
     runs: np.ndarray = field(default_factory=_NONE.copy)
-    head: str = ""
-    tail: str | None = None
+    head: Piece = field(default_factory=Piece)
+    tail: Piece | None = None
 
 
 def _of(lines: list[str]) -> State:
     """The state of finished lines."""
-    s = State()
-    words: list[str] = []
-    kept = []
-    for line in lines:
-        found = _count_line(s, line)
-        if found is not None:
-            kept.append(line.strip())
-            words += found
-    s.words, s.lines = sequence(words, WINDOW), sequence(kept, WINDOW_LINES)
-    if len(words) <= WINDOW:
-        s.runs = _least(_runs(s.words.first))
-    else:
-        s.runs = _least(_runs(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))))
-    return s
+    long = [i for i, x in enumerate(lines) if len(x) >= REACH + CONTEXT]
+    out, at = State(), 0
+    for i in [*long, len(lines)]:
+        if i > at:
+            m = measure(lines[at:i])
+            keep = ~m.blank
+            counts = line_counts(m.sums[keep], m.marked[keep], m.speaker[keep], m.ended[keep], m.mark_inner[keep]).sum(axis=0)
+            word = m.word[keep[m.segment]]
+            out = _add(out, State(counts, sequence(word, WINDOW), sequence(m.digest[keep], WINDOW_LINES), _least(_runs(word))))
+        if i < len(lines):
+            out = _add(out, _line(part(split(lines[i]))))
+        at = i + 1
+    return out
+
+
+def _line(p: Part) -> State:
+    """The state of one line of finished segments."""
+    if not p.sums[AT["visible"]]:
+        return State()
+    one = lambda x: np.array([x])
+    counts = line_counts(p.sums[None, :], one(p.marked), one(p.speaker), one(p.ended), one(p.mark_inner))[0]
+    return State(counts, p.words, sequence(np.array([p.digest], np.uint64), WINDOW_LINES), p.runs)
 
 
 def _add(a: State, b: State) -> State:
     """The counts of a and then b, without their borders."""
     across = _runs(np.concatenate([a.words.last[-(RUN - 1) :], b.words.first[: RUN - 1]]))
     runs = _least(np.concatenate([a.runs, b.runs, across]))
-    return State({k: a.counts[k] + b.counts[k] for k in COUNTS}, follow(a.words, b.words, WINDOW), follow(a.lines, b.lines, WINDOW_LINES), runs)
-
-
-def _count_line(s: State, line: str) -> list[str] | None:
-    """Add a line to the counts; its words, or None where it is blank."""
-    c = s.counts
-    c["chars"] += len(line) + 1
-    bare = line.strip()
-    if not bare:
-        return None
-    c["lines"] += 1
-    c["visible"] += len(bare) - bare.count(" ")
-    ws = _WORD.findall(bare)
-    low = [w.lower() for w in ws]
-    n = len(ws)
-    c["words"] += n
-    c["wordlen"] += sum(map(len, ws))
-    c["long_words"] += sum(len(w) > 24 for w in ws)
-    c["common"] += sum(w in COMMON for w in low)
-    letters = sum(map(str.isalpha, bare))
-    digits = len(_DIGIT.findall(bare))
-    c["letters"] += letters
-    c["digits"] += digits
-    c["symbols"] += len(bare) - letters - digits - len(_SPACE.findall(bare))
-    c["garbled"] += sum(map(len, _GARBLED.findall(bare)))
-    c["vowels"] += len(_VOWEL.findall(bare))
-    mark = _MARK.match(line)
-    marked = mark is not None
-    entry = line[mark.end() :].strip() if marked else bare
-    ended = bool(_ENDED.search(entry))
-    inner = len(_INNER.findall(entry))
-    c["ended"] += ended
-    c["inner_ends"] += inner
-    c["marked"] += marked
-    speaker = bool(_SPEAKER.match(line))
-    c["speakers"] += speaker
-    c["short"] += n <= 12
-    if "<" in bare or "&" in bare:
-        c["tags"] += sum(len(m) for m in _TAG.findall(bare))
-    c["hexes"] += sum(len(m) for m in _HEX.findall(bare) if any(ch.isdigit() for ch in m))
-    commas, tabs, pipes, semis = bare.count(","), bare.count("\t"), bare.count("|"), bare.count(";")
-    gaps = len(re.findall(r"\S {2,}(?=\S)", bare))
-    keyed = len(_KEYED.findall(bare)) if ("=" in bare or ":" in bare) else 0
-    c["keyed"] += keyed >= 2 and not inner
-    for name, v in (("commas", commas), ("tabs", tabs), ("pipes", pipes), ("semis", semis), ("gaps", gaps)):
-        c[name] += v
-        c[name + "2"] += v * v
-        c[name[:-1] + "_lines" if name != "commas" else "comma_lines"] += v > 0
-    cells = max(commas, tabs, pipes - 1, semis, gaps) + 1
-    c["short_cells"] += cells >= 2 and n <= 6 * cells
-    if (marked or (not ended and not inner) or n <= 6) and n <= 14 and inner == 0 and not speaker:
-        c["entries"] += 1
-        c["entry_words"] += n
-    return low
+    return State(a.counts + b.counts, follow(a.words, b.words, WINDOW), follow(a.lines, b.lines, WINDOW_LINES), runs)
 
 
 def count(text: str) -> State:
     """The state of one chunk."""
     parts = _LINE_END.split(text)
     s = _of(parts[1:-1])
-    s.head = parts[0]
+    s.head = piece(parts[0])
     if len(parts) > 1:
-        s.tail = parts[-1]
+        s.tail = piece(parts[-1])
     return s
 
 
-def whole(text: str) -> State:
-    """The closed state of a text of one chunk."""
-    return _of(_LINE_END.split(text))
-
-
 def merge(a: State, b: State) -> State:
-    """The state of two neighbouring pieces; associative."""
-    joint = (a.head if a.tail is None else a.tail) + b.head
-    if a.tail is None and b.tail is None and len(joint) > LONG_LINE:
-        out = _add(_add(a, _of([joint])), b)
-        out.tail = ""
-    elif a.tail is None or b.tail is None:
+    """The state of two neighbouring chunks; associative, and no larger than either by more than a constant."""
+    joint = _join(a.head if a.tail is None else a.tail, b.head)
+    if a.tail is None or b.tail is None:
         out = _add(a, b)
-        if a.tail is None:
-            out.head, out.tail = joint, b.tail
-        else:
-            out.head, out.tail = a.head, joint
+        out.head, out.tail = (joint, b.tail) if a.tail is None else (a.head, joint)
     else:
-        out = _add(_add(a, _of([joint])), b)
+        out = _add(_add(a, _line(_finish(joint))), b)
         out.head, out.tail = a.head, b.tail
     return out
 
 
 def close(s: State) -> State:
     """The state with its border lines counted."""
-    out = _add(_of([s.head]), s)
-    return out if s.tail is None else _add(out, _of([s.tail]))
+    out = _add(_line(_finish(s.head)), s)
+    return out if s.tail is None else _add(out, _line(_finish(s.tail)))
 
 
-def figures(s: State) -> dict:
-    """Ratios of a closed state; 0 where there is nothing to divide by."""
-    c = s.counts
+# -- figures -----------------------------------------------------------------------------------------------------------
+
+#: Shares of different words, lines and runs, overall and by window.
+SHARES = ["distinct_words", "distinct_lines", "window_words", "window_lines", "distinct_runs"]
+
+
+def shares(s: State) -> list[float]:
+    n, lines = int(s.counts[COUNTS.index("words")]), int(s.counts[COUNTS.index("lines")])
     per = lambda a, b: a / b if b else 0.0
-    lines, n = c["lines"], c["words"]
+    return [per(_distinct(s.words.least, n), n), per(_distinct(s.lines.least, lines), lines), window_share(s.words, WINDOW), window_share(s.lines, WINDOW_LINES), per(_distinct(s.runs, n), max(0, n - RUN + 1))]
+
 
-    def steady(name: str, used: str) -> float:
+def ratios(counts: np.ndarray, shares_: np.ndarray) -> pd.DataFrame:
+    """Figures of many texts: counts has a row of COUNTS each, shares_ one of SHARES; 0 where there is nothing to divide by."""
+    c = {name: counts[:, i].astype(float) for i, name in enumerate(COUNTS)}
+
+    def per(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.divide(a, b, out=np.zeros(len(a)), where=b > 0)
+
+    def steady(name: str) -> np.ndarray:
         """Share of the lines with the delimiter, where their number of delimiters hardly varies; else 0."""
-        k = c[used]
-        if k < 2:
-            return 0.0
-        mean = c[name] / k
-        var = max(0.0, c[name + "2"] / k - mean * mean)
-        return per(k, lines) if var**0.5 <= 0.35 * mean + 0.3 else 0.0
+        k = c[f"{name}_lines"]
+        mean = per(c[name], k)
+        var = np.maximum(0.0, per(c[f"{name}2"], k) - mean * mean)
+        return np.where((k >= 2) & (np.sqrt(var) <= 0.35 * mean + 0.3), per(k, c["lines"]), 0.0)
 
+    lines, n, visible = c["lines"], c["words"], c["visible"]
     out = {
-        "lines": lines,
-        "words": n,
-        "mean_word_length": per(c["wordlen"], n),
-        "symbol_ratio": per(c["symbols"], c["visible"]),
-        "digit_ratio": per(c["digits"], c["visible"]),
-        "letter_ratio": per(c["letters"], c["visible"]),
-        "ended_share": per(c["ended"], lines),
-        "common_share": per(c["common"], n),
-        "distinct_words": per(_distinct(s.words.least, n), n),
-        "distinct_lines": per(_distinct(s.lines.least, lines), lines),
-        "window_words": window_share(s.words, WINDOW),
-        "window_lines": window_share(s.lines, WINDOW_LINES),
-        "distinct_runs": per(_distinct(s.runs, n), max(0, n - RUN + 1)),
-        "words_per_line": per(n, lines),
-        "marked_share": per(c["marked"], lines),
-        "entry_share": per(c["entries"], lines),
-        "entry_word_share": per(c["entry_words"], n),
-        "sentence_rate": per(c["ended"] + c["inner_ends"], n),
-        "tag_share": per(c["tags"], c["visible"]),
-        "hex_share": per(c["hexes"], c["visible"]),
-        "keyed_share": per(c["keyed"], lines),
-        "speaker_share": per(c["speakers"], lines),
-        "long_word_share": per(c["long_words"], n),
-        "garbled_share": per(c["garbled"], c["visible"]),
-        "vowel_share": per(c["vowels"], c["letters"]),
-        "comma_steady": steady("commas", "comma_lines"),
-        "tab_steady": steady("tabs", "tab_lines"),
-        "pipe_steady": steady("pipes", "pipe_lines"),
-        "semi_steady": steady("semis", "semi_lines"),
-        "gap_steady": steady("gaps", "gap_lines"),
-        "comma_mean": per(c["commas"], c["comma_lines"]),
-        "cell_share": per(c["short_cells"], lines),
-    }
-    out["kind"] = kind(out)
-    return out
+        "lines": counts[:, COUNTS.index("lines")], "words": counts[:, COUNTS.index("words")],
+        "mean_word_length": per(c["wordlen"], n), "symbol_ratio": per(visible - c["letters"] - c["digits"], visible), "digit_ratio": per(c["digits"], visible), "letter_ratio": per(c["letters"], visible),
+        "ended_share": per(c["ended"], lines), "common_share": per(c["common"], n), **{name: shares_[:, i] for i, name in enumerate(SHARES)},
+        "words_per_line": per(n, lines), "marked_share": per(c["marked"], lines), "entry_share": per(c["entries"], lines), "entry_word_share": per(c["entry_words"], n), "sentence_rate": per(c["ended"] + c["inner"], n),
+        "tag_share": per(c["tags"], visible), "hex_share": per(c["hexes"], visible), "keyed_share": per(c["keyed_lines"], lines), "speaker_share": per(c["speakers"], lines), "long_word_share": per(c["long_words"], n),
+        "garbled_share": per(c["garbled"], visible), "vowel_share": per(c["vowels"], c["letters"]), **{f"{d[:-1]}_steady": steady(d) for d in DELIMITERS}, "comma_mean": per(c["commas"], c["commas_lines"]), "cell_share": per(c["short_cells"], lines),
+    }
+    table = pd.DataFrame(out)
+    names = list(out)
+    table["kind"] = [kind(dict(zip(names, row, strict=True))) for row in table.itertuples(index=False)]
+    return table
+
+
+def figures(s: State) -> dict:
+    """Figures and kind of a closed state."""
+    return ratios(s.counts[None, :], np.array([shares(s)])).iloc[0].to_dict()
+
+
+def _different(group: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Different values per group of 0..n-1."""
+    keys = np.unique((values * np.uint64(0x9E3779B97F4A7C15) ^ values >> np.uint64(31)) * np.uint64(2) + np.uint64(1) + group.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), return_index=True)[1]
+    return np.bincount(group[keys], minlength=n)[:n]
+
+
+def whole(texts: list[str]) -> pd.DataFrame:
+    """Figures of texts that are counted where they are read, all at once."""
+    n = len(texts)
+    lines = [_LINE_END.split(x) for x in texts]
+    plain = np.array([max(map(len, x)) < REACH + CONTEXT for x in lines], bool)
+    flat = [x for p, ls in zip(plain, lines, strict=True) if p for x in ls]
+    of = np.repeat(np.flatnonzero(plain), [len(ls) for p, ls in zip(plain, lines, strict=True) if p])
+    m = measure(flat)
+    keep = ~m.blank
+    rows = line_counts(m.sums[keep], m.marked[keep], m.speaker[keep], m.ended[keep], m.mark_inner[keep])
+    line_of, word_of = of[keep], of[m.segment] if len(m.segment) else np.empty(0, np.int64)
+    counts = np.zeros((n, len(COUNTS)), np.int64)
+    np.add.at(counts, line_of, rows)
+    words, kept = counts[:, COUNTS.index("words")], counts[:, COUNTS.index("lines")]
+    per = lambda a, b: np.divide(a, b, out=np.zeros(n), where=b > 0)
+    by_word, by_line = per(_different(word_of, m.word, n), words), per(_different(line_of, m.digest[keep], n), kept)
+    run = _runs(m.word)
+    inside = word_of[: len(run)] == word_of[RUN - 1 :] if len(run) else np.empty(0, bool)
+    by_run = per(_different(word_of[: len(run)][inside], run[inside], n), np.maximum(0, words - RUN + 1))
+    found_shares = np.column_stack([by_word, by_line, by_word, by_line, by_run])
+    # Longer texts, and those with long lines, have more than one window or need estimates.
+    for k in np.flatnonzero(~plain | (words > WINDOW) | (kept > WINDOW_LINES)).tolist():
+        s = _of(lines[k])
+        counts[k], found_shares[k] = s.counts, shares(s)
+    return ratios(counts, found_shares)
 
 
 def kind(f: dict) -> str:
@@ -349,6 +611,8 @@ def kind(f: dict) -> str:
 
 # -- Spark side ------------------------------------------------------------------------------------------------------
 
+#: Texts, of one chunk at most, that are counted at once.
+BATCH = 512
 FIGURES = [k for k in figures(State()) if k != "kind"]
 
 
@@ -365,22 +629,22 @@ def _merge_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "chunk": pdf["chunk"].iloc[:1] // FAN_IN, "state": [pickle.dumps(total)]})
 
 
-def _table(ids: pd.Series, rows: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[*FIGURES, "kind"])
-    out.insert(0, "doc_id", ids.values)
-    for c in ("lines", "words"):
-        out[c] = out[c].astype("int64")
-    return out
+def _table(ids: pd.Series, table: pd.DataFrame) -> pd.DataFrame:
+    table.insert(0, "doc_id", ids.values)
+    return table
 
 
 def _derive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield _table(pdf["doc_id"], [figures(close(pickle.loads(x))) for x in pdf["state"]])
+        states = [close(pickle.loads(x)) for x in pdf["state"]]
+        yield _table(pdf["doc_id"], ratios(np.array([s.counts for s in states]).reshape(-1, len(COUNTS)), np.array([shares(s) for s in states]).reshape(-1, len(SHARES))))
 
 
 def _derive_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield _table(pdf["doc_id"], [figures(whole(x)) for x in pdf["text"]])
+        for a in range(0, len(pdf), BATCH):
+            some = pdf.iloc[a : a + BATCH]
+            yield _table(some["doc_id"], whole(some["text"].tolist()))
 
 
 _STATES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("state", T.BinaryType())])
