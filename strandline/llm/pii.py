@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.boosting import Boosted
+from strandline.llm.language import SETS
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Labelled texts the trees are fitted and calibrated on, two thirds and one third.
-SAMPLE = 9000
+SAMPLE = 16_000
 
 _W = lambda s: frozenset(s.split())
 # Common given names of the four languages, and short forms.
@@ -41,6 +42,25 @@ NAME_LEFT = _W(
     "hola hi hello hey dear querido querida estimado estimada hallo bonjour cher chère signed firmado firma hugs abrazo besos saludos regards dile diles tell told ask asked call llama llamó para for con with to a preguntó pregunta dice dijo says said cumple birthday de of did contó saw vi visto met gracias thanks thank es soy sincerely atentamente love hablé talked spoke von mit für par avec pour viene vino llega llegó ask lunch invite"
 )
 NAME_RIGHT = _W("says said dice dijo que tell told came vino llamó called llegamos is está y and at en por lo to we no will how cómo me te wrote writes escribió asked preguntó sagt works lives will estuvo se came comes was were yo i has had wants quiere llegó might por")
+# Words with which one addresses somebody, or signs; and those that then stand for no name.
+GREET = _W("hola hi hello hey dear querido querida estimado estimada hallo bonjour liebe lieber cher chère salut oye buenas saludos regards hugs")
+VOCATIVES = _W(
+    "there all everyone everybody team folks guys friend friends sir madam mom mum mommy dad daddy love honey dear darling buddy mate kids neighbour neighbor world again you yall ladies gentlemen amigo amiga amigos amigas todos todas mundo vecino vecina vecinos mamá papá mami papi cariño amor equipo chicos chicas familia señor señora buenas otra nuevamente querido querida guapo guapa tío tía hermano hermana gente colega jefe jefa doctor doctora alle zusammen freunde leute schatz mama papa tous toutes monde ami amie mes madame monsieur chéri chérie encore from and to for a the"
+)
+# Subjects that stand without an article and are no names.
+SUBJECTS = _W(
+    "nobody somebody someone anybody anyone everyone everybody everything something nothing anything people mom mum dad mommy daddy grandma grandpa granny dinner lunch breakfast work school life time money water rain snow traffic news customers neighbours neighbors friends kids children others both many few most one two three another each either neither today tomorrow yesterday tonight monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december god christmas easter thanks mondays tuesdays wednesdays thursdays fridays saturdays sundays weekend weekends"
+    " alguien nadie todos todas todo nada algo cada uno una otro otra otros muchos pocos ambos mamá papá abuela abuelo mami papi gente trabajo tiempo dinero agua lluvia hoy ayer mañana anoche lunes martes miércoles jueves viernes sábado domingo lunes sábados domingos enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre dios navidad jamás siempre nunca quien quién cuando"
+    " jemand niemand alle jeder jede mama oma opa heute gestern morgen leute kinder arbeit zeit geld montag dienstag mittwoch donnerstag freitag samstag sonntag maman papa mamie papi personne quelqu chacun chacune tous toutes aujourd hier demain lundi mardi mercredi jeudi vendredi samedi dimanche noël"
+)
+# Verbs whose subject, where it has no article, is a person.
+PERSON_VERBS = _W(
+    "says said called calls told tells asked asks wrote writes texted replied answered thinks thought knows knew wants wanted loves loved laughed smiled agreed promised forgot invited visited phoned emailed met married bought brought llamó llama dice dijo preguntó pregunta escribió escribe contó cuenta quiere quería sabe cree piensa respondió contestó vino llegó trajo compró prometió olvidó invitó visitó rio sonrió opina sagte sagt rief ruft schrieb schreibt fragte fragt erzählte meint dit demande demanda appela appelle écrit pense veut raconta répondit"
+)
+FUNCTION = frozenset().union(*SETS.values())
+# Words after which an address stands, whatever its street is called; and what shows that a number counts something.
+LIVES = r"(?:vivo|vive|viven|vivimos|viv[ií]a|mudamos|mud[oó]|estamos|estoy|quedamos|live|lives|lived|living|moved|staying|stay|wohne|wohnt|wohnen|habite|habitons|direcci[oó]n|address|adresse|anschrift)"
+COUNTED = _W("years year months month weeks week days day hours hour minutes minute km kilometres miles metres meters people times euros dollars años año meses mes semanas semana días día horas hora minutos minuto kilómetros metros personas veces jahre jahren monate wochen tage stunden minuten ans mois semaines jours heures ago")
 ARTICLES = _W("el la los las un una unos unas the a an this that my mi tu su your our der die das le les l del al")
 FIRM = _W("ferretería librería bakery bookshop clinic clínica garage gimnasio gym academia cooperativa fundación inmobiliaria panadería taller farmacia hotel restaurante envíos ltd inc sl sa gmbh company compañía banco bank escuela school museo museum")
 PLACE = _W("puerto san santa santo puente villa monte río lago lake mount port plaza parque park barrio calle avenida pasaje rue street road")
@@ -51,6 +71,8 @@ DECOY_RIGHT = _W("pasos steps euros dollars dólares usd eur kg km minutos minut
 STREET_LEFT = _W("vivo live lives vive mudamos moved en at calle dirección address fiesta party deja leave paquete parcel por to comes pasa estamos are is casa home wohne habite")
 
 _SP = r"[\s\u200b]"
+# Blanks inside an address: it does not go on in the next line.
+_LSP = r"[^\S\n\r\u2028\u0085]"
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _NUMBER = re.compile(rf"(?<![\w@.])(?:[A-Za-z]{{1,4}}-?)?[+(]{{0,2}}\d(?:(?:{_SP}{{1,3}}|{_SP}{{0,2}}[-./()–]{{1,3}}{_SP}{{0,2}})?\d){{5,18}}(?:{_SP}?-?[A-Za-z])?(?![\w@])")
 _DOT = r"(?:\.|\s*[\[({]\s*(?:dot|punto|punkt|point)\s*[\])}]\s*|\s(?:dot|punto|punkt|point)\s)"
@@ -63,28 +85,32 @@ _EMAILS = [
 ]
 _TYPE_BEFORE = r"(?:calle|c/|av(?:da|enida)?\.?|avenue|jr\.?|jirón|pasaje|psje\.?|paseo|camino|carrera|cra\.?|plaza|ronda|rue|boulevard|bd\.?|chemin|impasse|via|travesía)"
 _TYPE_AFTER = r"(?:st(?:reet)?\.?|r(?:oa)?d\.?|lane|ln\.?|ave(?:nue)?\.?|drive|dr\.?|blvd\.?|way|court|ct\.?|terrace|close|square|crescent)"
-_UNIT = rf"(?:,?{_SP}*(?:dpto\.?|piso|apt\.?|apartment|flat|unit|suite|puerta|int\.?|of\.?|\d{{1,2}}º){_SP}*\w{{0,4}}(?:{_SP}[A-Z]\b)?)?"
+_UNIT = rf"(?:,?{_LSP}*(?:dpto\.?|piso|apt\.?|apartment|flat|unit|suite|puerta|int\.?|of\.?|\d{{1,2}}º){_LSP}*\w{{0,4}}(?:{_LSP}[A-Z]\b)?)?"
 _ADDRESS = re.compile(
     rf"(?<!\w)(?:"
-    rf"(?:{_TYPE_BEFORE}){_SP}*(?:[\w'’.-]+{_SP}+){{0,4}}?[\w'’.-]+,?{_SP}*(?:(?:nº|n°|no\.|num\.?|número|#|nr\.){_SP}*)?\d{{1,5}}\b{_UNIT}"
-    rf"|\d{{1,5}}(?:bis|ter)?,?{_SP}+(?:{_TYPE_BEFORE}){_SP}+(?:[\w'’-]+{_SP}+){{0,3}}[\w'’-]+"
-    rf"|\d{{1,5}}{_SP}+(?:[\w'’-]+{_SP}+){{1,3}}?{_TYPE_AFTER}(?!\w){_UNIT}"
-    rf"|(?:(?-i:[A-ZÀ-Þ])[\w'’-]*{_SP}+){{0,2}}[\w'’-]*(?:weg|straße|strasse|str\.|gasse|allee|platz){_SP}+\d{{1,5}}[a-z]?\b"
-    rf"|(?:{_TYPE_AFTER}){_SP}+\d{{1,5}}\b"
+    rf"(?:{_TYPE_BEFORE}){_LSP}*(?:[\w'’.-]+{_LSP}+){{0,4}}?[\w'’.-]+,?{_LSP}*(?:(?:nº|n°|no\.|num\.?|número|#|nr\.){_LSP}*)?\d{{1,5}}\b{_UNIT}"
+    rf"|\d{{1,5}}(?:bis|ter)?,?{_LSP}+(?:{_TYPE_BEFORE}){_LSP}+(?:[\w'’-]+{_LSP}+){{0,3}}[\w'’-]+"
+    rf"|\d{{1,5}}{_LSP}+(?:[\w'’-]+{_LSP}+){{1,3}}?{_TYPE_AFTER}(?!\w){_UNIT}"
+    rf"|(?:(?-i:[A-ZÀ-Þ])[\w'’-]*{_LSP}+){{0,2}}[\w'’-]*(?:weg|straße|strasse|str\.|gasse|allee|platz){_LSP}+\d{{1,5}}[a-z]?\b"
+    rf"|(?:{_TYPE_AFTER}){_LSP}+\d{{1,5}}\b"
     rf")",
     re.I,
 )
 
 
-def _case(text: str) -> int:
+MONTHS_LIKE = _W("january february march april may june july august september october november december enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre row gate room table seat fila puerta sala mesa vuelo route ruta line línea bus platform andén level nivel page página")
+_PLAIN_ADDRESS = re.compile(rf"(?<!\w)(?i:{LIVES}){_LSP}*:?{_LSP}+(?:(?i:en|a|at|to|in|au|à|im|am|the|la|el){_LSP}+)?(?P<street>[A-ZÀ-Þ][\w'’.-]*(?:{_LSP}+(?:de|del|la|las|los|el|der|den|des|du|[A-ZÀ-Þ][\w'’.-]*)){{0,4}},?{_LSP}+(?:(?:nº|n°|no\.|num\.?|número|#|nr\.){_LSP}*)?\d{{1,4}}\b)(?![.:/-]?\d)")
+
+
+def _case(text: str, words: list[str]) -> int:
     """0 mixed, 1 all lower, 2 all upper, 3 every word capitalised."""
-    letters = [c for c in text if c.isalpha()]
-    if not letters or text.islower():
+    if text.islower() or not words and not any(c.isalpha() for c in text):
         return 1
     if text.isupper():
         return 2
-    words = _WORD.findall(text)
-    return 3 if len(words) >= 4 and all(w[0].isupper() for w in words) else 0
+    # Of few words, a capitalised function word tells that the whole is set so.
+    titled = all(w[0].isupper() for w in words) and (len(words) >= 4 or len(words) > 1 and any(w.lower() in FUNCTION for w in words))
+    return 3 if titled else 0
 
 
 class Text:
@@ -92,8 +118,8 @@ class Text:
 
     def __init__(self, text: str):
         self.text = text
-        self.words = [(m.start(), m.end(), m.group(), m.group().lower()) for m in _WORD.finditer(text)]
-        self.case = _case(text)
+        self.words = [(*m.span(), w := m[0], w.lower()) for m in _WORD.finditer(text)]
+        self.case = _case(text, [x[2] for x in self.words])
 
     def around(self, start: int, end: int, reach: int = 4) -> tuple[list[str], list[str]]:
         """Up to four lower-case words before, nearest first, and after, within the clause or line as far as it goes."""
@@ -139,27 +165,32 @@ def number_candidates(t: Text) -> Iterator[tuple[int, int, list[float]]]:
             bare[3:6] == "555", len(bare) == 10 and bare[0] in "23456789" and bare[3] in "23456789", digits.startswith(("07", "447", "4407", "020", "00447", "4420")),
             bool(PHONE_LEFT & set(left[:2])), bool(PHONE_LEFT & set(left)), bool(ID_LEFT & set(left[:3])), bool(DECOY_LEFT & set(left[:2])), bool(DECOY_LEFT & set(left)), bool(DECOY_RIGHT & set(right[:2])),
             not left, bool(re.search(r"[$€£#]", near)), ":" in near, bool(re.search(r"[%€$]", after)), digits.startswith(("978", "979")), len(set(digits)) <= 3,
-            bool(re.match(r"(?:19|20)\d\d[-/.]\d", s)),
+            bool(re.match(r"(?:19|20)\d\d[-/.]\d", s)), bool(re.fullmatch(r"\d{1,2}[-/.]\d{1,2}[-/.](?:19|20)\d\d", s)),
         ]
 
 
 def address_candidates(t: Text) -> Iterator[tuple[int, int, list[float]]]:
     if not re.search(r"\d", t.text):
         return
-    for m in _ADDRESS.finditer(t.text):
-        s = m.group()
+    found = [(m.start(), m.end(), False) for m in _ADDRESS.finditer(t.text)]
+    found += [(*m.span("street"), True) for m in _PLAIN_ADDRESS.finditer(t.text) if not any(a < m.end() and b > m.start("street") for a, b, _ in found)]
+    for begin, end, untyped in found:
+        s = t.text[begin:end]
         low = s.lower()
-        left, right = t.around(m.start(), m.end())
+        left, right = t.around(begin, end)
         words = _WORD.findall(s)
         caps = sum(w[0].isupper() for w in words)
         before = bool(re.match(rf"(?:\d{{1,5}}\S*\s+)?{_TYPE_BEFORE}", low))
-        yield m.start(), m.end(), [
+        yield begin, end, [
             len(words), caps / max(1, len(words)), before, s[0].isdigit(), bool(re.search(r"\d\s*$", s)), bool(re.search(r"(?:weg|stra(?:ß|ss)e|str\.|gasse|allee|platz)\s+\d", low)), bool(re.search(r"nº|#|n°|nr\.", low)),
             bool(re.search(r"dpto|piso|apt|flat|º", low)), bool(STREET_LEFT & set(left[:2])), t.case, bool(re.match(rf"{_TYPE_AFTER}\s+\d", low)), len(re.findall(r"\d+", s)[0]), bool(set(w.lower() for w in words) & (ARTICLES - {"del", "la", "los", "las", "el", "le", "les", "l"})),
-            bool(re.match(r"calle|c/|av|jr|pasaje|rue", low)), not left, bool(DECOY_LEFT & set(left[:1])), len(right),
+            bool(re.match(r"calle|c/|av|jr|pasaje|rue", low)), not left, bool(DECOY_LEFT & set(left[:1])), len(right), untyped, bool(re.match(r"\d{1,5}\S*\s+(?:rue|boulevard|bd|chemin|impasse|avenue)\b", low)), "camino" in low, bool(re.search(r"\w{3,}\.\s", s)), bool(right) and right[0] in COUNTED, bool(words) and words[-1].lower() in MONTHS_LIKE,
         ]
 
 
+_STOPS, _OPENS, _BLANKS = re.compile(r"[.!?¿¡\n]\W*\Z"), re.compile(r"[.!?¿¡\n;:]\W*\Z"), re.compile(rf"{_SP}{{1,3}}")
+
+
 def name_candidates(t: Text) -> Iterator[tuple[int, int, list[float]]]:
     ws = t.words
     # A name inside an e-mail address is none.
@@ -167,13 +198,25 @@ def name_candidates(t: Text) -> Iterator[tuple[int, int, list[float]]]:
     i = 0
     while i < len(ws):
         start, end, w, low = ws[i]
-        if any(a <= start < b for a, b in mails):
+        cap = w[0].isupper()
+        # Whatever is proposed is capitalised, on a list, or addressed.
+        if not (cap or low in GIVEN_LIKE or low in TITLES or i and ws[i - 1][3] in GREET) or mails and any(a <= start < b for a, b in mails):
             i += 1
             continue
         title = low in TITLES and i + 1 < len(ws) and ws[i + 1][0] - end <= 2 and ws[i + 1][2] != "" and len(ws[i + 1][2]) > 2
         given = low in GIVEN_LIKE
-        inner = i > 0 and w[0].isupper() and w[1:].islower() and t.case == 0 and not re.search(r"[.!?¿¡\n]\W*$", t.text[ws[i - 1][1] : start])
-        if not (title or given or inner):
+        small = cap and t.case == 0 and w[1:].islower()
+        inner = small and i > 0 and not _STOPS.search(t.text, ws[i - 1][1], start)
+        shaped = small and len(w) >= 3
+        opens = shaped and (i == 0 or _OPENS.search(t.text, ws[i - 1][1], start) is not None)
+        plain = low in FUNCTION or low in SUBJECTS or low in FIRM
+        after_ = ws[i + 1] if opens and i + 1 < len(ws) and _BLANKS.fullmatch(t.text, end, ws[i + 1][0]) else None
+        acts = shaped and opens and not plain and after_ is not None and after_[3] in PERSON_VERBS
+        twin = shaped and opens and not plain and low not in GREET and low not in NAME_LEFT and after_ is not None and after_[2][0].isupper() and after_[2][1:].islower() and len(after_[2]) >= 3 and after_[3] not in FUNCTION and after_[3] not in SUBJECTS
+        greeted = i > 0 and len(low) >= 3 and ws[i - 1][3] in GREET and low not in FUNCTION and low not in VOCATIVES and low not in SUBJECTS and re.fullmatch(rf",?{_SP}{{1,3}}", t.text[ws[i - 1][1] : start]) is not None
+        # Addressed in a text of one case, a name ends its clause.
+        greeted = greeted and (w[0].isupper() and t.case == 0 or bool(re.match(r"\s*(?:[,.!?¡¿:;)\n]|$)", t.text[end : end + 3])))
+        if not (title or given or inner or acts or twin or greeted):
             i += 1
             continue
         # The name runs on over capitalised words, or, where case tells nothing, over rare-looking ones.
@@ -186,7 +229,7 @@ def name_candidates(t: Text) -> Iterator[tuple[int, int, list[float]]]:
             nxt = ws[j][2]
             if title and j == i + 1 or ws[j][3] in GIVEN_LIKE - AMBIGUOUS:
                 j += 1
-            elif t.case == 0 and nxt[0].isupper() and ws[j][3] not in NAME_RIGHT or (t.case != 0 or w.islower()) and len(nxt) >= 6 and ws[j][3] not in NAME_RIGHT and ws[j][3] not in _COMMON_NEXT:
+            elif t.case == 0 and nxt[0].isupper() and ws[j][3] not in NAME_RIGHT or (title or given) and (t.case != 0 or w.islower()) and len(nxt) >= 6 and ws[j][3] not in NAME_RIGHT and ws[j][3] not in _COMMON_NEXT:
                 j += 1
             else:
                 break
@@ -201,6 +244,7 @@ def name_candidates(t: Text) -> Iterator[tuple[int, int, list[float]]]:
             bool(before.strip()) and before.strip()[-1] in ":", "@" in t.text[max(0, start - 1) : ws[j - 1][1] + 1], bool(re.search(r"\d", t.text[max(0, start - 6) : start] + t.text[ws[j - 1][1] : ws[j - 1][1] + 6])),
             len(left) > 1 and left[1] in NAME_LEFT, l1 in ("un", "una", "the", "la", "el", "a", "an"), r1 in ("the", "del", "by", "de", "se", "you", "it", "him", "form", "for", "and"), l1 in ("a", "to", "con", "with", "para", "for", "de", "of"),
             len(ws) == j - i, r1 in ("y", "and") and len(right) > 1 and right[1] in ("yo", "i"), l1 == "" and r1 in NAME_RIGHT and r1 not in COMMON_RIGHT,
+            acts, twin, greeted, inner, plain, r1 in PERSON_VERBS, bool({x[3] for x in ws[i:j]} & PLACE), len(w),
         ]
         i = j if (title or given) else i + 1
 
@@ -227,6 +271,13 @@ _DECOYS = [
     "mark the date and bring a grant form", "will you hope for the best in April?", "vi un ángel de barro en Puerto Sereno", "score was {1} to {1}, what a game", "marcador {1} a {1}, qué partido", "monto: {4}", "amount: {4}", "fecha: 2019-02-0{1}", '{"date": "2021-0{1}-12", "amount": "{4}"}', "What matters to me is slow Sundays", "I met the baker in May on Sunday afternoon", "El martes pasado fue un día raro", "the street was closed for {2} days", "la calle estuvo cerrada {2} días",
     "a rose is a rose", "Rose petals fell", "Will it rain today?", "Grant forms are due", "Hope is all we need", "Rosa del jardín", "Luz y gas suben", "Mark all the boxes", "Dolores de cabeza todo el día", "Ángel de barro roto", "will you hope for the best in April?", "Will you hope for the best in April?", "The rose by the gate", "La luz se fue", "It expires in May", "En abril y mayo llueve", "she has no mercy and much grace", "the bill is {3} dollars", "mark my words", "la luz de la cocina", "los dolores de espalda siguen", "su mejor victoria", "the old bank on the corner", "I bought bread at Rosa Bakery", "la Librería Ángel abre a las 9", "Ferretería Mercedes cierra hoy", "the package from San Martín arrived", "Calle Rosario is noisy", "we walked along Santiago Street", "invoice {6}", "ref {9}", "serial {10}", "leí {0} pasos en el podómetro", "the step counter says {0}, no way", "{0} steps today", "the serial of the printer is {0}", "status: 20{2}-0{1}-1{1}; place: at home", "origen: 20{2}-1{1}-0{1}; estado: lento", "fecha: 201{1}-0{1}-2{1} | monto: {4}", "the doctor says that slow Sundays helped", "la doctora dice que el orden ayudó", "The doctor and I met in the yard", "una doctora midió el paraguas", "The aunt of the baker", "mi tía dice que sí", "total {7}", "El Taller Ricardo cierra tarde", "Clínica Rosario opens at {1}", "I think Monday is fine", "see you in Puerto Hondo", "road {1} is closed", "at the market dot com", "look at me", "meet at noon",
 ]
+# Contexts that point to a name whether or not it is on a list, and what stands in them without being one.
+_STRONG = ["{} called me yesterday", "yesterday {} called me", "hi {}, how is it going?", "hola {}, ¿cómo estás?", "{} says hello", "{} told me about the trip", "{} dijo que sí", "{} me escribió ayer", "hablé con {} anoche", "I met {} at the market", "dear {}, thanks for the bread", "hello {}!", "{} will come", "{} asked for you", "ayer {} llamó tarde", "dile a {} que venga", "I wrote to {} last week", "querida {}, te escribo pronto", "{} wants to see the house", "es el cumple de {}", "last night {} told us a story", "a letter from {} came", "we stayed with {} for a week", "hoy {} trajo flores", "fuimos con {} al lago", "invité a {} a comer", "buenas {}, paso luego", "the other day {} phoned", "I asked for {} at the desk", "le presté el libro a {} ayer", "we looked for {} everywhere"]
+_STRONG_DECOYS = ["Dinner is ready", "Patience is all we need", "Nobody called me", "Somebody told us", "Mom said no", "Mamá llamó ayer", "Everyone says hello", "hi there, how is it going?", "hola vecina, ¿cómo estás?", "hello everyone!", "dear friend, thanks for the bread", "La vecina llamó tarde", "Puerto Hondo is far away", "Villa Serena queda lejos", "Buenos días a todos", "Good Morning to all", "Happy Birthday to you", "Feliz Cumpleaños", "I met the neighbours at the market", "we wrote to Customer Service", "the train to Puerto Claro is late", "Librería {0} cierra hoy", "Ferretería {0} abre", "talked to the Bakery", "Calle {0} is noisy", "vi Monte {0} desde lejos", "Santa {0} is a village", "on Monday we call", "el Lunes llamo", "Taller {0} says closed", "Clinic {0} called", "Academia {0} abre a las 9", "Inmobiliaria {0} llamó", "in {0} it rains", "we went to {0} in summer", "en {0} llueve", "viajamos a {0} en verano", "the town of {0} is small", "Puente {0} is closed"]
+_STREETS = ["Gran Vía {1}", "Los Olivos {1}", "Paseo Alto {1}", "Kings Cross {1}", "Broadway {1}", "Hauptmarkt {1}", "Alameda Vieja {1}", "La Rambla {1}", "Altamira {1}", "Cuatro Caminos, {1}"]
+_LIVE = ["vivo en {}", "vive en {} con su tía", "I live at {}", "we moved to {}", "dirección: {}", "address: {}", "estamos en {}, ven", "ich wohne am {}", "nos mudamos a {} ayer"]
+_LIVE_DECOYS = ["we moved to Puerto Hondo {1} years ago", "vivo en Madrid {1} meses al año", "estamos en Mayo 20{2}", "we live in Denver {1} days a week", "estamos en Fila {1}", "we moved to Room {1}", "vivimos en Puerto Claro {1} años", "card {4} {4} {4} {4}", "tarjeta {4} {4} {4} {4}", "{4} {4} {4} {4}", "visa {4}-{4}-{4}-{4}"]
+_OPENERS = ["Creo que va a llover", "Espera un momento", "Leer un rato me calma", "Escríbeme pronto", "Trae pan y leche", "Pienso volver en otoño", "Mira esto", "Tengo sueño", "Dejé las llaves en la mesa", "Salimos tarde del cine", "Remember the keys", "Bring some bread", "Look at this", "Let me know", "Thinking about it again", "Reading a while calms me", "Left the keys on the table", "Sounds good to me", "Took the bus home", "Of Course", "Call You Later", "See You Soon", "Good Night", "Talk Soon", "Well Done", "Muchas Gracias", "Buenas Noches", "Hasta Luego", "Qué Bueno", "Por Supuesto", "lazy Sundays are best", "los Domingos descanso", "el perro va camino al río", "lo dejé camino al trabajo", "esperé en el camino un rato", "the keys are on the way home", "Una tarde larga y tranquila", "Casi todo salió bien", "Estuvo lloviendo sin parar", "Siempre llega tarde el tren", "Last Friday we stayed in", "Next Monday we start", "Mi prima cose y mi tío pinta", "Detrás de la casa hay un huerto", "Cerca del mercado venden flores", "Antes de cenar salimos a caminar"]
 _FILLER = ["Te cuento que mi hermana arregló el paraguas, porque nadie más quería hacerlo", "What matters to me is patience, and then we laughed for a while", "My aunt says that silence changed my life in the kitchen", "Creo que la lluvia fina es algo tranquilo, pero al final salió bien", "Just so you know, the baker lost the blue notebook", "no puedo ir el sábado", "Me gusta el pan del mercado", "we stayed at home and read"]
 _SYLLABLES = "be co da el fa ga hu la le li ma mi mo na ni ra re ri ro sa so ta te to ur va vi za".split()
 
@@ -268,33 +319,64 @@ def _entity(r: random.Random, kind: str) -> str:
     return r.choice([given, given, f"{given} {_surname(r)}", f"{given} {_surname(r)} {_surname(r)}", f"{r.choice(['Dr.', 'Dra.', 'Sra.', 'Sr.', 'Mrs.', 'Mr.', 'don', 'doña', 'Ms.'])} {_surname(r)}"])
 
 
+def _unlisted(r: random.Random) -> str:
+    """A made-up given name."""
+    while True:
+        name = ("".join(r.choice(_SYLLABLES) for _ in range(r.randint(2, 3))) + r.choice(["", "", "n", "s", "l", "k", "m"])).capitalize()
+        if len(name) >= 4 and name.lower() not in GIVEN_LIKE | FUNCTION | SUBJECTS | VOCATIVES:
+            return name
+
+
+def _strong(r: random.Random) -> tuple[str, tuple[int, int, str] | None]:
+    """A text with a name in a telling context, or an address without a street's kind, or what looks like them."""
+    fill = lambda p: re.sub(r"\{(\d+)\}", lambda m: _surname(r) if m[1] == "0" else _digits(r, int(m[1])), p)
+    x = r.random()
+    if x < 0.45:
+        name = r.choice([_unlisted(r), _unlisted(r), f"{_unlisted(r)} {_surname(r)}", r.choice(sorted(GIVEN)).title()])
+        pattern = r.choice(_STRONG)
+        i = pattern.index("{}")
+        return pattern.replace("{}", name), (i, i + len(name), "name")
+    if x < 0.6:
+        street, pattern = fill(r.choice(_STREETS)), r.choice(_LIVE)
+        i = pattern.index("{}")
+        return pattern.replace("{}", street), (i, i + len(street), "address")
+    return fill(r.choice(_STRONG_DECOYS if x < 0.9 else _LIVE_DECOYS)), None
+
+
 def labelled(n: int = SAMPLE, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Texts with the spans and kinds of what was put into them."""
     r = random.Random(seed)
     out = []
     for _ in range(n):
-        parts, spans, text = [], [], ""
+        parts, spans, text, cased = [], [], "", True
         for _ in range(r.choice([1, 1, 2, 3])):
             x = r.random()
-            if x < 0.5:
+            if len(out) % 8 >= 5 and x >= 0.3:
+                # What only its case and context tell stays in its case.
+                parts.append(_strong(r))
+                cased = False
+            elif x < 0.5:
                 kind = r.choice(KINDS)
                 pattern, entity = r.choice(_CONTEXT[kind]), _entity(r, kind)
+                if kind == "name" and not pattern.startswith("{}") and r.random() < 0.3:
+                    entity = r.choice([_unlisted(r), f"{_unlisted(r)} {_surname(r)}"])
+                    cased = False
                 i = pattern.index("{}")
                 parts.append((pattern.replace("{}", entity), (i, i + len(entity), kind)))
             elif x < 0.85:
                 parts.append((re.sub(r"\{(\d+)\}", lambda m: _digits(r, int(m[1])) if m[1] != "0" else r.choice(["415", "209", "312", "206", "503"]) + r.choice(["555", _digits(r, 3)]) + _digits(r, 4), r.choice(_DECOYS)), None))
             else:
-                parts.append((r.choice(_FILLER), None))
+                parts.append((r.choice(_FILLER if r.random() < 0.5 else _OPENERS), None))
         for p, span in parts:
             if text:
                 text += r.choice([". ", "; ", "\n", ", "])
-            if span and span[2] in ("name", "address") and r.random() < 0.12:
+            if cased and span and span[2] in ("name", "address") and r.random() < 0.12:
                 p = p[: span[0]] + (p[span[0] : span[1]].lower() if len(p.lower()) == len(p) else p[span[0] : span[1]]) + p[span[1] :]
             if span:
                 spans.append((len(text) + span[0], len(text) + span[1], span[2]))
             text += p
         text += r.choice(["", "", ".", "!"])
-        change = r.random()
+        change = r.random() if cased else 1.0
         changed = text.upper() if change < 0.06 else text.lower() if change < 0.14 else text.title() if change < 0.19 else text
         out.append((changed if len(changed) == len(text) else text, spans))
     return out
@@ -357,13 +439,22 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 _INNER_CAPITAL = re.compile(r"[^\W\d_,;:][,;:]?\s+[A-ZÀ-Þ][a-zà-ÿ]")
-_SEEDS = GIVEN_LIKE | TITLES
+_MAIL_SIGNS = re.compile(r"@|\barroba\b|\bat\b", re.I)
+_SEEDS = GIVEN_LIKE | TITLES | GREET
+
+
+_DIGIT = re.compile(r"\d")
 
 
 def _worth(text: str) -> bool:
-    """Whether any generator can propose a span: a digit, an at sign or word, a name or title, a capital inside."""
-    low = text.lower()
-    return bool("@" in low or "arroba" in low or any(c.isdigit() for c in text) or re.search(r"\bat\W.*dot", low) or not _SEEDS.isdisjoint(_WORD.findall(low)) or _INNER_CAPITAL.search(text))
+    """Whether any generator can propose a span: what each of them needs, and no more."""
+    if _DIGIT.search(text) or _MAIL_SIGNS.search(text) or _INNER_CAPITAL.search(text):
+        return True
+    words = _WORD.findall(text)
+    low = {w.lower() for w in words}
+    if not _SEEDS.isdisjoint(low):
+        return True
+    return any(w[0].isupper() for w in words[:-1]) and (not PERSON_VERBS.isdisjoint(low) or sum(w[0].isupper() for w in words) > 1)
 
 
 def redacted(rows: DataFrame, row_id: str) -> DataFrame:
