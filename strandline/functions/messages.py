@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,8 +99,30 @@ def terms(text: Column) -> Column:
     return F.array_distinct(kept)
 
 
+def question_terms(question: str, without: list[str] | None = None) -> list[str]:
+    """`terms` of a literal question, in Python, without those of other texts."""
+    words = re.findall("[a-záéíóúüñ]+", question.lower())
+    return list(dict.fromkeys(w for w in words if len(w) > 2 and w not in STOP_WORDS and w not in set(without or ())))
+
+
+def term_overlap(question: list[str], text: Column) -> Column:
+    """How many question terms stand in the text, as they are or by their first five letters (of five or more): one pattern a
+    term, over the text in lower case; nothing is split."""
+    low, edge = F.lower(text), "a-záéíóúüñ"
+    out = F.lit(0)
+    for t in question:
+        if len(t) >= 5:
+            # A stop word is no term of the text, though it may begin as one.
+            stops = "|".join(w[5:] for w in STOP_WORDS if len(w) >= 5 and w.startswith(t[:5]))
+            word = re.escape(t[:5]) + (rf"(?!(?:{stops})(?![{edge}]))" if any(w.startswith(t[:5]) for w in STOP_WORDS if len(w) >= 5) else "")
+        else:
+            word = rf"{re.escape(t)}(?![{edge}])"
+        out = out + low.rlike(rf"(?<![{edge}]){word}").cast("int")
+    return out
+
+
 def lexical_overlap(question: Column, content: Column) -> Column:
-    """How many question terms stand in the content, as they are or by their first five letters (of five or more)."""
+    """The same for arrays of terms."""
     hit = lambda t: F.array_contains(content, t) | ((F.length(t) >= 5) & F.exists(content, lambda w: (F.length(w) >= 5) & w.startswith(F.substring(t, 1, 5))))
     return F.size(F.filter(question, hit))
 

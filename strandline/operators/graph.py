@@ -63,29 +63,34 @@ def neighbourhood(edges: DataFrame, entity: str) -> DataFrame:
     return edges.where((F.col("subject") == entity) | (F.col("object") == entity))
 
 
-def shortest_paths(edges: DataFrame, start: str, most_hops: int = 16) -> DataFrame:
+def shortest_paths(edges: DataFrame, start: str, end: str | None = None) -> DataFrame:
     """KG-17, KG-16: (node, hops, parent): nodes that the undirected graph reaches from `start`, in fewest hops; of equal parents the smallest.
 
-    The frontier of each hop is joined to the edges and kept out of what was reached before; only whether it is empty
-    comes to the driver.
+    The frontier of each hop is joined to the edges and kept out of what was reached before, until it is empty, however
+    many hops that takes, or holds `end`. What was reached is written anew every few hops, so no plan grows with their
+    number; only whether the frontier is empty, or holds the end, comes to the driver.
     """
     both = edges.select(F.col("subject").alias("a"), F.col("object").alias("b")).unionByName(edges.select(F.col("object").alias("a"), F.col("subject").alias("b"))).where("a != b").distinct()
     both = durable(both, "adjacency")
-    frontier = edges.sparkSession.createDataFrame([(start, 0, None)], "node string, hops int, parent string").join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
-    reached = durable(frontier, "reached")
-    frontier = reached
-    for hop in range(1, most_hops + 1):
+    first = edges.sparkSession.createDataFrame([(start, 0, None)], "node string, hops int, parent string").join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    reached = frontier = durable(first, "reached")
+    hop = 0
+    while True:
+        hop += 1
         step = frontier.join(both, frontier["node"] == both["a"]).groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
         frontier = durable(step.join(reached.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hops"), "parent"), "frontier")
         if frontier.isEmpty():
-            break
+            return reached
         reached = reached.unionByName(frontier)
-    return reached
+        if end is not None and not frontier.where(F.col("node") == end).isEmpty():
+            return reached
+        if hop % 8 == 0:
+            reached = durable(reached, "reached")
 
 
-def path(edges: DataFrame, start: str, end: str, most_hops: int = 16) -> list[str] | None:
-    """KG-19: the nodes from start to end, or None. At most most_hops + 1 rows come to the driver."""
-    reached = durable(shortest_paths(edges, start, most_hops), "paths")
+def path(edges: DataFrame, start: str, end: str) -> list[str] | None:
+    """KG-19: the nodes from start to end, or None. As many rows come to the driver as the path has nodes."""
+    reached = durable(shortest_paths(edges, start, end), "paths")
     node, out = end, []
     while node is not None:
         row = reached.where(F.col("node") == node).first()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.messages import NEGATIVE_PREFERENCE, PREFERENCE, PREFERENCE_WORDS, SPANISH_MARKERS, collapse, lexical_overlap, terms
+from strandline.functions.messages import NEGATIVE_PREFERENCE, PREFERENCE, PREFERENCE_WORDS, SPANISH_MARKERS, collapse, question_terms, term_overlap
 
 # Weights, the least score that supports an answer, and sizes.
 SEMANTIC, LEXICAL, SUPPORT, EXCERPT, BUDGET, LIMIT = 0.8, 0.2, 0.42, 500, 2500, 5
@@ -41,16 +43,20 @@ def semantic(distance: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance)), F.lit(0.0))
 
 
-def topic_terms(question: str, participant: str) -> Column:
+def topic_terms(question: str, participant: str) -> list[str]:
     """RET-04: terms of the question without the participant's name and words that ask for preferences."""
-    return F.array_except(F.array_except(terms(F.lit(question)), terms(F.lit(participant))), F.array(*map(F.lit, PREFERENCE_WORDS)))
+    return question_terms(question, [*question_terms(participant), *PREFERENCE_WORDS])
+
+
+def asks_preference(question: str) -> bool:
+    return bool(set(re.findall(r"\w+", question.lower())) & set(PREFERENCE_WORDS))
 
 
 def score(hits: DataFrame, question: str, participant: str, budget: int = BUDGET) -> DataFrame:
     """RET-07: hits (content, distance, ...) with overlap, prefers, score and excerpt; hits without text are dropped."""
     q = topic_terms(question, participant)
-    over = lexical_overlap(q, terms(F.col("content")))
-    s = hits.withColumns({"overlap": over, "asked": F.size(q), "prefers": F.col("content").rlike(PREFERENCE), "excerpt": F.rtrim(F.substring(collapse(F.col("content")), 1, min(EXCERPT, budget)))})
+    over = term_overlap(q, F.col("content"))
+    s = hits.withColumns({"overlap": over, "asked": F.lit(len(q)), "prefers": F.col("content").rlike(PREFERENCE), "excerpt": F.rtrim(F.substring(collapse(F.col("content")), 1, min(EXCERPT, budget)))})
     return s.where("excerpt != ''").withColumn("score", SEMANTIC * semantic(F.col("distance")) + LEXICAL * F.when(F.col("asked") > 0, F.col("overlap") / F.col("asked")).otherwise(0.0))
 
 
@@ -92,7 +98,7 @@ def evidence(hits: DataFrame, persisted: DataFrame, question: str, participant:
     placed = own.join(by_id, "id", "left").join(t, own["content"].eqNullSafe(t["c2"]) & (own["ks"] == t["k2"]) & own["timestamp"].eqNullSafe(t["t2"]), "left")
     verified = placed.withColumn("message_id", F.coalesce("by_id", "by_text")).where("message_id is not null")
     scored = score(verified, question, participant, budget)
-    prefers = bool({w.lower() for w in question.replace("?", " ").replace("¿", " ").split()} & set(PREFERENCE_WORDS))
+    prefers = asks_preference(question)
     eligible = scored.where((F.col("asked") == 0) | (F.col("overlap") > 0))
     if prefers:
         eligible = eligible.where("prefers")
@@ -104,10 +110,10 @@ def evidence(hits: DataFrame, persisted: DataFrame, question: str, participant:
 def gates(evidence_: DataFrame, question: str, participant: str) -> DataFrame:
     """RET-10, RET-11: one row: supported, contradictory, for the evidence of a question."""
     q = topic_terms(question, participant)
-    asks = bool({w.lower().strip("¿?.,") for w in question.split()} & set(PREFERENCE_WORDS))
-    over = lexical_overlap(q, terms(F.col("excerpt")))
+    asks = asks_preference(question)
+    over = term_overlap(q, F.col("excerpt"))
     any_ = lambda c: F.coalesce(F.max(c), F.lit(False))
-    g = evidence_.withColumns({"n": F.size(q), "o": over}).agg(
+    g = evidence_.withColumns({"n": F.lit(len(q)), "o": over}).agg(
         F.coalesce(F.max("score"), F.lit(0.0)).alias("best"), any_((F.col("n") == 0) | (F.col("o") > 0)).alias("on_topic"), any_(F.col("excerpt").rlike(PREFERENCE)).alias("prefers"),
         any_((F.col("n") > 0) & (F.col("o") > 0) & F.col("excerpt").rlike(NEGATIVE_PREFERENCE)).alias("against"), any_((F.col("n") > 0) & (F.col("o") > 0) & F.col("excerpt").rlike(PREFERENCE) & ~F.col("excerpt").rlike(NEGATIVE_PREFERENCE)).alias("for"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.functions.messages import NEGATIVE_PREFERENCE, PII, PREFERENCE, STOP_WORDS, claim_id, collapse, lexical_overlap, pii_redact, terms
+from strandline.functions.messages import NEGATIVE_PREFERENCE, PII, PREFERENCE, STOP_WORDS, claim_id, collapse, pii_redact, term_overlap
 from strandline.operators import context, corrections, dialogue, extract, governance, graph, instants, messages, privacy, profiles, resolve, retrieval, wiki
 from strandline.session import table
 from strandline.sources import readers
@@ -319,7 +319,7 @@ _overlap = lambda c: f"len(list_filter({_QTERMS}, lambda t: list_contains({c}, t
 
 @query(f"SELECT doc_id, CAST({_overlap(_terms('text'))} AS INTEGER) AS overlap FROM documents")
 def q_lexical_overlap(spark, d):
-    return table(spark, d, "documents").select("doc_id", lexical_overlap(retrieval.topic_terms(_QUESTION, _WHO), terms(F.col("text"))).alias("overlap"))
+    return table(spark, d, "documents").select("doc_id", term_overlap(retrieval.topic_terms(_QUESTION, _WHO), F.col("text")).alias("overlap"))
 
 
 @query(f"""WITH {_QV}, h AS (SELECT vec_id, 1 - {_COS} AS distance, text FROM embeddings e JOIN documents ON doc_id = vec_id, q)

@@ -43,7 +43,7 @@ def test_dialogue(make):
 
 
 def test_facts():
-    f = lambda text, known=(), recent=None: extract.facts(text, "Ana", set(known), recent)
+    f = lambda text, known=(), recent=None: extract.facts(text, extract.Known(known), recent)
     assert [m[:2] for m in f("Ayer hablé con Carla")[0]] == [("Carla", 0.90)]
     assert f("mi amiga Carla vino")[1] == [("Carla", "friend_of", 0.96)]
     assert f("el Lunes y Domingo")[0] == []
@@ -60,6 +60,26 @@ def test_coreference_reaches_two_messages(make):
     assert relations(said("hablé con Carla", "bien", "ya", "va", "ella es mi amiga")) == []
 
 
+def test_coreference_over_blocks_as_in_one_go(make, spark):
+    r = random.Random(8)
+    texts = ["hablé con Carla", "ella es mi amiga", "bien", "vi a Juan Paz ayer y ella es mi jefa", "ya", "told Boris about it"]
+    data = [{"slug": "s", "seq": i, "role": "assistant", "sender": "Ana" if i % 7 else "Bo", "content": r.choice(texts)} for i in range(300)]
+    want, state = set(), {}
+    for x in data:
+        at = state.get(x["sender"], (None, extract.REACH + 1))
+        state[x["sender"]], (found, relations) = extract._step(at, x["content"], extract.Known(()))
+        want |= {(x["seq"], "mention", n, None) for n, *_ in found} | {(x["seq"], "relation", n, rel) for n, rel, _ in relations}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        m = make("slug string, seq long, role string, sender string, content string", *data)
+        got = {(x["seq"], x["kind"], x["name"], x["relation"]) for x in extract.extract(m, make("slug string, name string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == want and any(k == "relation" for _, k, *_ in got)
+
+
 def test_evaluation(make):
     c = make("expected array<string>, actual array<string>", {"expected": ["A", "b"], "actual": ["a"]}, {"expected": None, "actual": ["x"]})
     r = extract.evaluate(c).first()
@@ -88,6 +108,8 @@ def test_effective_graph_as_a_loop(make):
 
 def test_paths(make):
     e = make("subject string, object string", *[{"subject": a, "object": b} for a, b in ("ab", "bc", "cd", "ae", "ed", "xy", "aa")])
+    chain = make("subject string, object string", *[{"subject": f"n{i:02d}", "object": f"n{i + 1:02d}"} for i in range(20)])
+    assert graph.path(chain, "n00", "n20") == [f"n{i:02d}" for i in range(21)]
     assert graph.path(e, "a", "d") == ["a", "e", "d"] and graph.path(e, "a", "x") is None and graph.path(e, "q", "a") is None
 
 
