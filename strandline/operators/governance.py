@@ -1,10 +1,12 @@
-"""Layers that must agree, and what is kept apart (GV-10..12, GV-14, GV-17, SNK-04, SNK-05, JN-10, JN-15, ST-01..04, AG-15, AG-19, TK-05)."""
+"""Layers that must agree, and what is kept apart (GV-03, GV-04, GV-11, GV-12, GV-14, GV-17, SNK-02, SNK-04, SNK-05, SNK-10, JN-10, JN-15, ST-01..04, AG-15, AG-19, TK-05)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.ordered import first_rows
+
 
 def vector_difference(expected: DataFrame, stored: DataFrame, metadata: list[str]) -> DataFrame:
     """SNK-04, JN-10: (id, state): missing, stale, changed or same, for the ids of either table."""
@@ -67,3 +69,29 @@ def latest_export(exports: DataFrame, version: str | None = None, digest: str |
     """TK-05: the export of that version and digest if there is one, else the newest. exports: version, digest, modified."""
     match = F.coalesce((F.col("version") == version) & (F.col("digest") == digest), F.lit(False)) if version and digest else F.lit(False)
     return exports.orderBy(F.desc(match), F.desc("modified"), F.desc("version")).limit(1)
+
+
+def statistics(messages: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """SNK-10: per group sources, total_messages, assistant_turns, kg_entities, kg_relationships, counted anew."""
+    m = messages.groupBy(*by).agg(F.count_distinct("source_file").alias("sources"), F.count(F.lit(1)).alias("total_messages"), F.sum((F.col("role") == "assistant").cast("long")).alias("assistant_turns"))
+    ends = edges.select(*by, F.lower("subject").alias("e")).unionByName(edges.select(*by, F.lower("object").alias("e"))).groupBy(*by).agg(F.count_distinct("e").alias("kg_entities"))
+    n = edges.groupBy(*by).agg(F.count(F.lit(1)).alias("kg_relationships"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return m.join(ends, by, "left").join(n, by, "left").select(*by, "sources", "total_messages", zero("assistant_turns"), zero("kg_entities"), zero("kg_relationships"))
+
+
+def replaced(messages: DataFrame, new: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """GV-03: (kept, brought): stored messages without those of the equivalent `sources` (source_file), and the new ones that the
+    kept ones lack, first occurrences. Both sides carry `hash`."""
+    kept = messages.join(sources.select("source_file").distinct(), "source_file", "left_anti")
+    return kept, first_rows(new.join(kept.select("hash").distinct(), "hash", "left_anti"), ["hash"], ["source_file", "line_no"])
+
+
+def keep_one(messages: DataFrame, by: list[str], keep: DataFrame) -> DataFrame:
+    """GV-04: per group the source that stays, how many sources are set aside, and how many different messages are left.
+
+    messages: by, source_file, hash; keep: by, kept.
+    """
+    m = messages.join(keep, by)
+    own = F.col("source_file") == F.col("kept")
+    return m.groupBy(*by, "kept").agg(F.count_distinct(F.when(~own, F.col("source_file"))).alias("set_aside"), F.count_distinct(F.when(own, F.col("hash"))).alias("messages"))

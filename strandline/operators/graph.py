@@ -1,4 +1,4 @@
-"""The knowledge graph: edges, statistics, neighbourhood, paths, and the effective graph under corrections (KG-01..03, KG-08, KG-14..20, AG-06, AG-07, JN-05, JN-07, JN-08, JN-11, SNK-07, SNK-08)."""
+"""The knowledge graph: edges, statistics, neighbourhood, paths, and the effective graph under corrections (KG-01..03, KG-08, KG-14..20, AG-06, AG-07, JN-05..08, JN-11, SRC-27, SRC-28, SNK-06..08)."""
 
 from __future__ import annotations
 
@@ -153,3 +153,30 @@ def ledger_status(corrections: DataFrame, undos: DataFrame) -> DataFrame:
 
 def unknown_undos(corrections: DataFrame, undos: DataFrame) -> DataFrame:
     return undos.join(corrections.select(F.col("claim_id").alias("target_claim_id")).distinct(), "target_claim_id", "left_anti")
+
+
+def fallback(edges: DataFrame, by: list[str]) -> DataFrame:
+    """SRC-28: edges gathered once for each end or from a pending file: one per ends, type and time, the first `ord`, null times alike."""
+    return edges.groupBy(*by, "subject", "object", "type", "timestamp").agg(F.min_by(F.struct("confidence", "source"), "ord").alias("r")).select(*by, "subject", "object", "type", "timestamp", "r.*")
+
+
+def owned(edges: DataFrame, owner: str) -> DataFrame:
+    """SNK-06: edges tagged with who wrote them."""
+    return edges.withColumn("owner", F.lit(owner))
+
+
+def profile_entities(profiles: DataFrame, entities: DataFrame, by: list[str]) -> DataFrame:
+    """JN-06: profiles with the entity of the same name, case aside, null where the graph has none; of several the smallest."""
+    e = entities.withColumn("key", F.lower(strip(F.col("name")))).groupBy(*by, "key").agg(F.min("name").alias("entity"))
+    return profiles.join(e, [*by, "key"], "left")
+
+
+def invalid_entities(entities: DataFrame, triples: DataFrame, profiles: DataFrame, by: list[str]) -> DataFrame:
+    """SNK-08: (by, id, name, reason): entities that no triple names and that are `malformed` (blank, of several lines, over 100
+    characters) or a `shadow`: an alias of a participant, under whose own name it should stand. profiles: by, name, aliases."""
+    lone = orphans(entities, triples)
+    name = strip(F.coalesce("name", F.lit("")))
+    bad = (name == "") | F.col("name").rlike(r"[\r\n]") | (F.length("name") > 100)
+    alias = profiles.select(*by, "name", F.explode("aliases").alias("alias")).where(F.lower("alias") != F.lower("name")).select(*by, F.lower(strip(F.col("alias"))).alias("low")).distinct().withColumn("shadow", F.lit(True))
+    j = lone.withColumn("low", F.lower(name)).join(alias, [*by, "low"], "left")
+    return j.select(*by, "id", "name", F.when(bad, "malformed").when(F.col("shadow"), "shadow").alias("reason")).where("reason is not null")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,6 +109,74 @@ def evidence(hits: DataFrame, persisted: DataFrame, question: str, participant:
     return chosen.select("message_id", "sender", "timestamp", "excerpt", F.round("score", 4).alias("score"), "overlap")
 
 
+def merged(corrections: DataFrame, evidence_: DataFrame, limit: int = LIMIT, budget: int = BUDGET) -> DataFrame:
+    """RET-13: corrections before other evidence, each message_id once, under one budget and limit.
+
+    corrections: message_id, excerpt, score in order of their column `place`; evidence_: message_id, excerpt, score, overlap.
+    Columns: message_id, excerpt, score, overlap, place (0 from the front).
+    """
+    first = corrections.select("message_id", "excerpt", "score", F.lit(0).cast("int").alias("overlap"), F.struct(F.lit(0).alias("part"), (-F.col("place").cast("double")).alias("score"), F.lit(0).alias("overlap"), F.lit("").alias("id")).alias("at"))
+    rest = evidence_.select("message_id", "excerpt", "score", F.col("overlap").cast("int").alias("overlap"), F.struct(F.lit(1).alias("part"), F.col("score"), F.col("overlap").cast("int").alias("overlap"), F.col("message_id").alias("id")).alias("at"))
+    both = first.unionByName(rest)
+    order = [F.asc("at.part"), F.desc("at.score"), F.desc("at.overlap"), F.asc("at.id")]
+    once = both.groupBy("message_id").agg(F.min_by(F.struct("excerpt", "score", "overlap", "at"), F.struct("at.part", -F.col("at.score"))).alias("r")).select("message_id", "r.*").withColumns({"__q": F.lit(1), "cost": F.length("excerpt")})
+    chosen = select_within(once, ["__q"], order, "cost", budget, limit)
+    from pyspark.sql import Window
+
+    return chosen.select("message_id", "excerpt", "score", "overlap", (F.row_number().over(Window.orderBy(*order)) - 1).alias("place"))
+
+
+def enrichment(profile: DataFrame, edges: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """RET-14: (slug, name, identity_type, message_count, first_seen, last_seen, relationship_types, wiki_pages) of each profile.
+
+    profile: as `profiles.profiles` gives, with slug; edges: slug, subject, object, type; pages: slug, page. Pages belong to personas;
+    those whose name begins with an underscore are no content.
+    """
+    ends = edges.select("slug", F.col("subject").alias("name"), "type").unionByName(edges.select("slug", F.col("object").alias("name"), "type")).where("type != ''")
+    types = ends.groupBy("slug", "name").agg(F.array_sort(F.collect_set("type")).alias("relationship_types"))
+    none = F.array().cast("array<string>")
+    out = profile.join(types, ["slug", "name"], "left")
+    if pages is not None:
+        out = out.join(pages.where(~F.col("page").startswith("_")).groupBy("slug").agg(F.array_sort(F.collect_set("page")).alias("all_pages")), "slug", "left")
+    shown = F.when(F.col("identity_type") == "persona", F.coalesce("all_pages", none)).otherwise(none) if pages is not None else none
+    return out.select("slug", "name", *SAFE[:4], F.coalesce("relationship_types", none).alias("relationship_types"), shown.alias("wiki_pages"))
+
+
+# What of an archive, besides evidence, may reach whoever words the answer.
+SAFE = ("identity_type", "message_count", "first_seen", "last_seen", "relationship_types", "wiki_pages")
+
+
+def safe_context(context: dict) -> dict:
+    """PRJ-07: the part of a context that may be passed on."""
+    return {k: context[k] for k in SAFE if k in context}
+
+
+@dataclass(frozen=True)
+class Worded:
+    """RET-16: what a provider gives back: a text with `[message_id]` markers, what it cites, how sure it is, or that it abstains."""
+
+    text: str
+    citations: list[str]
+    confidence: float = 0.0
+    abstained: bool = False
+
+
+#: RET-16: called with question, participant, evidence (rows as dicts, in order), the safe context and the language.
+Provider = Callable[[str, str, list[dict], dict, str], Worded]
+
+
+class GroundingError(ValueError):
+    """An answer that cites nothing, or what is no evidence, or does not mark what it cites."""
+
+
+def quote(question: str, participant: str, evidence_: list[dict], context: dict, language_: str) -> Worded:
+    """RET-15: the provider used where none is given: a lead and at most three quotes."""
+    rows = evidence_[:3]
+    lead = f"Lo que consta de {participant}:" if language_ == "es" else f"What {participant} said:"
+    text = "\n".join([lead, *[f"- {r['excerpt']} [{r['message_id']}]" for r in rows]])
+    return Worded(text, [r["message_id"] for r in rows], sum(r["score"] for r in rows) / len(rows))
+
+
 def gates(evidence_: DataFrame, question: str, participant: str) -> DataFrame:
     """RET-10, RET-11: one row: supported, contradictory, for the evidence of a question."""
     q = topic_terms(question, participant)
@@ -121,18 +191,30 @@ def gates(evidence_: DataFrame, question: str, participant: str) -> DataFrame:
     return g.select(supported.alias("supported"), (F.col("against") & F.col("for") & F.lit(asks)).alias("contradictory"))
 
 
-def answer(evidence_: DataFrame, question: str, participant: str) -> dict:
-    """RET-15, RET-17..19: a grounded answer of at most three quotes, or an abstention with its reason. At most `limit` rows come to the driver."""
+def answer(evidence_: DataFrame, question: str, participant: str, provider: Provider = quote, context: dict | None = None) -> dict:
+    """RET-15..19: a grounded answer, or an abstention with its reason. At most `limit` rows come to the driver.
+
+    evidence_: message_id, excerpt, score, overlap, and place, if an order is given; else by score, overlap and message_id.
+    """
     gate = gates(evidence_, question, participant).first()
-    spanish = "¿" in question or bool({w.strip("¿?.,").lower() for w in question.split()} & set(SPANISH_MARKERS))
-    reason = "contradictory_evidence" if gate["contradictory"] else None if gate["supported"] else "insufficient_relevant_evidence"
-    if reason:
-        text = "No hay pruebas suficientes para responder." if spanish else "There is not enough evidence to answer."
+    spoken = "es" if "¿" in question or set(re.findall(r"\w+", question.lower())) & set(SPANISH_MARKERS) else "en"
+
+    def abstain(reason: str) -> dict:
+        text = f"No hay pruebas suficientes para responder sobre {participant}." if spoken == "es" else f"There is not enough evidence to answer about {participant}."
         return {"text": text, "citations": [], "confidence": 0.0, "abstained": True, "reason": reason}
-    rows = evidence_.orderBy(F.desc("score"), F.desc("overlap"), F.asc("message_id")).limit(3).collect()
-    lead = f"Lo que consta de {participant}:" if spanish else f"What {participant} said:"
-    confidence = sum(r["score"] for r in rows) / len(rows)
-    return {"text": "\n".join([lead, *[f"- {r['excerpt']} [{r['message_id']}]" for r in rows]]), "citations": list(dict.fromkeys(r["message_id"] for r in rows)), "confidence": round(min(max(confidence, 0.0), 1.0), 4), "abstained": False, "reason": None}
+
+    if gate["contradictory"]:
+        return abstain("contradictory_evidence")
+    if not gate["supported"]:
+        return abstain("insufficient_relevant_evidence")
+    order = [F.asc("place")] if "place" in evidence_.columns else [F.desc("score"), F.desc("overlap"), F.asc("message_id")]
+    rows = [r.asDict() for r in evidence_.orderBy(*order).collect()]
+    said = provider(question, participant, rows, safe_context(context or {}), spoken)
+    if said.abstained:
+        return abstain("provider_abstained")
+    if not valid_citations(said.text, said.citations, {r["message_id"] for r in rows}):
+        raise GroundingError(f"cited {said.citations or 'nothing'}, of {[r['message_id'] for r in rows]}")
+    return {"text": said.text, "citations": list(dict.fromkeys(said.citations)), "confidence": round(min(max(said.confidence, 0.0), 1.0), 4), "abstained": False, "reason": None}
 
 
 def valid_citations(text: str, citations: list[str], evidence_ids: set[str]) -> bool:

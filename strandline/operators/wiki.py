@@ -53,7 +53,7 @@ def sections(pages: DataFrame) -> DataFrame:
     head = F.col("line").startswith("## ")
     cut = ls.withColumn("s", F.sum(head.cast("int")).over(w)).where("s > 0")
     body = F.when(~head & ~F.col("line").startswith("# "), F.struct("i", "line"))
-    g = cut.groupBy("page", "s").agg(F.max(F.when(head, strip(F.substring("line", 4, 10_000)))).alias("title"), F.array_join(F.transform(F.array_sort(F.collect_list(body)), lambda x: x["line"]), "\n").alias("text"))
+    g = cut.groupBy("page", "s").agg(F.max(F.when(head, strip(F.expr("substring(line, 4)")))).alias("title"), F.array_join(F.transform(F.array_sort(F.collect_list(body)), lambda x: x["line"]), "\n").alias("text"))
     return g.withColumn("text", strip(F.col("text"))).where((F.col("title") != "") & ~F.col("title").isin(*STRUCTURAL) & (F.col("text") != "") & (F.col("text") != "(awaiting data ingestion)")).select("page", "s", "title", "text")
 
 
@@ -103,11 +103,16 @@ def unresolved(pages: DataFrame) -> DataFrame:
 
 
 def coverage(pages: DataFrame, source_names: DataFrame) -> DataFrame:
-    """JN-13: one row: sources, those that some page names, and the gap in percent."""
-    named = source_names.select("source_file").distinct()
-    stem = F.regexp_replace("source_file", r"\.jsonl$", "")
-    hit = named.join(F.broadcast(pages.agg(F.array_join(F.collect_list("text"), "\n").alias("all"))), how="cross").select("source_file", F.contains("all", stem).alias("hit"))
-    n = hit.agg(F.count(F.lit(1)).alias("total_sources"), F.coalesce(F.sum(F.col("hit").cast("long")), F.lit(0)).alias("referenced"))
+    """JN-13: one row: sources, those that some page names, and the gap in percent.
+
+    A name that stands in a page is met there by its first word, as a whole word, so names and pages meet in an equi-join.
+    """
+    named = source_names.select("source_file").distinct().withColumn("stem", F.regexp_replace("source_file", r"\.jsonl$", "")).withColumn("first", F.regexp_extract("stem", r"(?U)(\w+)", 1))
+    words = pages.select("page", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)(\w+)"), F.lit(1)))).alias("word"))
+    tails = named.select("first").distinct().where("first != ''")
+    held = words.join(tails, F.col("word") == F.col("first")).select("page", "first").distinct()
+    hit = named.join(held, "first").join(pages.select("page", "text"), "page").where(F.contains("text", F.col("stem"))).select("source_file").distinct().withColumn("hit", F.lit(True))
+    n = named.join(hit, "source_file", "left").agg(F.count(F.lit(1)).alias("total_sources"), F.coalesce(F.sum(F.col("hit").cast("long")), F.lit(0)).alias("referenced"))
     return n.withColumn("gap_pct", F.bround(100 * (F.col("total_sources") - F.col("referenced")) / F.greatest("total_sources", F.lit(1))).cast("long"))
 
 

@@ -310,7 +310,10 @@ def markdown(spark: SparkSession, root: str, since: str | None = None) -> DataFr
     meta = F.create_map(F.lit("frontmatter"), F.to_json("front"), F.lit("tags"), F.to_json(tags(F.col("front"))))
     if not single:
         exists = lambda p: bool(system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{p}")) or [])
-        raw_dirs = [p for p in (".raw", "*/.raw", "*/*/.raw", "*/*/*/.raw") if exists(p)]
+        raw_dirs, deep = [], ""
+        while exists(f"{deep}*"):
+            raw_dirs += [f"{deep}.raw"] * exists(f"{deep}.raw")
+            deep += "*/"
         kind = "obsidian" if exists(".obsidian") else "gbrain-export" if raw_dirs else "markdown"
         if raw_dirs:
             side = whole_files(spark, f"{root}/{raw_dirs[0]}", "*.json")
@@ -396,8 +399,17 @@ def normalise_records(records: DataFrame, persona: str = "") -> DataFrame:
 
 
 def jsonl(spark: SparkSession, path: str, persona: str = "") -> DataFrame:
-    """One JSON object a line; blank and malformed lines are skipped."""
-    rows = lines(whole_files(spark, path)).select("line_no", F.col("file").alias("source_file"), strip(F.col("line")).alias("record"))
+    """One JSON object a line; blank and malformed lines are skipped.
+
+    Files are read in splits, so one may be of any size. line_no is the line's byte order made dense: splits of a file are
+    counted, and what lies before a split is added to the lines' places in it.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), "value")
+    sizes = read.groupBy("path", "split").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = read.join(F.broadcast(sizes.withColumn("before", before).select("path", "split", "first", "before")), ["path", "split"])
+    record = strip(F.regexp_replace("value", "^\ufeff", ""))
+    rows = placed.select((F.col("before") + F.col("place") - F.col("first") + 1).cast("int").alias("line_no"), F.col("file").alias("source_file"), record.alias("record"))
     return normalise_records(rows.where(F.json_object_keys("record").isNotNull()), persona)
 
 

@@ -6,12 +6,17 @@ import json
 import re
 import time
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Columns of a ledger event.
+EVENT = "event_id string, event_type string, claim_id string, target_claim_id string, created_at string, fingerprint string, raw_text string, retract_subject string, retract_predicate string, retract_object string, assert_subject string, assert_predicate string, assert_object string"
+
+
 def slug(text: str) -> str:
     return re.sub(r"[^a-z0-9]+", "-", text.lower()).strip("-") or "source"
 
@@ -34,27 +39,56 @@ def index_rows(messages: DataFrame, imported_at: str) -> DataFrame:
 
 
 def publish(tables: dict[str, DataFrame], root: str) -> str:
-    """GV-15: write all tables of a rebuild to a new version, then switch the pointer. A failure before leaves the old version whole."""
+    """GV-15: write all tables of a rebuild to a new version, then name it in a pointer file of its own.
+
+    Readers take the newest pointer. A pointer appears whole, by a rename to a name that was not there, and no older one is
+    touched before, so whatever fails leaves a version that can be read.
+    """
     spark = next(iter(tables.values())).sparkSession
-    version = f"v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+    version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
-    pointer = f"{root}/CURRENT.{uuid.uuid4().hex}"
-    fs, p = _fs(spark, pointer)
-    out = fs.create(p, True)
-    out.write(bytearray(json.dumps({"version": version}).encode()))
-    out.close()
-    current = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    fs.delete(current, False)
-    if not fs.rename(p, current):
+    fs, p = _fs(spark, f"{root}/.pointer-{version}")
+    fs.create(p, False).close()
+    if not fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT-{version}")):
         raise OSError(f"could not publish {version}")
     return version
 
 
+def published(spark: SparkSession, root: str) -> str | None:
+    """The newest published version, if there is one."""
+    fs, p = _fs(spark, f"{root}/CURRENT-*")
+    found = fs.globStatus(p) or []
+    return max((f.getPath().getName() for f in found), default="CURRENT-").removeprefix("CURRENT-") or None
+
+
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of the published version."""
-    version = json.loads(spark.read.text(f"{root}/CURRENT").first()[0])["version"]
-    return spark.read.parquet(f"{root}/{version}/{name}")
+    return spark.read.parquet(f"{root}/{published(spark, root)}/{name}")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written whole: to another name first."""
+    fs, p = _fs(spark, f"{path}.new")
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs.delete(target, False)
+    if not fs.rename(p, target):
+        raise OSError(f"could not write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file, or None where there is none."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 @contextmanager
@@ -71,23 +105,19 @@ def lock(spark: SparkSession, path: str):
         fs.delete(p, False)
 
 
-def append_event(spark: SparkSession, root: str, event: dict) -> bool:
-    """SNK-13, KG-23: append one ledger event under the lock; an event whose fingerprint is there already is none. Gives whether it was appended."""
+def append_event(spark: SparkSession, root: str, event: dict, refuse: Callable[[], dict | None] | None = None) -> dict | None:
+    """SNK-13, KG-23: append one ledger event under the lock, unless `refuse`, called there, gives a reason; that is returned then."""
     with lock(spark, f"{root}/.lock"):
-        fs, p = _fs(spark, f"{root}/events")
-        if fs.exists(p) and event.get("fingerprint"):
-            known = spark.read.json(f"{root}/events")
-            if "fingerprint" in known.columns and known.where(F.col("fingerprint") == event["fingerprint"]).limit(1).count():
-                return False
-        row = {**event, "event_id": event.get("event_id") or f"event-{uuid.uuid4().hex[:16]}"}
-        spark.createDataFrame([(json.dumps(row, ensure_ascii=False),)], "value string").write.mode("append").text(f"{root}/events")
-        return True
+        reason = refuse() if refuse else None
+        if reason is None:
+            row = {**event, "event_id": event.get("event_id") or f"event-{uuid.uuid4().hex[:16]}"}
+            spark.createDataFrame([(json.dumps(row, ensure_ascii=False),)], "value string").write.mode("append").text(f"{root}/events")
+        return reason
 
 
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
     """SRC-30: the events, refusing any that is malformed, of another type, or without identity."""
-    schema = "event_id string, event_type string, claim_id string, target_claim_id string, created_at string, fingerprint string, raw_text string"
-    df = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{root}/events")
+    df = spark.read.schema(EVENT).option("mode", "FAILFAST").json(f"{root}/events")
     bad = df.where("event_id is null or created_at is null or event_type is null or event_type not in ('correction', 'undo')")
     if bad.limit(1).count():
         raise ValueError("the ledger holds events that cannot be read")

@@ -156,12 +156,12 @@ def test_evidence_and_gates(make):
     assert retrieval.answer(e.limit(0), question, "Ana")["reason"] == "insufficient_relevant_evidence"
 
 
-def test_corrections(make):
-    assert corrections.parse("Carlos is Juan's cousin, not his brother.") == ("Carlos", "Juan", "sibling_of", "cousin_of")
-    assert corrections.parse("Carlos no es hermano de Juan, es su primo") == ("Carlos", "Juan", "sibling_of", "cousin_of")
+def test_corrections(make, spark):
+    assert corrections.parse(spark, "Carlos is Juan's cousin, not his brother.") == ("Carlos", "Juan", "sibling_of", "cousin_of")
+    assert corrections.parse(spark, "Carlos no es hermano de Juan, es su primo") == ("Carlos", "Juan", "sibling_of", "cousin_of")
     for bad in ("", "Carlos likes Juan", "A is B's friend, not his amigo", "A is B's zebra, not his friend", "x" * 2001):
         with pytest.raises(corrections.CorrectionError):
-            corrections.parse(bad)
+            corrections.parse(spark, bad)
     df = corrections.parsed(make("t string", {"t": "Ana is Bo's  wife, not his colleague"}, {"t": "Ana no es cónyuge de Bo; es su jefa."}, {"t": "no"}, {"t": None}), "t")
     assert [(r["subject"], r["object"], r["old"], r["new"]) for r in df.collect()] == [("Ana", "Bo", "coworker_of", "spouse_of"), ("Ana", "Bo", "spouse_of", "manager_of"), (None,) * 4, (None,) * 4]
 
@@ -215,7 +215,7 @@ def test_sinks_and_stream(spark, make, tmp_path):
     assert [r["x"] for r in sinks.current(spark, root, "t").collect()] == [2]
     led = f"file://{tmp_path}/ledger"
     event = {"event_type": "correction", "claim_id": "c", "created_at": "2024-01-01T00:00:00Z", "fingerprint": "f"}
-    assert sinks.append_event(spark, led, event) and not sinks.append_event(spark, led, event)
+    assert sinks.append_event(spark, led, event) is None and sinks.append_event(spark, led, event, lambda: {"known": 1}) == {"known": 1}
     assert sinks.read_ledger(spark, led).count() == 1
     sinks.append_event(spark, led, {"event_type": "odd", "created_at": "2024"})
     with pytest.raises(ValueError):
