@@ -122,11 +122,13 @@ def reply_nodes(message: DataFrame) -> DataFrame:
 def threads(message: DataFrame) -> DataFrame:
     """(source_file, line_no, root_line, depth, state): reply chains by metadata.reply_to within each file.
 
-    A row without reply_to is a root; `orphan` answers a line the file lacks, `cycle` answers itself by some way.
+    A row without reply_to is a root; `orphan` answers a line the file lacks (root_line), by `depth` lines between; `cycle` answers
+    itself by some way and has neither root nor depth.
     Lines delivered more than once count once, with the smallest seq. Metadata that is no JSON has no reply_to.
     """
     out = paths.resolve(durable(reply_nodes(message), "p4-replies"), [], "p4-threads")
-    return out.select("id.source_file", "id.line_no", F.col("root.line_no").alias("root_line"), "depth", "state")
+    depth = F.when(F.col("state") != "cycle", F.col("depth"))
+    return out.select("id.source_file", "id.line_no", F.col("root.line_no").alias("root_line"), depth.alias("depth"), "state")
 
 
 def reply_paths(message: DataFrame) -> DataFrame:
