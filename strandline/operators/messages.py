@@ -67,3 +67,8 @@ def vector_records(df: DataFrame) -> DataFrame:
     return df.select(
         vector_id(F.col("slug"), F.col("hash")).alias("id"), F.col("content").alias("document"), F.col("slug").alias("wing"), F.lit("messages").alias("room"), hall(F.col("source_type")).alias("hall"), "role", "source_file", "source_type", blank("sender").alias("sender"), blank("timestamp").alias("authored_at"),
     )
+
+
+def multiset_intersection(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """ST-02: rows that both tables hold, each as often as in the one that holds it less often."""
+    return a.select(*columns).intersectAll(b.select(*columns))

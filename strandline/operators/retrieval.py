@@ -84,6 +84,25 @@ def select_within(ranked: DataFrame, by: list[str], order: list[Column], cost: s
     return top.join(kept, [*by, "__at"]).drop("__at")
 
 
+def stored_ids(hits: DataFrame, persisted: DataFrame) -> DataFrame:
+    """JN-04: hits with the message_id of the stored line they stand for, null where there is none: by id, or else by content, sender
+    (case aside) and time; of lines that agree, the greatest message_id. Both: id, content, sender, timestamp; persisted: message_id."""
+    low = F.lower("sender")
+    by_id = persisted.groupBy("id").agg(F.max("message_id").alias("by_id"))
+    by_text = persisted.groupBy(F.col("content").alias("c2"), low.alias("k2"), F.col("timestamp").alias("t2")).agg(F.max("message_id").alias("by_text"))
+    own = hits.withColumn("ks", low)
+    placed = own.join(by_id, "id", "left").join(by_text, own["content"].eqNullSafe(by_text["c2"]) & (own["ks"] == by_text["k2"]) & own["timestamp"].eqNullSafe(by_text["t2"]), "left")
+    return placed.withColumn("message_id", F.coalesce("by_id", "by_text")).drop("by_id", "by_text", "ks", "c2", "k2", "t2")
+
+
+def polarity(rows: DataFrame, text: str, by: list[str], where: Column | None = None) -> DataFrame:
+    """RET-11: per group whether some text tells a preference against, and some one for; both is a contradiction."""
+    on = F.lit(True) if where is None else where
+    neg, pos = F.col(text).rlike(NEGATIVE_PREFERENCE), F.col(text).rlike(PREFERENCE)
+    any_ = lambda c: F.coalesce(F.max(on & c), F.lit(False))
+    return rows.groupBy(*by).agg(any_(neg).alias("against"), any_(pos & ~neg).alias("for_it"))
+
+
 def evidence(hits: DataFrame, persisted: DataFrame, question: str, participant: str, limit: int = LIMIT, budget: int = BUDGET) -> DataFrame:
     """RET-08, JN-04, RET-09: the evidence for a question about one participant.
 
@@ -93,12 +112,7 @@ def evidence(hits: DataFrame, persisted: DataFrame, question: str, participant:
     """
     who = participant.lower()
     mine = persisted.where(F.lower("sender") == who)
-    by_id = mine.groupBy("id").agg(F.max("message_id").alias("by_id"))
-    by_text = mine.groupBy("content", F.lower("sender").alias("ks"), "timestamp").agg(F.max("message_id").alias("by_text"))
-    own = hits.where(F.lower("sender") == who).withColumn("ks", F.lower("sender"))
-    t = by_text.select(F.col("content").alias("c2"), F.col("ks").alias("k2"), F.col("timestamp").alias("t2"), "by_text")
-    placed = own.join(by_id, "id", "left").join(t, own["content"].eqNullSafe(t["c2"]) & (own["ks"] == t["k2"]) & own["timestamp"].eqNullSafe(t["t2"]), "left")
-    verified = placed.withColumn("message_id", F.coalesce("by_id", "by_text")).where("message_id is not null")
+    verified = stored_ids(hits.where(F.lower("sender") == who), mine).where("message_id is not null")
     scored = score(verified, question, participant, budget)
     prefers = asks_preference(question)
     eligible = scored.where((F.col("asked") == 0) | (F.col("overlap") > 0))
@@ -180,15 +194,11 @@ def quote(question: str, participant: str, evidence_: list[dict], context: dict,
 def gates(evidence_: DataFrame, question: str, participant: str) -> DataFrame:
     """RET-10, RET-11: one row: supported, contradictory, for the evidence of a question."""
     q = topic_terms(question, participant)
-    asks = asks_preference(question)
-    over = term_overlap(q, F.col("excerpt"))
+    asks, over = asks_preference(question), term_overlap(q, F.col("excerpt"))
     any_ = lambda c: F.coalesce(F.max(c), F.lit(False))
-    g = evidence_.withColumns({"n": F.lit(len(q)), "o": over}).agg(
-        F.coalesce(F.max("score"), F.lit(0.0)).alias("best"), any_((F.col("n") == 0) | (F.col("o") > 0)).alias("on_topic"), any_(F.col("excerpt").rlike(PREFERENCE)).alias("prefers"),
-        any_((F.col("n") > 0) & (F.col("o") > 0) & F.col("excerpt").rlike(NEGATIVE_PREFERENCE)).alias("against"), any_((F.col("n") > 0) & (F.col("o") > 0) & F.col("excerpt").rlike(PREFERENCE) & ~F.col("excerpt").rlike(NEGATIVE_PREFERENCE)).alias("for"),
-    )
+    g = evidence_.agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("best"), any_((over > 0) if q else F.lit(True)).alias("on_topic"), any_(F.col("excerpt").rlike(PREFERENCE)).alias("prefers"))
     supported = (F.col("best") >= SUPPORT) & F.col("on_topic") & (F.col("prefers") if asks else F.lit(True))
-    return g.select(supported.alias("supported"), (F.col("against") & F.col("for") & F.lit(asks)).alias("contradictory"))
+    return g.crossJoin(polarity(evidence_, "excerpt", [], over > 0)).select(supported.alias("supported"), (F.col("against") & F.col("for_it") & F.lit(asks and bool(q))).alias("contradictory"))
 
 
 def answer(evidence_: DataFrame, question: str, participant: str, provider: Provider = quote, context: dict | None = None) -> dict:

@@ -80,11 +80,11 @@ def q_source_equivalence(spark, d):
     return messages.equivalent_sources(p).withColumn("coverage", F.round("coverage", 6))
 
 
-@query("SELECT sha256(text) AS digest, count(*) AS n FROM (SELECT text FROM documents WHERE source = 'wiki' INTERSECT ALL SELECT text FROM documents WHERE source = 'obsidian') GROUP BY text")
+@query("SELECT sha256(content) AS digest, count(*) AS n FROM (SELECT lower(content) AS content FROM message WHERE role = 'user' AND content IS NOT NULL INTERSECT ALL SELECT lower(content) FROM message WHERE role = 'assistant' AND content IS NOT NULL) GROUP BY content")
 def q_multiset_intersect_all(spark, d):
-    t = table(spark, d, "documents")
-    both = t.where("source = 'wiki'").select("text").intersectAll(t.where("source = 'obsidian'").select("text"))
-    return both.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+    t = table(spark, d, "message").where("content is not null").withColumn("content", F.lower("content"))
+    both = messages.multiset_intersection(t.where("role = 'user'"), t.where("role = 'assistant'"), ["content"])
+    return both.groupBy(F.sha2("content", 256).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _PII_SQL = {k: f"CAST(sum(len(regexp_extract_all(coalesce(content, ''), '{p}'))) AS BIGINT)" for k, p in PII.items()}
@@ -209,11 +209,15 @@ def q_graph_stats(spark, d):
     return graph.statistics(graph.membership(m).unionByName(graph.communication(m)))
 
 
-@query(f"""WITH {_KEYED}, g AS (SELECT slug, min(key) FILTER (key != '' AND role = 'assistant') a, max(key) FILTER (key != '' AND role = 'assistant') a2, min(key) FILTER (key != '' AND role != 'assistant') b, max(key) FILTER (key != '' AND role != 'assistant') b2,
+@query(f"""WITH r AS (SELECT * REPLACE ({_role("role")} AS role, source_file AS slug, CASE WHEN line_no = 2 THEN content || ' con mi novia' ELSE content END AS content, CASE WHEN role = 'assistant' THEN 'Ana' ELSE lower(split_part(sender, ' ', 1)) END AS sender) FROM message), k AS (SELECT *, {_strip("lower(sender)")} AS key, {_strip("sender")} AS who FROM r), g AS (SELECT slug, min(key) FILTER (key != '' AND role = 'assistant') a, max(key) FILTER (key != '' AND role = 'assistant') a2, min(key) FILTER (key != '' AND role != 'assistant') b, max(key) FILTER (key != '' AND role != 'assistant') b2,
     arg_min(who, seq) FILTER (key != '' AND role = 'assistant') AS subject, arg_min(who, seq) FILTER (key != '' AND role != 'assistant') AS object, min(seq) FILTER (regexp_matches(content, '(?i)(mi\\s+(?:novia|novio|pareja)|amor\\s+de\\s+mi\\s+vida|quiero\\s+todo\\s+contigo)')) AS s FROM k GROUP BY slug)
     SELECT slug, subject, object FROM g WHERE a = a2 AND b = b2 AND a != b AND s IS NOT NULL""")
 def q_graph_romance(spark, d):
-    return graph.romance(roled(spark, d)).select("slug", "subject", "object")
+    """Each file as an archive of its own, with one name for the persona, and a second line that tells of a romance: the table's own tell of none."""
+    m = roled(spark, d).withColumns({"slug": F.col("source_file"), "content": F.when(F.col("line_no") == 2, F.concat("content", F.lit(" con mi novia"))).otherwise(F.col("content"))})
+    raw = table(spark, d, "message").select("seq", (F.col("role") == "assistant").alias("own"))
+    m = m.join(raw, "seq").withColumn("sender", F.when(F.col("own"), "Ana").otherwise(F.lower(F.split_part("sender", F.lit(" "), F.lit(1)))))
+    return graph.romance(m).select("slug", "subject", "object")
 
 
 @query(f"WITH {_MEMBERS} SELECT subject, object, type FROM m WHERE subject = 'Torvalle Envíos' OR object = 'Torvalle Envíos'")
@@ -239,18 +243,20 @@ def q_graph_shortest_path(spark, d):
     return graph.shortest_paths(places(spark, d), start).select("node", "hops")
 
 
-@query(f"WITH {_PLACES} SELECT subject, object FROM p WHERE subject = (SELECT min(c_name) FROM customer) LIMIT 1")
+@query(f"WITH {_PLACES} SELECT subject, object FROM p WHERE subject = (SELECT min(c_name) FROM customer) ORDER BY subject, object LIMIT 1")
 def q_graph_find_edge(spark, d):
     p = places(spark, d)
     a = table(spark, d, "customer").agg(F.min("c_name")).first()[0]
-    row = p.where(F.col("subject") == a).first()
+    row = p.where(F.col("subject") == a).orderBy("object").first()
     return graph.edge_between(p, row["object"], a, "subject")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49))")
 def q_orphan_entities(spark, d):
+    """Customers without an order of fifty of one part; every one of the tables' has some order."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name")
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("subject"), F.lit(None).cast("long").alias("object"))
+    large = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    o = table(spark, d, "orders").join(large, "o_orderkey", "left_semi").select(F.col("o_custkey").alias("subject"), F.lit(None).cast("long").alias("object"))
     return graph.orphans(c, o).select(F.col("id").alias("c_custkey"), "c_name")
 
 
@@ -345,8 +351,7 @@ _POS, _NEG = (p.replace("(?iu)", "(?i)").replace("'", "''") for p in (PREFERENCE
 
 @query(f"SELECT slug, bool_or(regexp_matches(content, '{_NEG}')) AS against, bool_or(regexp_matches(content, '{_POS}') AND NOT regexp_matches(content, '{_NEG}')) AS for_it FROM message WHERE content IS NOT NULL GROUP BY slug")
 def q_contradiction_gate(spark, d):
-    neg, pos = F.col("content").rlike(NEGATIVE_PREFERENCE), F.col("content").rlike(PREFERENCE)
-    return table(spark, d, "message").where("content is not null").groupBy("slug").agg(F.max(neg).alias("against"), F.max(pos & ~neg).alias("for_it"))
+    return retrieval.polarity(table(spark, d, "message").where("content is not null"), "content", ["slug"])
 
 
 @query(f"""WITH q AS (SELECT DISTINCT split_part(name, ' ', 1) AS query FROM participant_preview WHERE name IS NOT NULL), q2 AS (SELECT query, {_strip("lower(query)")} AS q FROM q), e AS (SELECT DISTINCT sender AS name, {_strip("lower(sender)")} AS e FROM message WHERE sender IS NOT NULL),
@@ -367,9 +372,12 @@ def q_eval_prf(spark, d):
     return extract.evaluate(e.join(a, "slug", "full_outer"))
 
 
-@query("SELECT record_id, CASE lower(kind) WHEN 'assertion' THEN 'assertion' WHEN 'inference' THEN 'inference' ELSE 'freeform' END AS kind, CASE lower(kind) WHEN 'assertion' THEN 1.0 WHEN 'inference' THEN 0.5 ELSE 0.75 END::DOUBLE AS confidence FROM context_record WHERE kind IS NOT NULL AND content IS NOT NULL")
+@query("WITH b AS (SELECT record_id, record_id % 13 AS r FROM context_record WHERE content IS NOT NULL) SELECT record_id, CASE WHEN r < 4 THEN 'assertion' WHEN r IN (9, 10) THEN 'inference' ELSE 'freeform' END AS kind, CASE WHEN r < 4 THEN 1.0 WHEN r IN (9, 10) THEN 0.5 ELSE 0.75 END::DOUBLE AS confidence FROM b")
 def q_context_classify(spark, d):
-    c = table(spark, d, "context_record").where("kind is not null and content is not null").select("record_id", F.concat("kind", F.lit(": "), "content").alias("block"))
+    """Prefixes of every kind in turn, in any case and accent, and two that are none."""
+    said = F.array(*map(F.lit, ("Assert", "FACT", "hecho", "Afirmación", "context", "Contexto", "note", "NOTA", "Sin prefijo", "inference", "INFERENCIA", "hechos", "")))
+    prefix = F.element_at(said, (F.pmod("record_id", F.lit(13)) + 1).cast("int"))
+    c = table(spark, d, "context_record").where("content is not null").select("record_id", F.concat(prefix, F.when(prefix != "", ": ").otherwise(""), "content").alias("block"))
     return context.classify(c, "block").select("record_id", "kind", "confidence")
 
 
@@ -414,7 +422,15 @@ def q_evidence_tags(spark, d):
     return wiki.tag_counts(pages_of(spark, d))
 
 
-@query()
+_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_BODY = _strip("coalesce(string_agg(CASE WHEN NOT head AND NOT starts_with(line, '# ') THEN line END, chr(10) ORDER BY i), '')")
+_SECTIONS = f"""WITH a AS (SELECT doc_id, regexp_split_to_array(text, '{_ENDS}') AS ls FROM documents WHERE source = 'wiki'), l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM a),
+    n AS (SELECT *, starts_with(line, '## ') AS head, sum(CASE WHEN starts_with(line, '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM l),
+    g AS (SELECT doc_id, s, max(CASE WHEN head THEN {_strip("substr(line, 4)")} END) AS title, {_BODY} AS text FROM n WHERE s > 0 GROUP BY doc_id, s)
+    SELECT CAST(doc_id AS VARCHAR) AS page, CAST(s AS BIGINT) AS s, title, text FROM g WHERE title != '' AND title NOT IN ('Sources', 'See also', 'References', 'Metadata') AND text != '' AND text != '(awaiting data ingestion)'"""
+
+
+@query(_SECTIONS)
 def q_wiki_sections(spark, d):
     return wiki.sections(pages_of(spark, d)).select("page", F.col("s").cast("long").alias("s"), "title", "text")
 
@@ -452,9 +468,15 @@ def q_normalise_records(spark, d):
     return readers.normalise_records(records).select(F.col("source_file").cast("long").alias("seq"), "role", "content")
 
 
-@query(f"SELECT slug, count(*) FILTER (regexp_matches(coalesce(sender, ''), '[\\r\\n]') OR length(coalesce(sender, '')) > 100) AS rejected, count(*) FILTER (NOT (regexp_matches(coalesce(sender, ''), '[\\r\\n]') OR length(coalesce(sender, '')) > 100)) AS kept FROM message GROUP BY slug")
+_LOW_SENDER = _flat("lower(coalesce(sender, ''))")
+_BAD_SENDER = "(regexp_matches(coalesce(sender, ''), '[\\r\\n]') OR length(coalesce(sender, '')) > 100 OR " + " OR ".join(f"starts_with({_LOW_SENDER}, '{n}')" for n in readers.NOTICES) + ")"
+
+
+@query(f"WITH m AS (SELECT slug, CASE WHEN seq % 11 = 0 THEN concat('Messages and calls are  end-to-end encrypted. ', sender) WHEN seq % 13 = 0 THEN concat(sender, chr(10), 'x') ELSE sender END AS sender FROM message) SELECT slug, count(*) FILTER ({_BAD_SENDER}) AS rejected, count(*) FILTER (NOT {_BAD_SENDER}) AS kept FROM m GROUP BY slug")
 def q_reject_senders(spark, d):
-    kept, bad = messages.reject_senders(table(spark, d, "message"))
+    """Some senders are made notices or broken lines: the table's own are neither."""
+    s = F.when(F.pmod("seq", F.lit(11)) == 0, F.concat(F.lit("Messages and calls are  end-to-end encrypted. "), F.coalesce("sender", F.lit("")))).when(F.pmod("seq", F.lit(13)) == 0, F.concat(F.coalesce("sender", F.lit("")), F.lit("\nx"))).otherwise(F.col("sender"))
+    kept, bad = messages.reject_senders(table(spark, d, "message").withColumn("sender", s))
     n = kept.withColumn("k", F.lit(1)).unionByName(bad.withColumn("k", F.lit(0)))
     return n.groupBy("slug").agg(F.sum(1 - F.col("k")).cast("long").alias("rejected"), F.sum("k").cast("long").alias("kept"))
 
@@ -475,10 +497,15 @@ def q_vector_records(spark, d):
     return messages.vector_records(unique(spark, d)).select("id", "hall", "sender", "authored_at")
 
 
-@query("SELECT DISTINCT e.evidence_no, m.seq IS NOT NULL AS stored FROM evidence e LEFT JOIN (SELECT concat(source_file, ':', line_no) AS message_id, min(seq) AS seq FROM message GROUP BY 1) m USING (message_id)")
+@query(f"""WITH {_HASHED}, p AS (SELECT concat(slug, '-', hash) AS id, content, lower(sender) AS ks, timestamp, concat(source_file, ':', line_no) AS message_id FROM h), i AS (SELECT id, max(message_id) AS by_id FROM p GROUP BY id), x AS (SELECT content, ks, timestamp, max(message_id) AS by_text FROM p WHERE ks IS NOT NULL GROUP BY ALL),
+    e AS (SELECT DISTINCT evidence_no, excerpt AS content, sender, timestamp, concat(slug, '-', substr(sha256(concat('user:', coalesce(excerpt, ''))), 1, 16)) AS id FROM evidence)
+    SELECT evidence_no, coalesce(by_id, by_text) AS message_id FROM e LEFT JOIN i USING (id) LEFT JOIN x ON x.content IS NOT DISTINCT FROM e.content AND x.ks = lower(e.sender) AND x.timestamp IS NOT DISTINCT FROM e.timestamp""")
 def q_evidence_lookup(spark, d):
-    m = table(spark, d, "message").groupBy(F.concat_ws(":", "source_file", F.col("line_no").cast("string")).alias("message_id")).agg(F.min("seq").alias("seq"))
-    return table(spark, d, "evidence").select("evidence_no", "message_id").distinct().join(m, "message_id", "left").select("evidence_no", F.col("seq").isNotNull().alias("stored"))
+    h = messages.hashed(roled(spark, d))
+    stored = h.select(F.concat_ws("-", "slug", "hash").alias("id"), "content", "sender", "timestamp", F.concat_ws(":", "source_file", F.col("line_no").cast("string")).alias("message_id"))
+    e = table(spark, d, "evidence").select("evidence_no", "slug", F.col("excerpt").alias("content"), "sender", "timestamp", F.lit("user").alias("role")).distinct()
+    hits = messages.hashed(e).select("evidence_no", F.concat_ws("-", "slug", "hash").alias("id"), "content", "sender", "timestamp")
+    return retrieval.stored_ids(hits, stored).select("evidence_no", "message_id")
 
 
 @query("SELECT *, CASE WHEN adapter = 'social' THEN 'quarantined' ELSE 'active' END AS status FROM (SELECT DISTINCT filename, adapter FROM source_index)")
@@ -509,12 +536,27 @@ def q_fact_extraction(spark, d):
     return extract.extract(roled(spark, d), p)
 
 
-@query()
+_EN, _ES = (p.replace("'", "''") for p in (corrections.ENGLISH, corrections.SPANISH))
+_REL = "MAP {" + ", ".join(f"'{w}': '{r}'" for w, r in corrections.WORDS.items()) + "}"
+_rel = lambda c: f"{_REL}[regexp_replace(regexp_replace(translate(lower(trim({c})), 'áéíóúüñ', 'aeiouun'), '[ .,:;]+$', ''), '{corrections.ARTICLE}', '')]"
+_group = lambda a, b: f"CASE WHEN regexp_matches(f, '(?i){_EN}') THEN regexp_extract(f, '(?i){_EN}', {a}) WHEN regexp_matches(f, '(?i){_ES}') THEN regexp_extract(f, '(?i){_ES}', {b}) END"
+_PARSED = f"""WITH t AS (SELECT ledger_line, raw_text, {_flat("raw_text")} AS f FROM ledger WHERE raw_text IS NOT NULL), g AS (SELECT *, trim({_group(1, 1)}) AS s, trim({_group(2, 3)}) AS o, {_group(4, 2)} AS a, {_group(3, 4)} AS b FROM t), r AS (SELECT *, {_rel("a")} AS old0, {_rel("b")} AS new0 FROM g), k AS (SELECT *, coalesce(length(f) <= 2000 AND old0 IS NOT NULL AND new0 IS NOT NULL AND old0 != new0, false) AS good FROM r)
+    SELECT ledger_line, raw_text, CASE WHEN good THEN s END AS subject, CASE WHEN good THEN o END AS object, CASE WHEN good THEN old0 END AS old, CASE WHEN good THEN new0 END AS new FROM k"""
+
+
+@query(_PARSED)
 def q_corrections_parsed(spark, d):
     return corrections.parsed(table(spark, d, "ledger").where("raw_text is not null").select("ledger_line", "raw_text"), "raw_text")
 
 
-@query()
+_bare = lambda c: f"trim(translate(lower({c}), 'áéíóúüñ', 'aeiouun'))"
+_CORRECTED = f"""WITH u AS (SELECT regexp_replace(target_claim_id, ':(assert|retract)$', '') AS claim_id, arg_max(event_id, ledger_line) AS undo_event_id FROM ledger WHERE event_type = 'undo' AND event_id IS NOT NULL GROUP BY 1),
+    st AS (SELECT c.*, CASE WHEN undo_event_id IS NULL THEN 'active' ELSE 'undone' END AS status FROM ledger c LEFT JOIN u USING (claim_id) WHERE event_type = 'correction' AND event_id IS NOT NULL),
+    w AS (SELECT min(assert_subject) AS who FROM ledger WHERE event_type = 'correction' AND event_id IS NOT NULL), x AS (SELECT st.* FROM st, w WHERE status = 'active' AND {_bare("who")} IN ({_bare("assert_subject")}, {_bare("assert_object")}))
+    SELECT concat('correction:', claim_id) AS message_id, substr(concat('User correction: ', assert_subject, ' --', assert_predicate, '--> ', assert_object, '; retracted ', retract_predicate, '. Instruction: ', coalesce(raw_text, '')), 1, 500) AS excerpt, 1.0::DOUBLE AS score FROM x ORDER BY ledger_line DESC LIMIT 20"""
+
+
+@query(_CORRECTED)
 def q_correction_evidence(spark, d):
     c = graph.ledger_status(*ledger_sides(spark, d))
     who = c.agg(F.min("assert_subject")).first()[0]

@@ -21,7 +21,17 @@ def p6_found(spark, sf_dir):
 
 QUERIES = {"p3_found": p3_found, "p3_standing_claims": p3_standing_claims, "p6_found": p6_found}
 
+_CONTENT = ", ".join(f"arg_max({c}, ord) FILTER ({c} IS NOT NULL) AS {c}" for c in replay.CONTENT)
+
 SQL = {
+    "p3_standing_claims": f"""
+        WITH e AS (SELECT *, lower(trim(event_type)) AS kind FROM ledger WHERE event_id IS NOT NULL AND created_at IS NOT NULL AND lower(trim(event_type)) IN ('correction', 'undo')),
+        f AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ledger_line) AS rn FROM e),
+        k AS (SELECT * EXCLUDE (rn), CAST(created_at AS TIMESTAMPTZ) AS instant, CASE kind WHEN 'undo' THEN regexp_replace(target_claim_id, ':(assert|retract)$', '') ELSE claim_id END AS claim FROM f WHERE rn = 1),
+        o AS (SELECT *, row_number() OVER (PARTITION BY slug, claim ORDER BY instant, ledger_line) AS ord FROM k WHERE claim IS NOT NULL),
+        d AS (SELECT slug, claim, coalesce(max(ord) FILTER (kind = 'undo'), 0) AS dropped FROM o GROUP BY ALL),
+        s AS (SELECT o.* FROM o JOIN d ON o.slug IS NOT DISTINCT FROM d.slug AND o.claim = d.claim WHERE kind = 'correction' AND ord > dropped)
+        SELECT slug, claim AS claim_id, arg_max(event_id, ord) AS event_id, epoch_us(arg_max(instant, ord)) AS at_us, arg_max(ledger_line, ord) AS ledger_line, {_CONTENT} FROM s GROUP BY slug, claim""",
     "p3_found": """
         WITH e AS (SELECT *, lower(trim(event_type)) AS kind FROM ledger
                    WHERE event_id IS NOT NULL AND created_at IS NOT NULL AND lower(trim(event_type)) IN ('correction', 'undo')),
