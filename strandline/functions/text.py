@@ -38,3 +38,19 @@ def says_something(col: Column) -> Column:
 def clean_role(col: Column) -> Column:
     """Role without case and outer white space; null stays null."""
     return F.lower(F.regexp_replace(col, r"(?U)^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$", ""))
+
+
+def duration(seconds: Column) -> Column:
+    """SNK-03: whole seconds, rounded up, as MM:SS or HH:MM:SS; `--:--` for no number."""
+    whole = F.greatest(F.lit(0), F.ceil(seconds)).cast("long")
+    two = lambda n: F.when(n < 10, F.lpad(n.cast("string"), 2, "0")).otherwise(n.cast("string"))
+    h, m, s = F.floor(whole / 3600), F.floor(whole / 60) % 60, whole % 60
+    known = seconds.isNotNull() & ~F.isnan(seconds.cast("double")) & (F.abs(seconds) < float("inf"))
+    return F.when(~known, "--:--").when(h > 0, F.concat_ws(":", two(h), two(m), two(s))).otherwise(F.concat_ws(":", two(m), two(s)))
+
+
+def progress(done: Column, total: Column, elapsed: Column) -> Column:
+    """SNK-03: how far a write is, and how long it will take at its pace so far."""
+    share = F.when(total != 0, done / total * 100).otherwise(100.0)
+    left = F.when(done >= total, F.lit(0.0)).when((done > 0) & (elapsed > 0), (total - done) / (done / elapsed))
+    return F.concat(done.cast("string"), F.lit("/"), total.cast("string"), F.lit(" ("), F.format_string("%.1f", F.bround(share, 1)), F.lit("%) | elapsed "), duration(elapsed), F.lit(" | ETA "), duration(left))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strandline.functions.messages import collapse
+from strandline.functions.text import progress
 from strandline.operators import context, corrections, governance, graph, messages, pages, profiles, resolve, retrieval, wiki
 from strandline.plans.core import _FIRST, _HASHED, _KEYED, _MEMBERS, _flat, _plain, _spaced, _strip, _words, ledger_sides, roled, unique
-from strandline.session import table
+from strandline.session import shared_dir, table
+from strandline.sources import sinks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -244,3 +248,21 @@ def q_upsert(spark, d):
     # Ids are per archive and hash; here hashes are unique over all archives.
     by_hash = lambda df: df.withColumn("id", F.substring_index("id", "-", -1))
     return governance.upsert(by_hash(u), by_hash(new)).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("hall") == "new").cast("long")).alias("met"))
+
+
+@query(f"WITH {_HASHED}, f AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY source_file, line_no, seq) AS rn FROM h WHERE content IS NOT NULL) SELECT hash, source_file, line_no, role FROM f WHERE rn = 1")
+def q_stored_messages(spark, d):
+    """Messages written to a backup and read again."""
+    path = f"{shared_dir(spark)}/backup-{uuid.uuid4().hex}"
+    once = roled(spark, d).where("content is not null").groupBy("source_file", "line_no", "role", "content").agg(F.min("timestamp").alias("timestamp"), F.min("source_type").alias("source_type"), F.min("sender").alias("sender"))
+    sinks.append_messages(once.repartition(8, "source_file"), path)
+    return sinks.stored_messages(spark, path).select("hash", "source_file", "line_no", "role")
+
+
+_DURATION = "CASE WHEN {x} IS NULL THEN '--:--' WHEN ceil(greatest({x}, 0)) >= 3600 THEN printf('%02d:%02d:%02d', CAST(floor(ceil(greatest({x}, 0)) / 3600) AS BIGINT), CAST(floor(ceil(greatest({x}, 0)) / 60) AS BIGINT) % 60, CAST(ceil(greatest({x}, 0)) AS BIGINT) % 60) ELSE printf('%02d:%02d', CAST(floor(ceil(greatest({x}, 0)) / 60) AS BIGINT), CAST(ceil(greatest({x}, 0)) AS BIGINT) % 60) END"
+
+
+@query("WITH t AS (SELECT participant_id, coalesce(new_messages, 0) AS a, coalesce(messages, 0) AS b, CAST(coalesce(messages, 0) * 37.5 AS DOUBLE) AS e FROM participant_preview), l AS (SELECT *, CASE WHEN a >= b THEN 0.0::DOUBLE WHEN a > 0 AND e > 0 THEN (b - a) / (a / e) END AS r FROM t) SELECT participant_id, concat(a, '/', b, ' (', printf('%.1f', CASE WHEN b != 0 THEN a / b * 100 ELSE 100.0 END), '%) | elapsed ', " + _DURATION.replace("{x}", "e") + ", ' | ETA ', " + _DURATION.replace("{x}", "r") + ") AS progress FROM l")
+def q_progress(spark, d):
+    a, b = (F.coalesce(c, F.lit(0)) for c in ("new_messages", "messages"))
+    return table(spark, d, "participant_preview").select("participant_id", progress(a, b, b * 37.5).alias("progress"))

@@ -31,6 +31,18 @@ def append_messages(messages: DataFrame, path: str) -> None:
     messages.write.mode("append").partitionBy("source_file").json(path)
 
 
+#: What a backup keeps of a message.
+STORED = "line_no int, role string, content string, timestamp string, source_type string, sender string, source_file string"
+
+
+def stored_messages(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-26: the messages of a backup, each once: its first occurrence by source file and line. Lines that are no messages are skipped."""
+    from strandline.operators.messages import deduplicate, hashed
+
+    rows = spark.read.schema(STORED).option("mode", "DROPMALFORMED").json(path)
+    return deduplicate(hashed(rows.where("role is not null and content is not null")), ["source_file", "line_no"])
+
+
 def index_rows(messages: DataFrame, imported_at: str) -> DataFrame:
     """The index entries of a backup: lines, assistant rows and digest of each source."""
     from strandline.operators.dialogue import source_statistics
