@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from strandline.functions.messages import strip
 from strandline.operators.context import plain_key
+from strandline.session import lookup_pairs, small
+
+
+def _on_run(rows: DataFrame, others: DataFrame, row_id: str) -> DataFrame:
+    """Rows and others with the same run of letters: by broadcast where the others are few, else by a shuffle that spreads frequent runs."""
+    return rows.join(F.broadcast(others), "run") if small(others) else lookup_pairs(rows, others, "run", F.xxhash64(row_id))
 
 
 def resolve(queries: DataFrame, entities: DataFrame, aliases: DataFrame | None = None, accents: bool = True) -> DataFrame:
@@ -23,8 +29,8 @@ def resolve(queries: DataFrame, entities: DataFrame, aliases: DataFrame | None =
     # What contains a text holds its first three letters somewhere: an equi-join on letter runs finds all candidates.
     runs = lambda c: F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))).otherwise(F.array().cast("array<string>")))))
     e, e2 = e.where("e != ''"), e.where("e != ''")
-    inner = e.withColumn("run", F.explode(runs(F.col("e")))).join(q.withColumn("run", F.substring("q", 1, 3)), "run").where(F.contains("e", F.col("q")))
-    outer = e2.withColumn("run", F.substring("e", 1, 3)).join(q.withColumn("run", F.explode(runs(F.col("q")))), "run").where(F.contains("q", F.col("e")))
+    inner = _on_run(e.withColumn("run", F.explode(runs(F.col("e")))), q.withColumn("run", F.substring("q", 1, 3)), "name").where(F.contains("e", F.col("q")))
+    outer = _on_run(q.withColumn("run", F.explode(runs(F.col("q")))), e2.withColumn("run", F.substring("e", 1, 3)), "query").where(F.contains("q", F.col("e")))
     part = inner.select("query", "name", "q", "e").unionByName(outer.select("query", "name", "q", "e")).distinct()
     loose = part.select("query", "name", F.when(F.startswith("e", F.concat("q", F.lit(" "))), 3).otherwise(4).alias("tier"))
     found = exact.unionByName(loose)
