@@ -13,6 +13,7 @@ FUNCTION_WORDS = {
 }
 #: Each language's words; those of several languages vote for each of them.
 SETS = {lang: frozenset(words) for lang, words in FUNCTION_WORDS.items()}
+_ANY = frozenset().union(*SETS.values())
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -20,7 +21,8 @@ def votes(words: list[str]) -> dict[str, float]:
     """Share of the words that are function words, by language."""
     if not words:
         return dict.fromkeys(SETS, 0.0)
-    return {lang: sum(w in known for w in words) / len(words) for lang, known in SETS.items()}
+    telling = [w for w in words if w in _ANY]
+    return {lang: sum(map(known.__contains__, telling)) / len(words) for lang, known in SETS.items()}
 
 
 def language(text: str, lead: float = 0.06) -> str | None:

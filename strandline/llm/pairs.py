@@ -133,6 +133,9 @@ def copied(question: list[str], answer: list[str], most_new: int = 2, sentences:
         return True
     if not question or not answer or len(answer) > 2 * len(question) + most_new:
         return False
+    # Runs hold words of the question only, so too many other words settle it without them.
+    if len(answer) - sum(map(set(question).__contains__, answer)) > most_new:
+        return False
     runs = SuffixAutomaton(question).longest(answer)
     covered = [False] * len(answer)
     i = len(answer) - 1
@@ -245,8 +248,13 @@ def judge(question: str | None, answer: str | None, said: bool, ends: int, n: in
     question = question or ""
     words_q = [w.lower() for w in _TOKEN.findall(unicodedata.normalize("NFKC", question))]
     words_a = bare.split(" ")
-    sentences = [x for x in ([w.lower() for w in _TOKEN.findall(unicodedata.normalize("NFKC", part))] for part in _SENTENCE.split(question)) if x]
-    if copied(words_q, words_a, sentences=sentences):
+    known = set(words_q)
+    if sum(w not in known for w in words_a) <= 2:
+        sentences = [x for x in ([w.lower() for w in _TOKEN.findall(unicodedata.normalize("NFKC", part))] for part in _SENTENCE.split(question)) if x]
+        copy = copied(words_q, words_a, sentences=sentences)
+    else:
+        copy = False
+    if copy:
         return "copy"
     if refuses(words_q, answer, automaton):
         return "refusal"
@@ -349,10 +357,10 @@ def _last_words(answer: pd.Series) -> pd.DataFrame:
 
 def defects(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn_no, defect) of each pair, defect null where the pair is sound. One row per user turn."""
-    rows = durable(pairs(conversations), "p5-pairs")
-    table = endings(rows)
     # Only answers that do not end like a sentence need the counts; the others have null keys.
-    keyed = rows.withColumn("k", _last_words("answer")).select("conv_id", "turn_no", F.struct("conv_id", "turn_no").alias("id"), "question", "answer", "k.prev", "k.last")
+    rows = pairs(conversations).withColumn("k", _last_words("answer"))
+    keyed = durable(rows.select("conv_id", "turn_no", F.struct("conv_id", "turn_no").alias("id"), "question", "answer", "k.prev", "k.last"), "p5-pairs")
+    table = endings(keyed)
     two = table.where("prev != ''").select("prev", "last", "ends", "n")
     one = table.where("prev = ''").select("last", F.col("ends").alias("last_ends"), F.col("n").alias("last_n"))
     joined = lookup_join(lookup_join(keyed, two, ["prev", "last"], "id", ["ends", "n"]), one, ["last"], "id", ["last_ends", "last_n"])
