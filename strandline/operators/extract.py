@@ -205,9 +205,12 @@ def extract(messages: DataFrame, participants: DataFrame) -> DataFrame:
     placed = ranked(said.join(held, ["slug", "seq"], "left"), ["slug", "key"], [F.col("seq")], "facts").withColumnsRenamed({"__block": "block", "__rank": "rank"})
     group = ["slug", "key", "block"]
     schema = "slug string, key string, block int, " + ", ".join(f"{c} {'string' if c.startswith('own') else 'int'}" for c in _COLUMNS)
-    effects = placed.where("slug is not null").groupBy(*group).applyInPandas(lambda pdf: _effects(pdf.sort_values("rank")), schema)
+    placed = placed.where("slug is not null")
+    # A sender inside one block begins with nothing; only those that span blocks need the effects of these.
+    spanning = placed.groupBy("slug", "key").agg(F.min("block").alias("a"), F.max("block").alias("z")).where("a < z").select("slug", "key")
+    effects = placed.join(spanning, ["slug", "key"], "left_semi").groupBy(*group).applyInPandas(lambda pdf: _effects(pdf.sort_values("rank")), schema)
     starts = effects.groupBy("slug", "key").applyInPandas(_starts, "slug string, key string, block int, name string, age int")
-    rows = placed.join(starts, group).repartition(*group).sortWithinPartitions(*group, "rank")
+    rows = placed.join(starts, group, "left").withColumn("age", F.coalesce("age", F.lit(REACH + 1))).repartition(*group).sortWithinPartitions(*group, "rank")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, state = None, (None, REACH + 1)
