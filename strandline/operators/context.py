@@ -47,13 +47,14 @@ def classify(df: DataFrame, text: str) -> DataFrame:
 def mentions(blocks_: DataFrame, names: DataFrame, row_id: str, text: str, by: list[str]) -> DataFrame:
     """(by, row_id, name): the participants that a block names, by any alias, as whole words.
 
-    names: by, name, alias. An alias meets only the blocks that hold its first word, by an equi-join.
+    names: by, name, alias. An alias meets only the blocks that hold its first word, by an equi-join. Neither side is broadcast:
+    a block is as many rows with its text as it has words, and Spark's estimate of a size counts it once.
     """
     words = blocks_.select(*by, row_id, plain_key(F.col(text)).alias("t")).withColumn("first", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"(?U)(\w+)"), F.lit(1)))))
     a = names.select(*by, "name", plain_key(F.col("alias")).alias("alias")).where(F.length("alias") >= 2).withColumn("first", F.regexp_extract("alias", r"(?U)^\W*(\w+)", 1))
     padded = F.concat(F.lit(" "), F.regexp_replace("t", r"(?U)[^\w]+", " "), F.lit(" "))
     spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace("alias", r"(?U)[^\w]+", " ")), F.lit(" "))
-    return words.join(a, [*by, "first"]).where(F.contains(padded, spaced)).select(*by, row_id, "name").distinct()
+    return words.join(a.hint("merge"), [*by, "first"]).where(F.contains(padded, spaced)).select(*by, row_id, "name").distinct()
 
 
 def subjects(blocks_: DataFrame, names: DataFrame, row_id: str, text: str, by: list[str], forced: str | None = None) -> DataFrame:

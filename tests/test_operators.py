@@ -174,6 +174,15 @@ def test_context(make):
     assert [(r["id"], r["subject"], r["named"]) for r in context.subjects(b, n, "id", "t", ["slug"]).orderBy("id").collect()] == [(1, "Ana Paz", 1), (2, None, 2), (3, None, 0), (4, None, 0)]
 
 
+def test_mentions_broadcast_no_words(spark):
+    # Spark takes a block as one row of its table's size, however many words it has, so it would broadcast them.
+    b = spark.range(3).select(F.lit("x").alias("slug"), "id", F.concat(F.repeat(F.lit("palabra "), 50), F.when(F.col("id") == 0, "Ana Paz").otherwise("Luz")).alias("t"))
+    n = spark.range(2).select(F.lit("x").alias("slug"), F.when(F.col("id") == 0, "Ana Paz").otherwise("Luz Rey").alias("name"), F.when(F.col("id") == 0, "Ana Paz").otherwise("Luz").alias("alias"))
+    m = context.mentions(b, n, "id", "t", ["slug"])
+    assert "Broadcast" not in m._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r)[1:] for r in m.collect()) == [(0, "Ana Paz"), (1, "Luz Rey"), (2, "Luz Rey")]
+
+
 def test_name_variants(make):
     p = make("slug string, key string, identity_type string", {"slug": "s", "key": "alizon", "identity_type": "contact"})
     m = make("slug string, sender string, content string", *[{"slug": "s", "sender": "Bo", "content": "Alisita alisa Alisita"}], {"slug": "s", "sender": "alizona", "content": "alizona alizona"})
