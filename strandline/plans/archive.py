@@ -255,7 +255,7 @@ def q_stored_messages(spark, d):
     """Messages written to a backup and read again."""
     path = f"{shared_dir(spark)}/backup-{uuid.uuid4().hex}"
     once = roled(spark, d).where("content is not null").groupBy("source_file", "line_no", "role", "content").agg(F.min("timestamp").alias("timestamp"), F.min("source_type").alias("source_type"), F.min("sender").alias("sender"))
-    sinks.append_messages(once.repartition(8, "source_file"), path)
+    sinks.append_messages(once, path)
     return sinks.stored_messages(spark, path).select("hash", "source_file", "line_no", "role")
 
 

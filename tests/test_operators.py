@@ -241,6 +241,24 @@ def test_sinks_and_stream(spark, make, tmp_path):
     assert sorted(r["seq"] for r in spark.read.parquet(target).collect()) == [1, 4]
 
 
+def test_backups_have_no_file_per_source(spark, tmp_path):
+    from strandline.sources import sinks
+
+    path = f"{tmp_path}/backup"
+    said = lambda name, role: spark.range(500).select(F.format_string(f"{name}%s", "id").alias("source_file"), F.lit(1).alias("line_no"), F.lit(role).alias("role"), F.format_string("text\n %s", "id").alias("content"), F.lit(None).cast("string").alias("sender"))
+    sinks.append_messages(said("=/ é", "user").repartition(2), path)
+    sinks.append_messages(said("a", "user").repartition(2), path)
+    files = [f for f in tmp_path.rglob("*.json*") if not f.name.startswith(".")]
+    assert len(files) == 4
+    (tmp_path / "backup/part-odd.json").write_text('{"role": "user", "cont\n')
+    first = lambda: {(r["source_file"], r["role"], r["content"]) for r in sinks.stored_messages(spark, path).collect()}
+    mine = {(f"=/ é{i}", "user", f"text\n {i}") for i in range(500)}
+    assert first() == mine
+    # One that was begun with a directory per source file is read whole.
+    said("=/ è", "assistant").where("id < 3").write.mode("append").partitionBy("source_file").json(path)
+    assert first() == mine | {(f"=/ è{i}", "assistant", f"text\n {i}") for i in range(3)}
+
+
 def test_budget_sees_the_whole_group(make):
     rows = [{"q": 1, "at": i, "cost": c} for i, c in enumerate([300, *[200, 500, 101] * 60, 50, 51, 50])] + [{"q": 2, "at": i, "cost": c} for i, c in enumerate([900, 1])]
     got = retrieval.select_within(make("q int, at int, cost int", *rows), ["q"], [F.asc("at")], "cost", 400, 5).collect()
