@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 
 from strandline.llm.paths import components
 from strandline.llm.pii import GIVEN
-from strandline.session import durable
+from strandline.session import durable, release
 
 _W = lambda s: frozenset(s.split())
 
@@ -365,6 +366,12 @@ def _only(matches: DataFrame, *, best: str | None = None) -> DataFrame:
     return found.where("a = z").select("a", F.col("id").alias("b"))
 
 
+def _written(*edges: DataFrame) -> DataFrame:
+    """The union of edges, each table written by itself: Spark plans a job anew after each of its stages, so what one
+    plan over all of them takes of the driver's memory grows as their number squared."""
+    return reduce(DataFrame.unionByName, [durable(e, "p2-links") for e in edges])
+
+
 #: Words of a name of which every subset is looked at; of longer names, those that leave out up to two words.
 SUBSETS = 6
 
@@ -418,23 +425,28 @@ def identities(message: DataFrame, participants: DataFrame) -> DataFrame:
     by_second = full.where("second != ''").join(near, (full["slug"] == near["slug"]) & (full["second"] == near["word"])).select("id", full["slug"], "g", F.col("first").alias("k"), F.col("near").alias("second"))
     people = durable(rows.where("size(tokens) > 1").select("id", "slug", "tokens", "own"), "p2-people")
     edges = _star(by_first.where("second != ''"), ["slug", "g", "k", "second"]).unionByName(_star(by_second, ["slug", "g", "k", "second"])).unionByName(_any_order(people, near))
+    # What several steps read is written once: plans that repeat it take the driver's memory, not only time.
+    edges = durable(edges, "p2-edges")
     root = durable(linked(full.select("id"), edges, "p2-full-names"), "p2-full-roots")
     # Names without second surname join the identity of their key if there is but one.
+    release(rows.sparkSession)
     keyed = by_first.join(root, "id")
     complete = keyed.where("second != '' and d = 0").groupBy("slug", "g", "k").agg(F.min("root").alias("one"), F.max("root").alias("other"))
-    lone = keyed.where("second = '' and second_initial = ''").join(complete, ["slug", "g", "k"], "left")
+    keyed = durable(keyed.join(complete, ["slug", "g", "k"], "left"), "p2-keyed")
+    lone = keyed.where("second = '' and second_initial = ''")
     joined = lone.where("one = other").select(F.col("one").alias("a"), F.col("id").alias("b"))
     among = _star(lone.where("one is null or one != other").select("id", "slug", "g", "k"), ["slug", "g", "k"])
     seconds = _bounds(keyed.where("second != '' and d = 0"), "slug", "g", "k", F.substring("second", 1, 1).alias("second_initial"))
     marked = _only(keyed.where("second_initial != ''").select("id", "slug", "g", "k", "second_initial").join(seconds, ["slug", "g", "k", "second_initial"]))
     # One with an initial in the second place and no full counterpart goes with the shorter form.
     half = keyed.where("second = '' and d = 0").groupBy("slug", "g", "k").agg(F.min("id").alias("a"))
-    bare = keyed.where("second_initial != ''").join(complete, ["slug", "g", "k"], "left").where("one is null").join(half, ["slug", "g", "k"]).select("a", F.col("id").alias("b"))
-    typed = keyed.where("second != '' and d = 1").join(half, ["slug", "g", "k"]).join(complete, ["slug", "g", "k"], "left").where("one is null or one = other").select("a", F.col("id").alias("b"))
+    bare = keyed.where("second_initial != '' and one is null").join(half, ["slug", "g", "k"]).select("a", F.col("id").alias("b"))
+    typed = keyed.where("second != '' and d = 1 and (one is null or one = other)").join(half, ["slug", "g", "k"]).select("a", F.col("id").alias("b"))
     parts = people.where("size(tokens) >= 4").join(root, "id").select("slug", "root", F.explode(_subsets("tokens", "own")).alias("part"))
     fewer = _only(people.withColumn("part", F.array_join("tokens", " ")).join(_bounds(parts, "slug", "part"), ["slug", "part"]))
-    more = joined.unionByName(fewer).unionByName(among).unionByName(marked).unionByName(bare).unionByName(typed)
+    more = _written(joined, fewer, among, marked, bare, typed)
     root = durable(linked(full.select("id"), edges.unionByName(more), "p2-names"), "p2-roots")
+    release(rows.sparkSession)
     # Shorter forms, each linked where a single identity matches.
     known = durable(by_first.where("d = 0").select("id", "slug", "g", "k").join(root, "id"), "p2-known")
     short = rows.where("first != '' and initial != ''").select("id", "slug", "initial", "first")
@@ -444,7 +456,7 @@ def identities(message: DataFrame, participants: DataFrame) -> DataFrame:
     given = rows.where("first = '' and size(given) > 0").select("id", "slug", F.explode("given").alias("g"), "first_initial")
     lettered = given.where("first_initial != ''").join(_bounds(known, "slug", "g", F.substring("k", 1, 1).alias("first_initial")), ["slug", "g", "first_initial"])
     alone = given.where("first_initial = ''").join(_bounds(known, "slug", "g"), ["slug", "g"])
-    last = _only(initial, best="d").unionByName(_only(lettered)).unionByName(_only(alone))
+    last = _written(_only(initial, best="d"), _only(lettered), _only(alone))
     # Lone forms of one given name, or of one initial and surname, are the same where no full name tells them apart.
     same = _star(given.where("first_initial = ''").select("id", "slug", "g"), ["slug", "g"]).unionByName(_star(given.where("first_initial != ''").select("id", "slug", "g", "first_initial"), ["slug", "g", "first_initial"]))
     same = same.unionByName(_star(short.where("d = 0").select("id", "slug", "initial", "k"), ["slug", "initial", "k"]))
@@ -459,5 +471,6 @@ def found(message: DataFrame, participants: DataFrame) -> DataFrame:
     The pairs of one identity are few: as many as it has spellings, not rows.
     """
     i = durable(identities(message, participants), "p2-names-of")
+    release(message.sparkSession)
     a, b = i.select("slug", "identity", F.col("name").alias("name_a")), i.select("slug", "identity", F.col("name").alias("name_b"))
     return a.join(b, ["slug", "identity"]).where("name_a < name_b").select("slug", "name_a", "name_b")

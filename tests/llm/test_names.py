@@ -3,6 +3,7 @@
 import random
 
 from strandline.llm import names
+from strandline.session import durable
 from tests.conftest import MESSAGE
 
 
@@ -118,3 +119,18 @@ def test_recall_on_names_of_no_list(make):
     for group in identities(make, *[f for forms in people for f in forms]):
         found |= {(a, b) for a in group for b in group if a < b}
     assert len(found & true) >= 0.9 * len(true) and len(found & true) >= 0.98 * len(found), (len(true), len(found), len(found & true))
+
+
+def test_no_plan_holds_all_steps(make, monkeypatch):
+    # The driver's memory follows the largest plan, which is planned anew after each of its stages.
+    joins = []
+
+    def written(df, label):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return durable(df, label)
+
+    monkeypatch.setattr(names, "durable", written)
+    said = ("Ana María Paz Ruiz", "Ana Paz", "A. Paz", "Luis Gómez Lara", "Luis Gomez")
+    found = names.found(make("slug string, sender string", *({"slug": "a", "sender": n} for n in said)), make("slug string, name string", {"slug": "a", "name": "Luis Gómez L."}))
+    assert ("Luis Gomez", "Luis Gómez Lara") in {(r["name_a"], r["name_b"]) for r in found.collect()}
+    assert max(joins) <= 6
